@@ -49,6 +49,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str | None:
         return f"{len(bad)} rows differ, e.g. {cells}"
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     duck = {d[0]: str(d[1]) for d in res.description}
-    fit = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    fit = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+           "date": "DATE", "tinyint": "TINYINT", "float": "FLOAT"}
     odd = {c: (t, duck[c]) for c, t in types.items() if fit.get(t, t) != duck[c]}
     return None if not odd else f"TYPES {dict(list(odd.items())[:6])}"
