@@ -173,25 +173,18 @@ def q_models(spark, sf):
     return rounded(M.single_model_scores(scored(spark, sf), {n: f"{n}_pred" for n in SCORES}), 6)
 
 
-# Blend scores are compared on integers, so that both sides see the same ties.
+# The same double arithmetic in the same order on both sides keeps equal blends equal.
 _BLEND = (
-    "g AS (SELECT a.i AS wa, b.i AS wb, 10 - a.i - b.i AS wc FROM range(11) a(i), range(11) b(i) WHERE 10 - a.i - b.i BETWEEN 0 AND 3),"
-    " l AS (SELECT wa, wb, wc, WEEK_NUM, target, wa * lgb_pred + wb * xgb_pred + wc * cat_pred AS score FROM g, si)"
+    "g AS (SELECT a.i / CAST(10 AS DOUBLE) AS wa, b.i / CAST(10 AS DOUBLE) AS wb, (10 - a.i - b.i) / CAST(10 AS DOUBLE) AS wc"
+    " FROM range(11) a(i), range(11) b(i) WHERE 10 - a.i - b.i BETWEEN 0 AND 3),"
+    " l AS (SELECT wa, wb, wc, WEEK_NUM, target, wa * lgb_pred + wb * xgb_pred + wc * cat_pred AS score FROM g, s)"
 )
-_SI = (
-    "si AS (SELECT WEEK_NUM, target, CAST(round(lgb_pred * 200) AS BIGINT) AS lgb_pred, CAST(round(xgb_pred * 1000) AS BIGINT) AS xgb_pred,"
-    " CAST(round(cat_pred * 97) AS BIGINT) AS cat_pred FROM s)"
-)
-_W = ", ".join(f"{R(f'{c} / 10.0')} AS {n}_weight" for c, n in (("wa", "lgb"), ("wb", "xgb"), ("wc", "cat")))
+_W = ", ".join(f"{R(c)} AS {n}_weight" for c, n in (("wa", "lgb"), ("wb", "xgb"), ("wc", "cat")))
 
 
-@query("blend_weight_search", f"WITH {_S}, {_SI}, {_BLEND}, {_model_sql('wa, wb, wc', 'l', 'score', _W)}")
+@query("blend_weight_search", f"WITH {_S}, {_BLEND}, {_model_sql('wa, wb, wc', 'l', 'score', _W)}")
 def q_search(spark, sf):
-    """Whole-number predictions and weights of tenths keep equal blends equal; scaled to one grid."""
-    rows = scored(spark, sf)
-    whole = {n: F.round(F.col(f"{n}_pred") * k) for n, k in (("lgb", 200), ("xgb", 1000), ("cat", 97))}
-    rows = rows.select("WEEK_NUM", "target", *[c.alias(f"{n}_pred") for n, c in whole.items()])
-    found = B.blend_weight_search(rows, {n: f"{n}_pred" for n in SCORES}, step=0.1)
+    found = B.blend_weight_search(scored(spark, sf), {n: f"{n}_pred" for n in SCORES}, step=0.1)
     return rounded(found, 6)
 
 
