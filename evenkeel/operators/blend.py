@@ -60,16 +60,25 @@ def blend_weight_search(
 ) -> DataFrame:
     """Score every weight row by gini and stability, best first.
 
-    All weight rows are scored in one job: (weights, week, score) counts are the only thing
-    shuffled. Cut points come from the plain mean, as they only balance the work.
+    All weight rows are scored in one job. Rows are shuffled as (grid position, week, score)
+    counts; the weights themselves are looked up for the result, one row per position. Cut
+    points come from the plain mean, as they only balance the work.
     """
     names = [f"{m}_weight" for m in models]
-    cuts = find_cuts(oof, {"s": mean_vote(list(models.values()))})["s"]
-    long = expand_weights(oof.select(target, week, *models.values()), list(models), weight_grid(step, max_third))
-    score = _sum([F.col(n) * F.col(c) for n, c in zip(names, models.values())])
-    scored = long.select(*names, target, week, score.alias("score"))
-    found = score_groups(scored, "score", names, target, week, cuts)
-    return found.orderBy(F.desc("gini"), F.desc("stability"), *names)
+    preds = list(models.values())
+    grid = weight_grid(step, max_third)
+    cuts = find_cuts(oof, {"s": mean_vote(preds)})["s"]
+    cells = [
+        F.struct(F.lit(i).alias("slot"), _sum([F.lit(w) * F.col(c) for w, c in zip(row, preds)]).alias("score"))
+        for i, row in enumerate(grid)
+    ]
+    long = oof.select(target, week, F.explode(F.array(*cells)).alias("__c")).select(target, week, "__c.slot", "__c.score")
+    found = score_groups(long, "score", ["slot"], target, week, cuts)
+    weights = oof.sparkSession.createDataFrame(
+        [(i, *row) for i, row in enumerate(grid)], ", ".join(["slot int", *[f"{n} double" for n in names]])
+    )
+    out = found.join(F.broadcast(weights), "slot").select(*names, *[c for c in found.columns if c != "slot"])
+    return out.orderBy(F.desc("gini"), F.desc("stability"), *names)
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -5,7 +5,7 @@ All features of a report share one narrow (feature, value) form; nothing loops o
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +14,22 @@ from pyspark.sql import Window as W
 from evenkeel.functions.scalar import log_ratio_term
 from evenkeel.operators.joins import merge_reports
 from evenkeel.operators.metrics import auc_of_counts
-from evenkeel.operators.ordering import quantiles_of_counts, rank_first, value_counts
-from evenkeel.operators.profile import column_counts
-from evenkeel.operators.skew import checked_broadcast
+from evenkeel.operators.ordering import Cuts, find_cuts, quantiles_of_counts, rank_first, value_counts
 
 
 def quantile_bucket(
-    df: DataFrame, features: Sequence[str], row_id: str, bins: int = 10, keep: Sequence[str] = ()
+    df: DataFrame,
+    features: Sequence[str],
+    row_id: str,
+    bins: int = 10,
+    keep: Sequence[str] = (),
+    cuts: Mapping[str, Cuts] | None = None,
 ) -> DataFrame:
     """Equal-frequency bin (from 1) of every non-null value, ties split in row order.
 
     Integer form of cutting positions 1..n at evenly spaced quantiles.
     """
-    ranked = rank_first(df, features, row_id, keep)
+    ranked = rank_first(df, features, row_id, keep, cuts=cuts)
     sized = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     bin_of = F.expr(f"CASE WHEN n = 1 THEN 1 ELSE greatest(1, ((r - 1) * {bins} + n - 2) div (n - 1)) END")
     return ranked.join(F.broadcast(sized), "feature").select(
@@ -105,21 +108,34 @@ def psi_by_time(
     if not splits:
         return labels.select("feature", F.lit(0.0).alias("psi"))
     counts = value_counts(
-        df.where(F.col(week).isNotNull()),
-        {f: F.col(f) for f in splits},
-        {
-            "ref": lambda f: (F.col(week) <= splits[f]).cast("long"),
-            "cur": lambda f: (F.col(week) > splits[f]).cast("long"),
-        },
+        df.where(F.col(week).isNotNull()), {f: F.col(f) for f in splits}, period_measures(splits, week)
     )
+    return psi_of_counts(counts, features, bins)
+
+
+def period_measures(splits: Mapping[str, int], week: str) -> dict[str, Callable[[str], Column]]:
+    """Rows of the earlier and the later part, the split week differing by feature."""
+
+    def part(f: str, early: bool) -> Column:
+        if f not in splits:
+            return F.lit(0).cast("long")
+        side = F.col(week) <= splits[f] if early else F.col(week) > splits[f]
+        return F.coalesce(side.cast("long"), F.lit(0))
+
+    return {"ref": lambda f: part(f, True), "cur": lambda f: part(f, False)}
+
+
+def psi_of_counts(counts: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
+    """Population stability from (feature, x, bucket, ref, cur) counts."""
+    labels = counts.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     ref = counts.where(F.col("ref") > 0).select("feature", "x", "bucket", F.col("ref").alias("n"))
-    cut = quantiles_of_counts(ref, [i / bins for i in range(bins + 1)])
+    cut = quantiles_of_counts(ref, [i / bins for i in range(bins + 1)], most_rows=2 * len(features) * (bins + 1))
     # bins + 1 numbers per feature.
     edges = cut.groupBy("feature").agg(F.array_sort(F.collect_set("q")).alias("edges"))
     last = F.size("edges")
     passed = F.size(F.filter("edges", lambda e: e <= F.col("x")))
     slot = F.when(F.col("x") == F.element_at("edges", -1), last - 1).otherwise(passed)
-    placed = counts.join(checked_broadcast(edges), "feature").where(last > 2).select(
+    placed = counts.join(F.broadcast(edges), "feature").where(last > 2).select(
         "feature", last.alias("k"), slot.alias("slot"), "ref", "cur"
     )
     inside = placed.where((F.col("slot") >= 1) & (F.col("slot") < F.col("k")))
@@ -144,10 +160,18 @@ def univariate_auc(
 ) -> DataFrame:
     """max(auc, 1 - auc) per feature; 0.5 when values or classes do not vary."""
     known = df.where(F.col(target).isNotNull())
+    counts = value_counts(known, {f: F.col(f) for f in features}, class_measures(target))
+    return auc_of_feature_counts(counts, features)
+
+
+def class_measures(target: str) -> dict[str, Column]:
     hit = F.col(target).cast("long")
-    counts = value_counts(known, {f: F.col(f) for f in features}, {"pos": hit, "neg": 1 - hit})
+    return {"pos": F.coalesce(hit, F.lit(0)), "neg": F.coalesce(1 - hit, F.lit(0))}
+
+
+def auc_of_feature_counts(counts: DataFrame, features: Sequence[str]) -> DataFrame:
     scored = auc_of_counts(counts, "x", ["feature"])
-    labels = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    labels = counts.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     both = F.greatest(F.col("auc"), 1 - F.col("auc"))
     return labels.join(scored, "feature", "left").select(
         "feature", F.coalesce(both, F.lit(0.5)).alias("univariate_auc")
@@ -163,15 +187,26 @@ def feature_report(
     bins: int = 10,
 ) -> DataFrame:
     """One row per feature: missing rate, distinct count, IV, PSI, univariate AUC and bin rates."""
-    counted = bin_counts(quantile_bucket(df, features, row_id, bins, [target]), target)
-    basics = column_counts(df, features).select(
-        "feature", (F.col("nulls") / F.col("rows")).alias("missing_rate"), "nunique"
+    columns = {f: F.col(f) for f in features}
+    cuts = find_cuts(df, {**columns, "__row": F.col(row_id)})
+    counted = bin_counts(quantile_bucket(df, features, row_id, bins, [target], cuts), target)
+    # One collapse to distinct values serves distinct counts, PSI and AUC.
+    splits = week_splits(df, features, week)
+    counts = value_counts(df, columns, {**class_measures(target), **period_measures(splits, week)}, cuts=cuts)
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    held = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nunique"))
+    total = F.lit(rows.first()[0])
+    labels = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    basics = labels.join(held, "feature", "left").select(
+        "feature",
+        (1 - F.coalesce(F.col("n"), F.lit(0)) / total).alias("missing_rate"),
+        F.coalesce(F.col("nunique"), F.lit(0)).alias("nunique"),
     )
     out = basics
     for part in (
         information_value_of_bins(counted),
-        psi_by_time(df, features, week, bins),
-        univariate_auc(df, features, target),
+        psi_of_counts(counts, features, bins),
+        auc_of_feature_counts(counts, features),
         bin_target_rates_of_bins(counted),
     ):
         out = out.join(part, "feature", "left")

@@ -35,14 +35,26 @@ def cumulative_rank(counts: DataFrame, score: str, group: Sequence[str] = ()) ->
 
 
 def auc_of_counts(counts: DataFrame, score: str, group: Sequence[str] = ()) -> DataFrame:
-    """group, n, pos, neg, auc; auc is null for groups with one class."""
-    ranked = cumulative_rank(counts, score, group)
-    won = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
-    sums = ranked.groupBy(*group).agg(
+    """group, n, pos, neg, auc; auc is null for groups with one class.
+
+    Pairs won inside a bucket come from a window over the bucket; pairs won against lower
+    buckets from the bucket totals. No row needs its global rank, so nothing is joined.
+    """
+    group = list(group)
+    inside = W.partitionBy(*group, "bucket").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(inside), F.lit(0)) + F.col("neg") / F.lit(2.0)
+    buckets = (
+        counts.select(*group, "bucket", "pos", "neg", (F.col("pos").cast("double") * below).alias("won"))
+        .groupBy(*group, "bucket")
+        .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "won")])
+    )
+    lower = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    won = F.col("won") + F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(lower), F.lit(0))
+    sums = buckets.select(*group, "pos", "neg", won.alias("won")).groupBy(*group).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),
         F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"),
-        F.sum(won).alias("won"),
+        F.sum("won").alias("won"),
     )
     pairs = F.col("pos").cast("double") * F.col("neg")
     return sums.select(*group, "n", "pos", "neg", F.when(pairs > 0, F.col("won") / pairs).alias("auc"))

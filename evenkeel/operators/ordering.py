@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evenkeel.operators.skew import unpivot
+from evenkeel.operators.skew import BROADCAST_ROWS, unpivot
 
 MAX_BUCKETS = 4096
 
@@ -66,6 +66,12 @@ class Cuts:
         return (lane + inner).cast("long")
 
 
+    def most_buckets(self, tie_cuts: "Cuts | None" = None) -> int:
+        """Upper bound on the number of different buckets."""
+        plain = len(self.points) + 1
+        return plain + len(self.heavy) * (len(tie_cuts.points) + 1 if tie_cuts else 0)
+
+
 def find_cuts(df: DataFrame, columns: Mapping[str, Column], buckets: int | None = None) -> dict[str, Cuts]:
     """Approximate quantiles of every column in one pass; one small row reaches the driver."""
     if not columns:
@@ -95,20 +101,28 @@ def _prefix(totals: DataFrame, group: Sequence[str], bucket: str, names: Sequenc
 
 
 def running_before(
-    df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], measures: Sequence[str]
+    df: DataFrame,
+    group: Sequence[str],
+    bucket: str,
+    order: Sequence[str],
+    measures: Sequence[str],
+    most_offsets: int | None = None,
 ) -> DataFrame:
     """Adds ``<m>_before``: the sum of m over the group's rows that sort earlier.
 
-    ``order`` must be unique inside a group, and ``bucket`` monotone in it.
+    ``order`` must be unique inside a group, and ``bucket`` monotone in it. ``most_offsets``
+    is an upper bound on groups x buckets where the caller can prove one; a small bound lets
+    the offsets be broadcast.
     """
     group = list(group)
     totals = df.groupBy(*group, bucket).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     offsets = _prefix(totals, group, bucket, measures)
+    if most_offsets is not None and most_offsets <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     w = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    joined = df.join(offsets, [*group, bucket])
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"__o_{m}") + F.coalesce(F.sum(m).over(w), F.lit(0))).alias(f"{m}_before") for m in measures],
+    inside = df.select(*df.columns, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"__b_{m}") for m in measures])
+    return inside.join(offsets, [*group, bucket]).select(
+        *df.columns, *[(F.col(f"__o_{m}") + F.col(f"__b_{m}")).alias(f"{m}_before") for m in measures]
     )
 
 
@@ -118,13 +132,14 @@ def rank_first(
     row_id: str,
     keep: Sequence[str] = (),
     buckets: int | None = None,
+    cuts: Mapping[str, Cuts] | None = None,
 ) -> DataFrame:
     """Position of every non-null value inside its feature, ties in ``row_id`` order.
 
     Long result: row_id, keep, feature, x, r (from 1).
     """
     columns = {f: F.col(f).cast("double") for f in features}
-    cuts = find_cuts(df, {**columns, "__row": F.col(row_id).cast("double")}, buckets)
+    cuts = cuts or find_cuts(df, {**columns, "__row": F.col(row_id).cast("double")}, buckets)
     tie_cuts = cuts["__row"]
     tie = F.col(row_id).cast("double")
     long = unpivot(
@@ -132,7 +147,8 @@ def rank_first(
         [row_id, *keep],
         [(f, {"x": c, "bucket": cuts[f].bucket_with_ties(c, tie, tie_cuts)}) for f, c in columns.items()],
     ).where(F.col("x").isNotNull())
-    ranked = running_before(long.withColumn("one", F.lit(1)), ["feature"], "bucket", ["x", row_id], ["one"])
+    most = sum(cuts[f].most_buckets(tie_cuts) for f in features)
+    ranked = running_before(long.withColumn("one", F.lit(1)), ["feature"], "bucket", ["x", row_id], ["one"], most)
     return ranked.select(row_id, *keep, "feature", "x", (F.col("one_before") + 1).alias("r"))
 
 
@@ -142,6 +158,7 @@ def value_counts(
     measures: Mapping[str, Column | Callable[[str], Column]] | None = None,
     group: Sequence[str] = (),
     buckets: int | None = None,
+    cuts: Mapping[str, Cuts] | None = None,
 ) -> DataFrame:
     """Collapse each feature to its distinct values: group, feature, x, bucket, n and summed measures.
 
@@ -149,7 +166,7 @@ def value_counts(
     """
     measures = measures or {}
     columns = {f: c.cast("double") for f, c in features.items()}
-    cuts = find_cuts(df, columns, buckets)
+    cuts = cuts or find_cuts(df, columns, buckets)
 
     def fields(name: str, c: Column) -> dict[str, Column]:
         extra = {m: spec(name) if callable(spec) else spec for m, spec in measures.items()}
@@ -161,11 +178,24 @@ def value_counts(
     )
 
 
-def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles from a ``value_counts`` frame: group, feature, i, q."""
+def quantiles_of_counts(
+    counts: DataFrame, probs: Sequence[float], group: Sequence[str] = (), most_rows: int | None = None
+) -> DataFrame:
+    """Linear-interpolated quantiles from a ``value_counts`` frame: group, feature, i, q.
+
+    Bucket totals tell which buckets hold the wanted positions; only those are sorted.
+    ``most_rows`` is a proven bound on groups x features x probabilities, if there is one.
+    """
     keys = [*group, "feature"]
-    sized = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    placed = running_before(counts, keys, "bucket", ["x"], ["n"]).join(sized, keys)
+    by_bucket = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("__t_n"))
+    run = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = by_bucket.select(
+        *keys,
+        "bucket",
+        F.coalesce(F.sum("__t_n").over(run), F.lit(0)).alias("offset"),
+        F.col("__t_n").alias("held"),
+        F.sum("__t_n").over(W.partitionBy(*keys)).alias("total"),
+    )
     pos = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
     wanted = F.array(
         *[
@@ -173,12 +203,19 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], group: Sequen
             for i, p in enumerate(pos)
         ]
     )
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
-    # Only the few values that cover a wanted position leave the window stage.
-    hit = F.filter(
-        wanted, lambda s: ((s["lo"] >= first) & (s["lo"] <= last)) | ((s["hi"] >= first) & (s["hi"] <= last))
-    )
-    cells = placed.select(*keys, "x", first.alias("a"), last.alias("b"), F.explode(hit).alias("s")).select(
+
+    def covers(first: Column, last: Column):
+        return lambda s: s["lo"].between(first, last) | s["hi"].between(first, last)
+
+    here = F.filter(wanted, covers(F.col("offset"), F.col("offset") + F.col("held") - 1))
+    needed = placed.select(*keys, "bucket", "offset", here.alias("here")).where(F.size("here") > 0)
+    if most_rows is not None and most_rows <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    inside = W.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranked = counts.select(*keys, "bucket", "x", "n").join(needed, [*keys, "bucket"]).withColumn("a", first)
+    hit = F.filter("here", covers(F.col("a"), F.col("a") + F.col("n") - 1))
+    cells = ranked.select(*keys, "x", "a", (F.col("a") + F.col("n") - 1).alias("b"), F.explode(hit).alias("s")).select(
         *keys, "x", "a", "b", "s.*"
     )
     ends = cells.groupBy(*keys, "i").agg(
@@ -196,7 +233,9 @@ def exact_quantiles(
     group: Sequence[str] = (),
     buckets: int | None = None,
 ) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, features, group=group, buckets=buckets), probs, group)
+    counts = value_counts(df, features, group=group, buckets=buckets)
+    most = None if group else 2 * len(features) * len(probs)
+    return quantiles_of_counts(counts, probs, group, most)
 
 
 def exact_medians(df: DataFrame, features: Mapping[str, Column], buckets: int | None = None) -> dict[str, float | None]:
