@@ -53,7 +53,7 @@ def choose_columns(
     profiles: Mapping[str, ColumnProfile] | None = None,
 ) -> Selection:
     open_columns = [c for c in df.columns if c not in protected]
-    profiles = profiles or profile_columns(df, open_columns)
+    profiles = profiles or profile_columns(df, open_columns, enough=min_unique)
     out = Selection([], {"missing": [], "constant": [], "high_cardinality": []})
     for c in df.columns:
         reason = None
@@ -78,7 +78,7 @@ def filter_cols_strict(
     naming: Naming = DEFAULT,
 ) -> DataFrame:
     """Drops sparse columns, text with a single or too many values, and calendar columns."""
-    profiles = profile_columns(df, [c for c in df.columns if c not in naming.protected])
+    profiles = profile_columns(df, [c for c in df.columns if c not in naming.protected], enough=2)
     calendar = set(calendar_columns(df.columns, naming)) if drop_calendar else set()
 
     def stays(c: str) -> bool:
@@ -167,5 +167,5 @@ def candidate_features(
         and f.name not in naming.protected
         and (not prefixes or f.name.startswith(tuple(prefixes)))
     ]
-    profiles = profile_columns(df, names)
+    profiles = profile_columns(df, names, enough=2)
     return [c for c in names if profiles[c].distinct > 1][:max_features]

@@ -67,7 +67,7 @@ def fit_preprocessor(
     missing_indicator_min_rate: float | None = None,
 ) -> PreprocessState:
     candidates = [c for c in df.columns if c not in (key, target)]
-    profiles = profile_columns(df, candidates)
+    profiles = profile_columns(df, candidates, enough=min_unique)
     frame = df.select(*[F.col(f"`{c}`") for c in candidates])
     chosen = choose_columns(
         frame, max_missing, max_cat_unique, min_unique, protected=keep, null_is_value=False, profiles=profiles
@@ -152,7 +152,7 @@ def count_encode(
     out = df
     for n in names:
         counts = reference.where(F.col(n).isNotNull()).groupBy(n).agg(F.count(F.lit(1)).alias("__c"))
-        out = lookup_join(out, counts, n, max_rows)
+        out = lookup_join(out, counts, n, max_rows=max_rows)
         code = F.when(F.col(n).isNull(), -2).otherwise(F.coalesce(F.col("__c"), F.lit(-1))).cast("long")
         out = out.withColumn(f"{n}_cnt", code).drop("__c")
     return out.select(*df.columns, *[f"{n}_cnt" for n in names])

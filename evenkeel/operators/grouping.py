@@ -55,7 +55,8 @@ def group_medians(
     keys, few = hot
     side = F.broadcast(keys) if few else keys
     cold = df.join(side, key, "left_anti").groupBy(key).agg(*medians)
-    long = exact_quantiles(df.join(side, key, "left_semi"), columns, [0.5], group=[key])
+    groups = keys.count() if few else None
+    long = exact_quantiles(df.join(side, key, "left_semi"), columns, [0.5], group=[key], groups=groups)
     picked = long.groupBy(key).agg(*[F.max(F.when(F.col("feature") == out, F.col("q"))).alias(out) for out in columns])
     return cold.unionByName(keys.join(picked, key, "left"))
 

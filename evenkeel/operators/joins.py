@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators.skew import BROADCAST_ROWS, checked_broadcast, fits_broadcast, lookup_join
+from evenkeel.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join, skewed_join
 
 
 def left_join_on_key(left: DataFrame, right: DataFrame, key: str, suffix: str = "_right") -> DataFrame:
@@ -31,7 +31,7 @@ def wide_left_join(base: DataFrame, parts: Sequence[DataFrame], key: str, number
 
 def semi_filter(df: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows whose key is in ``ids``; the id list is broadcast only when it is counted small."""
-    return df.join(checked_broadcast(ids.select(key), max_rows), key, "left_semi")
+    return skewed_join(df, ids.select(key), key, "left_semi", max_rows)
 
 
 def semi_filter_if_small(df: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:

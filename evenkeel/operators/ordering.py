@@ -181,10 +181,11 @@ def value_counts(
 def quantiles_of_counts(
     counts: DataFrame, probs: Sequence[float], group: Sequence[str] = (), most_rows: int | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles from a ``value_counts`` frame: group, feature, i, q.
+    """Linear-interpolated quantiles of (group, feature, x, bucket, n) rows: group, feature, i, q.
 
-    Bucket totals tell which buckets hold the wanted positions; only those are sorted.
-    ``most_rows`` is a proven bound on groups x features x probabilities, if there is one.
+    Bucket totals, combined before the shuffle, tell which buckets hold the wanted positions;
+    only rows of those are collapsed and sorted. ``most_rows`` is a proven bound on the number
+    of such buckets, if there is one.
     """
     keys = [*group, "feature"]
     by_bucket = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("__t_n"))
@@ -213,7 +214,10 @@ def quantiles_of_counts(
         needed = F.broadcast(needed)
     inside = W.partitionBy(*keys, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
     first = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    ranked = counts.select(*keys, "bucket", "x", "n").join(needed, [*keys, "bucket"]).withColumn("a", first)
+    few = counts.join(needed, [*keys, "bucket"]).groupBy(*keys, "bucket", "x").agg(
+        F.sum("n").alias("n"), F.first("offset").alias("offset"), F.first("here").alias("here")
+    )
+    ranked = few.withColumn("a", first)
     hit = F.filter("here", covers(F.col("a"), F.col("a") + F.col("n") - 1))
     cells = ranked.select(*keys, "x", "a", (F.col("a") + F.col("n") - 1).alias("b"), F.explode(hit).alias("s")).select(
         *keys, "x", "a", "b", "s.*"
@@ -232,10 +236,15 @@ def exact_quantiles(
     probs: Sequence[float],
     group: Sequence[str] = (),
     buckets: int | None = None,
+    groups: int | None = 1,
 ) -> DataFrame:
-    counts = value_counts(df, features, group=group, buckets=buckets)
-    most = None if group else 2 * len(features) * len(probs)
-    return quantiles_of_counts(counts, probs, group, most)
+    """Quantiles per feature, or per group and feature; ``groups`` is their number if known."""
+    columns = {f: c.cast("double") for f, c in features.items()}
+    cuts = find_cuts(df, columns, buckets)
+    entries = [(f, {"x": c, "bucket": cuts[f].bucket(c), "n": F.lit(1)}) for f, c in columns.items()]
+    rows = unpivot(df, list(group), entries).where(F.col("x").isNotNull())
+    most = None if groups is None else 2 * groups * len(columns) * len(probs)
+    return quantiles_of_counts(rows, probs, group, most)
 
 
 def exact_medians(df: DataFrame, features: Mapping[str, Column], buckets: int | None = None) -> dict[str, float | None]:

@@ -60,30 +60,41 @@ def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, ColumnProfile]:
-    """Profiles for plan-time decisions; one small row per column reaches the driver."""
+def profile_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, enough: int | None = None
+) -> dict[str, ColumnProfile]:
+    """Profiles for plan-time decisions; one small row per column reaches the driver.
+
+    With ``enough`` of 2 or less the caller only asks whether a non-text column varies: its
+    smallest and largest value tell that in one pass without a shuffle, and ``distinct`` stops
+    at 2. Text is always counted exactly.
+    """
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return {}
-    found = {r["feature"]: r for r in column_counts(df, columns).collect()}
-    out = {}
-    for c in columns:
-        r = found.get(c)
-        n = (r["rows"], r["nulls"], r["nunique"]) if r else (0, 0, 0)
-        out[c] = ColumnProfile(c, df.schema[c].dataType, *n)
-    return out
-
-
-def with_name_parts(df: DataFrame, column: str = "feature") -> DataFrame:
-    """table_prefix and agg_suffix of the feature name."""
-    c = F.col(column)
-    named = c.contains("__")
-    return df.withColumns(
-        {
-            "table_prefix": F.when(named, F.substring_index(c, "__", 1)).otherwise("base_or_derived"),
-            "agg_suffix": F.when(named, F.substring_index(c, "__", -1)).otherwise("raw_or_derived"),
-        }
-    )
+    brief = [c for c in columns if enough is not None and enough <= 2 and not isinstance(df.schema[c].dataType, T.StringType)]
+    exact = [c for c in columns if c not in set(brief)]
+    found: dict[str, tuple[int, int, int]] = {}
+    for start in range(0, len(brief), BLOCK):
+        block = brief[start : start + BLOCK]
+        row = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[
+                e
+                for i, c in enumerate(block)
+                for e in (
+                    F.count(f"`{c}`").alias(f"n{i}"),
+                    (F.min(f"`{c}`") < F.max(f"`{c}`")).alias(f"v{i}"),
+                )
+            ],
+        ).first()
+        for i, c in enumerate(block):
+            known = row[f"n{i}"]
+            found[c] = (row["rows"], row["rows"] - known, 0 if not known else 2 if row[f"v{i}"] else 1)
+    if exact:
+        for r in column_counts(df, exact).collect():
+            found[r["feature"]] = (r["rows"], r["nulls"], r["nunique"])
+    return {c: ColumnProfile(c, df.schema[c].dataType, *found.get(c, (0, 0, 0))) for c in columns}
 
 
 def feature_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

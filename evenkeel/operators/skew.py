@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_ROWS = 1_000_000
+# A median buffer holds a key's distinct values of every column; this keeps it to megabytes.
+HOT_ROWS = 100_000
 HOT_KEYS_ON_DRIVER = 10_000
-SALTS = 32
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -18,11 +18,6 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; larger frames go to a shuffle join."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool] | None:
     """Keys with more than ``hot_rows`` rows, and whether they are few enough to broadcast.
 
@@ -38,31 +33,52 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFra
     return df.sparkSession.createDataFrame(found, hot.schema), True
 
 
-def lookup_join(
-    df: DataFrame, lookup: DataFrame, key: str, max_rows: int = BROADCAST_ROWS, salts: int = SALTS
+def skewed_join(
+    df: DataFrame, right: DataFrame, key: str, how: str, max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Left join to a table with unique keys that survives hot keys on the left.
+    """``left`` or ``left_semi`` join to a table with unique keys that survives hot keys on the left.
 
-    Small look-ups (counted) are broadcast. Otherwise both sides are salted: each left row
-    draws a salt from its content and every look-up row is repeated once per salt.
+    A right side that is counted small is broadcast. Otherwise rows of hot keys meet the few
+    matching right rows by broadcast, rows without a key need no match, and the rest is
+    shuffled. Every split is decided by the key alone, so retried tasks agree.
     """
-    if fits_broadcast(lookup, max_rows):
-        return df.join(F.broadcast(lookup), key, "left")
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    spread = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(spread, [key, "__salt"], "left").drop("__salt")
+    if how not in ("left", "left_semi"):
+        raise ValueError(f"how={how!r}")
+    if fits_broadcast(right, max_rows):
+        return df.join(F.broadcast(right), key, how)
+    added = [c for c in right.columns if c != key] if how == "left" else []
+    keyed = df.where(F.col(key).isNotNull())
+    hot = hot_keys(keyed, key, hot_rows)
+    if hot is None or not hot[1]:
+        parts = [keyed.join(right, key, how)]
+    else:
+        keys = F.broadcast(hot[0])
+        parts = [
+            keyed.join(keys, key, "left_anti").join(right, key, how),
+            # At most one right row per hot key.
+            keyed.join(keys, key, "left_semi").join(F.broadcast(right.join(keys, key, "left_semi")), key, how),
+        ]
+    if how == "left":
+        blank = df.where(F.col(key).isNull())
+        parts.append(blank.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in added}))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*df.columns, *added)
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, **limits) -> DataFrame:
+    """Columns of a table with unique keys, null where there is no match."""
+    return skewed_join(df, lookup, key, "left", **limits)
 
 
 def unpivot(
     df: DataFrame,
-    keep: Sequence[str | Column],
+    keep: Sequence[str],
     entries: Sequence[tuple[str, dict[str, Column]]],
     name: str = "feature",
 ) -> DataFrame:
     """One row per (row, entry): ``keep`` columns, the entry's name and its fields."""
     packed = [F.struct(F.lit(label).alias(name), *(c.alias(n) for n, c in fields.items())) for label, fields in entries]
-    keep_names = [k if isinstance(k, str) else None for k in keep]
-    if None in keep_names:
-        raise ValueError("keep takes column names")
-    long = df.select(*keep_names, F.explode(F.array(*packed)).alias("__cell"))
-    return long.select(*keep_names, "__cell.*")
+    long = df.select(*keep, F.explode(F.array(*packed)).alias("__cell"))
+    return long.select(*keep, "__cell.*")
