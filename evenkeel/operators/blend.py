@@ -72,7 +72,10 @@ def blend_weight_search(
         F.struct(F.lit(i).alias("slot"), _sum([F.lit(w) * F.col(c) for w, c in zip(row, preds)]).alias("score"))
         for i, row in enumerate(grid)
     ]
-    long = oof.select(target, week, F.explode(F.array(*cells)).alias("__c")).select(target, week, "__c.slot", "__c.score")
+    # Every row becomes as many as the grid is long, so rows are spread before, while small.
+    n = int(oof.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = oof.select(target, week, *preds).repartition(n, *preds)
+    long = rows.select(target, week, F.explode(F.array(*cells)).alias("__c")).select(target, week, "__c.slot", "__c.score")
     found = score_groups(long, "score", ["slot"], target, week, cuts)
     weights = oof.sparkSession.createDataFrame(
         [(i, *row) for i, row in enumerate(grid)], ", ".join(["slot int", *[f"{n} double" for n in names]])

@@ -15,7 +15,7 @@ from evenkeel.operators.hierarchy import aggregate_large_lite
 from evenkeel.operators.profile import null_profile_by_file
 from evenkeel.plans.wide import aggregate_group, aggregate_large, build_features, decision_dates, row_order
 from evenkeel.queries.bindings import frame, read, source
-from evenkeel.queries.registry import R, agg_sql, bound, group_sql, query, rounded, with_
+from evenkeel.queries.registry import TIE_SHIFT, R, agg_sql, bound, group_sql, query, rounded, with_
 from evenkeel.sources.tables import load_base
 
 PREV = "applprev_1"
@@ -190,7 +190,7 @@ def global_min_max(spark, sf):
 )
 def min_by_key(spark, sf):
     df = normalize_dates(frame(spark, sf, "credit_bureau_a_1"))
-    return df.groupBy("case_id").agg(F.min(fixed.REFRESH_DATE).cast("long").alias("first_refresh"))
+    return df.groupBy("case_id").agg(F.min(fixed.REFRESH_DATE).alias("first_refresh"))
 
 
 _CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -510,7 +510,7 @@ _EXAMPLE = {
     "isbidproduct_390L": (("max", "last"), "raw"),
     "num_group1": (("max", "last"), "raw"),
 }
-# Variances of amounts are in the billions, where the fourth digit is noise.
+# Variances of amounts are in the billions, where later digits are noise.
 _EXAMPLE_CELLS = [
     agg_sql(f"{op}_{c}", op, c, mode, digits=0 if op == "var" else 4)
     for c, spec in _EXAMPLE.items()
@@ -523,7 +523,8 @@ _EXAMPLE_CELLS = [
 def agg_policy_example(spark, sf):
     df = normalize_dates(frame(spark, sf, PREV))
     out = aggregate_by_key(df, "case_id", P.example_policy(df.schema), row_order(df, source(spark, sf).naming))
-    return rounded(out.withColumns({c: F.round(c, 0) for c in out.columns if c.startswith("var_")}))
+    coarse = {c: F.round(F.col(c) + F.lit(float(TIE_SHIFT)), 0) for c in out.columns if c.startswith("var_")}
+    return rounded(out.withColumns(coarse))
 
 
 query(
