@@ -333,4 +333,6 @@ def source_columns(outputs: Sequence[str], feature_set: str) -> set[str]:
     for f in formulas:
         if f.out in wanted:
             wanted |= {c for names in f.inputs for c in names}
+    if "counts" in components:
+        wanted |= {c.rsplit("__", 1)[0] for c in outputs if "__row_count__" in c}
     return wanted

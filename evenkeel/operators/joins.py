@@ -20,12 +20,14 @@ def left_join_on_key(left: DataFrame, right: DataFrame, key: str, suffix: str =
     return left.join(right.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), key, "left")
 
 
-def wide_left_join(base: DataFrame, parts: Sequence[DataFrame], key: str, numbered: bool = False) -> DataFrame:
+def wide_left_join(base: DataFrame, parts: Sequence[DataFrame | None], key: str, numbered: bool = False) -> DataFrame:
     """Chain of left joins on one key. Every part has one row per key and is already
-    partitioned by it, so the chain costs one exchange per input and none per join."""
+    partitioned by it, so the chain costs one exchange per input and none per join.
+    A part of None was pruned; it keeps its number."""
     out = base
     for i, part in enumerate(parts):
-        out = left_join_on_key(out, part, key, f"_{i}" if numbered else "_right")
+        if part is not None:
+            out = left_join_on_key(out, part, key, f"_{i}" if numbered else "_right")
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from evenkeel.functions.scalar import log_ratio_term
 from evenkeel.operators.joins import merge_reports
 from evenkeel.operators.metrics import auc_of_counts
-from evenkeel.operators.ordering import Cuts, find_cuts, quantiles_of_counts, rank_first, value_counts
+from evenkeel.operators.ordering import Cuts, blocks, find_cuts, quantiles_of_counts, rank_first, value_counts
 
 
 def quantile_bucket(
@@ -187,6 +187,14 @@ def feature_report(
     bins: int = 10,
 ) -> DataFrame:
     """One row per feature: missing rate, distinct count, IV, PSI, univariate AUC and bin rates."""
+    parts = [_report_block(df, block, row_id, target, week, bins) for block in blocks(features)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return sort_report(out)
+
+
+def _report_block(df: DataFrame, features: Sequence[str], row_id: str, target: str, week: str, bins: int) -> DataFrame:
     columns = {f: F.col(f) for f in features}
     cuts = find_cuts(df, {**columns, "__row": F.col(row_id)})
     counted = bin_counts(quantile_bucket(df, features, row_id, bins, [target], cuts), target)
@@ -210,7 +218,7 @@ def feature_report(
         bin_target_rates_of_bins(counted),
     ):
         out = out.join(part, "feature", "left")
-    return sort_report(out.fillna({"iv": 0.0, "bin_target_rates": "[]", "bin_monotonic_score": 0.0}))
+    return out.fillna({"iv": 0.0, "bin_target_rates": "[]", "bin_monotonic_score": 0.0})
 
 
 def sort_report(report: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.sql import Window as W
 
 from evenkeel.operators.skew import BROADCAST_ROWS, unpivot
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1024
 TREE_LIMIT = 128
+FEATURE_BLOCK = 50
 
 
 def default_buckets(spark: SparkSession) -> int:
@@ -34,7 +35,8 @@ class Cuts:
     heavy: tuple[float, ...] = field(default=())
 
     def _literal(self, values: Sequence[float]) -> Column:
-        return F.expr("array(" + ",".join(f"double('{v!r}')" for v in values) + ")")
+        # One text literal that folds to an array: a thousand points stay one plan node.
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
     def count_le(self, x: Column) -> Column:
         """How many cut points are <= x, by binary search: a tree of comparisons that compiles
@@ -257,10 +259,15 @@ def exact_quantiles(
     return quantiles_of_counts(rows, probs, group, most)
 
 
+def blocks(names: Sequence[str], size: int = FEATURE_BLOCK) -> list[list[str]]:
+    """Runs of names that share one job, so that no plan grows with the number of features."""
+    return [list(names[i : i + size]) for i in range(0, len(names), size)]
+
+
 def exact_medians(df: DataFrame, features: Mapping[str, Column], buckets: int | None = None) -> dict[str, float | None]:
     """Whole-table medians; one row per feature reaches the driver."""
-    if not features:
-        return {}
-    rows = exact_quantiles(df, features, [0.5], buckets=buckets).collect()
-    found = {r["feature"]: r["q"] for r in rows}
+    found: dict[str, float | None] = {}
+    for block in blocks(list(features)):
+        rows = exact_quantiles(df, {f: features[f] for f in block}, [0.5], buckets=buckets).collect()
+        found |= {r["feature"]: r["q"] for r in rows}
     return {name: found.get(name) for name in features}

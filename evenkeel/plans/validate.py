@@ -56,6 +56,8 @@ def expanding_window_cv(
 ) -> DataFrame:
     """Per fold: preprocessing and model see only weeks before the window, which is then scored.
 
+    Pass a table read back from files: every fold reads its weeks from it more than once.
+
     ``fold_frames`` collects the out-of-fold predictions when given.
     """
     windows = fold_windows(max_week(df, naming.week), valid_weeks, folds, gap_weeks)

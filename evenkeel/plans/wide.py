@@ -45,8 +45,12 @@ def aggregate_group(
     decisions: DataFrame | None = None,
     tie_break: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """One row per case from one table group, with the policy the feature set selects."""
+    wanted: set[str] | None = None,
+) -> DataFrame | None:
+    """One row per case from one table group, with the policy the feature set selects.
+
+    With ``wanted`` only measures of those names are run, and None is returned for no match.
+    """
     naming = source.naming
     df = normalize_dates(source.table(group), naming)
     if ids is not None:
@@ -54,6 +58,10 @@ def aggregate_group(
     components = parse_feature_set(feature_set)
     custom = uses_custom(components, group)
     measures = choose_policy(group, df.schema, components, custom, naming, dated=decisions is not None)
+    if wanted is not None:
+        measures = [m for m in measures if m.out in wanted]
+        if not measures:
+            return None
     return aggregate_by_key(df, naming.key, measures, row_order(df, naming, tie_break), decisions, hot_rows)
 
 
@@ -159,24 +167,33 @@ def _assemble(source, tables, components, feature_set, output_columns, sample_ro
     # A full build needs no id filter: the left joins drop foreign cases after grouping.
     ids = base.select(naming.key) if sample_rows else None
     decisions = decision_dates(base, naming)
-    small = [load_depth0(source, g, ids) for g in tables.depth0]
-    small += [
-        aggregate_group(
-            source, g, feature_set, ids, decisions if uses_custom(components, g) else None, tie_break, hot_rows
-        )
-        for g in tables.grouped
-    ]
-    wide = wide_left_join(base, small, naming.key, numbered=prefixed or by_suffix)
-    if output_columns is not None and not prefixed:
+    numbered = prefixed or by_suffix
+    # Row-wise counters read every column and prefixed names do not tell their table, so
+    # those builds cannot be pruned early.
+    wanted = None
+    if output_columns is not None and not prefixed and "missing" not in components:
         wanted = source_columns(output_columns, feature_set) | set(naming.protected)
         if by_suffix:
             wanted |= {naming.decision, naming.month}
-        # Row-wise counters read every column, so they cannot be pruned early.
-        if not components & {"missing"}:
-            wide = wide.select(*[c for c in wide.columns if c in wanted or c.endswith("__row_count")])
+    small: list[DataFrame | None] = []
+    for i, g in enumerate(tables.depth0):
+        part = load_depth0(source, g, ids)
+        suffix = f"_{i}" if numbered else "_right"
+        used = wanted is None or any({c, f"{c}{suffix}"} & wanted for c in part.columns if c != naming.key)
+        small.append(part if used else None)
+    for g in tables.grouped:
+        dated = decisions if uses_custom(components, g) else None
+        small.append(aggregate_group(source, g, feature_set, ids, dated, tie_break, hot_rows, wanted))
+    wide = wide_left_join(base, small, naming.key, numbered)
+    if wanted is not None:
+        wide = wide.select(*[F.col(f"`{c}`") for c in wide.columns if c in wanted])
     if by_suffix:
         wide = hash_string_columns(wide)
-    large = [aggregate_large(source, g, feature_set, ids) for g in tables.large]
+    large = [
+        aggregate_large(source, g, feature_set, ids)
+        for g in tables.large
+        if wanted is None or any(c.startswith(f"{g}__") for c in wanted)
+    ]
     wide = wide_left_join(wide, large, naming.key)
     if prefixed or by_suffix:
         wide = date_feature_postprocess(wide, naming, drop_calendar=prefixed)

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.scalar import normalize_dates
 from evenkeel.operators.derived import derive
-from evenkeel.operators.grouping import aggregate_by_key
 from evenkeel.operators.hierarchy import aggregate_two_stage
-from evenkeel.operators.policies import listed_policy
 from evenkeel.plans.wide import aggregate_group, decision_dates
 from evenkeel.queries.bindings import bound_sql, frame, source
 from evenkeel.queries.q_hierarchy import _CASE, _CASE_STATS, _CONTRACT_CTE, G, _P

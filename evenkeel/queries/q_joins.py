@@ -14,7 +14,6 @@ from evenkeel.plans.validate import fold_windows, max_week, union_folds
 from evenkeel.plans.wide import decision_dates
 from evenkeel.queries.bindings import bound_sql, frame, read
 from evenkeel.queries.registry import R, agg_sql, bound, query, rounded, with_
-from evenkeel.sources.tables import load_base
 
 _4 = ("mean", "max", "min", "std")
 _LINE_CELLS = ", ".join(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evenkeel.operators import blend as B
 from evenkeel.operators import metrics as M
 from evenkeel.operators.lab import importance_threshold_drop
 from evenkeel.operators.models import fit_logistic
+from evenkeel.operators.skew import unpivot
 from evenkeel.plans import validate as V
 from evenkeel.queries.bindings import bound_sql, frame, read
 from evenkeel.queries.registry import R, bound, query, rounded, with_
@@ -195,11 +197,9 @@ def q_search(spark, sf):
 )
 def q_sort(spark, sf):
     """The sorted order is kept as a column, results being compared without order."""
-    from evenkeel.operators.skew import unpivot
-
     long = unpivot(scored(spark, sf), ["target"], [(n, {"score": F.col(f"{n}_pred")}) for n in SCORES], "model")
     report = M.auc(long, "score", group=["model"]).orderBy(F.desc("auc"), "model")
-    place = F.row_number().over(M.W.orderBy(F.desc("auc"), "model"))
+    place = F.row_number().over(W.orderBy(F.desc("auc"), "model"))
     return rounded(report.select("model", "auc", place.alias("place")), 8)
 
 

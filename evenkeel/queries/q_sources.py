@@ -5,15 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from evenkeel.functions.naming import DEFAULT
 from evenkeel.functions.scalar import normalize_dates
 from evenkeel.operators import columns as C
-from evenkeel.operators.derived import derive
 from evenkeel.operators.grouping import aggregate_by_key
-from evenkeel.operators.joins import semi_filter
 from evenkeel.operators.models import batch_score
 from evenkeel.operators.policies import default_policy
-from evenkeel.plans.validate import ablation_groups
 from evenkeel.plans.wide import build_features, date_feature_postprocess, sample_head
 from evenkeel.queries.bindings import bound_sql, frame, read, source
 from evenkeel.queries.registry import R, agg_sql, bound, group_sql, query, rounded, with_

@@ -357,3 +357,51 @@ def test_build_prefixed_and_full_sets(spark):
 def test_frame_source_errors(spark):
     with pytest.raises(FileNotFoundError):
         FrameSource({}).table("base")
+
+
+def test_correlation_prune_keeps_the_richest_of_a_group(spark):
+    data = [(float(i), float(2 * i), float(i // 4), float(i % 3), None if i == 0 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(data, "a double, b double, coarse double, free double, gap double")
+    assert encode.correlation_prune(df, ["coarse", "a", "b", "free", "gap"]) == ["a", "free", "gap"]
+
+
+def test_large_groups_see_all_files_at_once(spark, tmp_path):
+    """A case whose payments lie in two files is whole."""
+    folder = f"{tmp_path}/parquet_files/train"
+    df = frame(spark, SF, "credit_bureau_a_2")
+    for i in range(2):
+        df.where(F.pmod("num_group2", F.lit(2)) == i).write.parquet(f"{folder}/train_credit_bureau_a_2_{i}.parquet")
+    from evenkeel.plans.wide import aggregate_large
+
+    split = aggregate_large(ParquetLayout(spark, str(tmp_path), "train"), "credit_bureau_a_2", "sota_cat_661")
+    whole = aggregate_large(source(spark, SF), "credit_bureau_a_2", "sota_cat_661")
+    keep = [c for c in whole.columns if c.rsplit("__", 1)[-1] in ("case_id", "max", "min", "nunique", "first", "last")]
+    assert rows(split.select(keep)) == rows(whole.select(keep))
+
+
+def test_many_cut_points_search_an_array(spark):
+    points = tuple(float(i) for i in range(300))
+    df = spark.createDataFrame([(-1.0,), (0.0,), (12.5,), (299.0,), (1e6,)], "x double")
+    cuts = ordering.Cuts(points)
+    assert [r[0] for r in df.select(cuts.bucket(F.col("x"))).collect()] == [0, 1, 13, 300, 300]
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from evenkeel.sources.files import scan_projected, scan_week_range, write_feature_table
+
+    path = f"{tmp_path}/wide"
+    write_feature_table(frame(spark, SF, "base"), path, "WEEK_NUM", files=2)
+    plan = scan_week_range(spark, path, "WEEK_NUM", 3, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(WEEK_NUM,3)" in plan and "LessThanOrEqual(WEEK_NUM,9)" in plan
+    plan = scan_projected(spark, path, ["WEEK_NUM"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<WEEK_NUM:int>" in plan
+
+
+def test_pruned_build_reads_only_what_outputs_need(spark):
+    wide = build_features(source(spark, SF), "a2lite", "none", ["applprev_1__annuity_853A__mean"])
+    assert wide.columns == ["case_id", "target", "applprev_1__annuity_853A__mean"]
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    # The orders as base and one scan of the lines; the other groups are not even joined.
+    assert plan.count("FileScan parquet") == 2 and "stddev" not in plan and "max(" not in plan
+    counts = build_features(source(spark, SF), "baseline", "counts", ["person_1__row_count__log1p"])
+    assert counts.columns == ["case_id", "target", "person_1__row_count__log1p"]
