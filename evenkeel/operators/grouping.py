@@ -100,6 +100,7 @@ def aggregate_by_key(
     schema = df.schema
     if not measures:
         return df.select(key).distinct()
+    inputs: dict[tuple, Column] = {}
     plain: list[Column] = []
     firsts: list[tuple[Measure, Column]] = []
     lasts: list[tuple[Measure, Column]] = []
@@ -114,7 +115,10 @@ def aggregate_by_key(
         if m.op == "row_count":
             plain.append(F.count(F.lit(1)).alias(m.out))
             continue
-        x = source_column(m, schema)
+        source = (m.col, m.mode == "raw", m.fill, m.only)
+        if source not in inputs:
+            inputs[source] = source_column(m, schema)
+        x = inputs[source]
         op = A.BEFORE_OPS.get(m.op, m.op) if m.mode == "before" else m.op
         if op == "median":
             medians[m.out] = x

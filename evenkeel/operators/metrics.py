@@ -23,7 +23,7 @@ def score_counts(
         cuts = find_cuts(df, {score: F.col(score)}, buckets)[score]
     hits = F.sum(F.col(target).cast("long"))
     return (
-        df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+        df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(target).isNotNull())
         .groupBy(*group, score, cuts.bucket(F.col(score)).alias("bucket"))
         .agg(hits.alias("pos"), (F.count(F.lit(1)) - hits).alias("neg"))
     )

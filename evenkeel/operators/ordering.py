@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evenkeel.functions.scalar import nan_to_null
 from evenkeel.operators.skew import BROADCAST_ROWS, unpivot
 
 MAX_BUCKETS = 1024
@@ -99,7 +100,7 @@ def find_cuts(df: DataFrame, columns: Mapping[str, Column], buckets: int | None
     ).first()
     out = {}
     for name in columns:
-        values = row[name] or []
+        values = [v for v in row[name] or [] if v == v]
         seen = sorted(set(values))
         out[name] = Cuts(tuple(seen), tuple(v for v in seen if values.count(v) > 1))
     return out
@@ -112,6 +113,11 @@ def _prefix(totals: DataFrame, group: Sequence[str], bucket: str, names: Sequenc
     )
 
 
+def known_number(c: Column) -> Column:
+    """Double with NaN read as missing."""
+    return nan_to_null(c.cast("double"))
+
+
 def running_before(
     df: DataFrame,
     group: Sequence[str],
@@ -150,7 +156,7 @@ def rank_first(
 
     Long result: row_id, keep, feature, x, r (from 1).
     """
-    columns = {f: F.col(f).cast("double") for f in features}
+    columns = {f: known_number(F.col(f)) for f in features}
     cuts = cuts or find_cuts(df, {**columns, "__row": F.col(row_id).cast("double")}, buckets)
     tie_cuts = cuts["__row"]
     tie = F.col(row_id).cast("double")
@@ -177,7 +183,7 @@ def value_counts(
     A measure is a column, or a function of the feature name that gives one.
     """
     measures = measures or {}
-    columns = {f: c.cast("double") for f, c in features.items()}
+    columns = {f: known_number(c) for f, c in features.items()}
     cuts = cuts or find_cuts(df, columns, buckets)
 
     def fields(name: str, c: Column) -> dict[str, Column]:
@@ -251,7 +257,7 @@ def exact_quantiles(
     groups: int | None = 1,
 ) -> DataFrame:
     """Quantiles per feature, or per group and feature; ``groups`` is their number if known."""
-    columns = {f: c.cast("double") for f, c in features.items()}
+    columns = {f: known_number(c) for f, c in features.items()}
     cuts = find_cuts(df, columns, buckets)
     entries = [(f, {"x": c, "bucket": cuts[f].bucket(c), "n": F.lit(1)}) for f, c in columns.items()]
     rows = unpivot(df, list(group), entries).where(F.col("x").isNotNull())

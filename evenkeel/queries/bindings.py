@@ -12,6 +12,7 @@ import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from evenkeel.sources.tables import FrameSource
 
@@ -207,8 +208,15 @@ TABLES = (
 _DAYS = re.compile(r"DAYS\((\w+)\)")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet")
+    """A given table; its schema is read from the footer once per process."""
+    path = f"{sf.rstrip('/')}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def frame(spark: SparkSession, sf: str, group: str, binding: str = "orders") -> DataFrame:

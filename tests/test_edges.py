@@ -405,3 +405,12 @@ def test_pruned_build_reads_only_what_outputs_need(spark):
     assert plan.count("FileScan parquet") == 2 and "stddev" not in plan and "max(" not in plan
     counts = build_features(source(spark, SF), "baseline", "counts", ["person_1__row_count__log1p"])
     assert counts.columns == ["case_id", "target", "person_1__row_count__log1p"]
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 0), (2, 1.0, 1), (3, 3.0, 0), (4, nan, 1)], "id long, x double, target int")
+    assert ordering.exact_medians(df, {"x": F.col("x")}) == {"x": 2.0}
+    assert metrics.auc(df, "x").first()["n"] == 2
+    got = aggregate_by_key(df.withColumn("k", F.lit(1)), "k", [Measure("m", "max", "x"), Measure("a", "mean", "x")]).first()
+    assert (got["m"], got["a"]) == (3.0, 2.0)
