@@ -7,10 +7,10 @@ similar enough if they share a shingle within their prefixes, if their sizes are
 shared places leave room for enough others (positional filter), and if counts of their shingles over fixed ranges
 of hashes allow it (suffix filter). Candidates are verified once per pair against the whole sets.
 
-Groups of near copies aren't expanded into all pairs: first every member of a group that shares
-a shingle is tried against one leader. Pairs that are connected by then can't change a component; the
-second pass takes all pairs of the same prefix groups that are in different components. So no link is lost, and
-a group of m copies costs about m comparisons.
+Groups of near copies aren't expanded into all pairs. First the members of a group that shares a shingle
+are tried against leaders, members of the group's largest component so far. Pairs that are connected by then
+can't change a component; when few pairs of different components are left, or leaders settle little more, all
+of these are tried. So no component is lost, and a group of m copies costs about m comparisons.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows without an id
 link others but have no component of their own name; repeated rows are copies; an empty table gives an
@@ -39,6 +39,8 @@ FILTER = 1 << 20
 RANGES = 16
 #: A shingle that the sketch takes for more frequent than this has its postings spread over several leaders.
 LEADER_ROWS = 20_000
+#: Leaders that are tried at once after the first round.
+LEADERS = 12
 
 
 def _sets(batches, width: int):
@@ -162,19 +164,18 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_allowed(percent, most)).select("a", "b", "na", "nb")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = materialise(pairs, "candidates")
-    if pairs.isEmpty():
-        return pairs.select("a", "b")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def _sets_of(docs: DataFrame, postings: DataFrame, width: int) -> DataFrame:
+    """(class, shingles) of the classes that share a shingle of their prefix with another; written once."""
+    ends = postings.select("class").distinct()
 
     def cells(b):
         yield np.asarray(b.column(0)) % FILTER
 
-    wanted = counted(ends, cells, FILTER)
-    sets = materialise(_class_sets(docs, wanted, width), "sets")
-    # Most links lead from many classes to a few leaders (b): a's set travels with each pair.
+    return materialise(_class_sets(docs, counted(ends, cells, FILTER), width), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -186,30 +187,53 @@ def _fits(percent: int):
     return F.expr(f"100L * least(na, nb) >= {percent}L * greatest(na, nb)") & _allowed(percent, "least(na - pa, nb - pb)")
 
 
-def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each posting against the leader of its shingle's part, and those against the shingle's leader."""
-    rank = F.expr("struct(xxhash64(class) as r, class, size, place)")
+def _leader_pairs(postings: DataFrame, seeds: list[int], percent: int) -> DataFrame:
+    """Postings against leaders of their shingles: for each seed one member of the shingle's largest component.
 
-    def against(rows, leaders, keys):
-        left = rows.select(*keys, F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"))
-        right = leaders.where("n > 1").select(*keys, F.expr("l.class as b"), F.expr("l.size as nb"), F.expr("l.place as pb"))
-        return left.join(right, keys).where("a <> b").where(_fits(percent)).drop(*keys)
-
-    parts = postings.groupBy("shingle", "part").agg(F.min(rank).alias("l"), F.count("*").alias("n"))
-    tops = parts.groupBy("shingle").agg(F.min("l").alias("l"), F.count("*").alias("n"))
-    first = against(postings, parts, ["shingle", "part"])
-    return first.unionByName(against(parts.select("shingle", "l.*"), tops, ["shingle"]))
-
-
-def _other_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    Frequent shingles have leaders part by part, and the parts' leaders are tried against the shingle's. A class
+    keeps one leader for each seed: that with which it shares most.
+    """
+    found = []
+    for seed in seeds:
+        rank = F.expr(f"struct(-weight as w, xxhash64(class, {seed}) as r, class, size, place, root)")
+
+        def against(rows, leaders, keys):
+            left = rows.select(*keys, F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
+            right = leaders.select(*keys, *[F.expr(f"l.{x} as {y}") for x, y in (("class", "b"), ("size", "nb"), ("place", "pb"), ("root", "rb"))])
+            return left.join(right, keys).where("ra <> rb").where(_fits(percent)).drop(*keys)
+
+        parts = postings.groupBy("shingle", "part").agg(F.min(rank).alias("l"))
+        tops = parts.groupBy("shingle").agg(F.min("l").alias("l"))
+        pairs = against(postings, parts, ["shingle", "part"])
+        pairs = pairs.unionByName(against(parts.where("part > 0").select("shingle", "l.*"), tops, ["shingle"]))
+        counts = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+        found.append(counts.groupBy("a").agg(F.max(F.struct("n", "b", "na", "nb")).alias("m")).select("a", "m.b", "m.na", "m.nb"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """All pairs of prefix groups whose classes are in different components."""
-    p = postings.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed_groups = p.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    p = materialise(p.join(mixed_groups, "shingle").drop("part"), "mixed")
-    left = p.select("shingle", F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("root").alias("rooted"))
-    right = p.select("shingle", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("roots"))
-    pairs = left.join(right, "shingle").where("rooted <> roots and (na, a) < (nb, b)")
-    return pairs.where(_fits(percent))
+    left = postings.select("shingle", F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
+    right = postings.select("shingle", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
+    return left.join(right, "shingle").where("ra <> rb and (na, a) < (nb, b)").where(_fits(percent))
+
+
+def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
+    """The postings of shingles whose classes lie in several components, and how many pairs these are at most."""
+    if roots is None:
+        rooted = postings.withColumns({"root": F.col("class"), "weight": F.lit(1).cast("long")})
+    else:
+        weights = roots.groupBy("root").agg(F.count("*").alias("weight"))
+        named = roots.join(weights, "root").withColumnRenamed("node", "class")
+        rooted = postings.drop("root", "weight").join(named, "class", "left")
+        rooted = rooted.withColumns({"root": F.coalesce("root", "class"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    each = rooted.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    keys = each.groupBy("shingle").agg(F.expr("sum(n) * sum(n) - sum(n * n)").alias("twice"), F.count("*").alias("c")).where("c > 1")
+    keys = materialise(keys.drop("c"), "keys")
+    return materialise(rooted.join(keys.select("shingle"), "shingle"), "unsettled"), (keys.agg(F.sum("twice")).first()[0] or 0) // 2
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -224,10 +248,22 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     )
     sketch = _frequencies(docs, width)
     postings = materialise(_shared(_postings(docs, sketch, width, percent)), "postings")
-    links = _verified(docs, _filtered(_leader_pairs(postings, percent), classes, percent), width, percent)
-    roots = components(links)
-    more = _verified(docs, _filtered(_other_pairs(postings, roots, percent), classes, percent), width, percent)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    sets, most = _sets_of(docs, postings, width), postings.count()
+    empty = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    roots, rest, before, step = None, postings, None, 0
+    while True:
+        rest, n = _unsettled(rest, roots)
+        # All pairs once they are no more than the postings were, or once leaders settle little.
+        last = n <= most or (before is not None and 5 * n > 4 * before)
+        seeds = [0] if step == 0 else list(range(LEADERS * step, LEADERS * (step + 1)))
+        pairs = _all_pairs(rest, percent) if last else _leader_pairs(rest, seeds, percent)
+        links = _verified(materialise(_filtered(pairs, classes, percent), "candidates"), sets, percent) if n else empty
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        if last:
+            break
+        before, step = n, step + 1
     named = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(least, "root").select(F.col("node").alias("class"), "least")

@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontam, jaccard
+from evenkeel.llm import decontam, jaccard, packing, quality, sharding, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op2_token_files(spark, sf_dir):
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark, sf_dir):
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
