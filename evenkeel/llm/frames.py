@@ -29,9 +29,9 @@ def batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
     )
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function that yields lists of columns."""
-    kind = schema_of(schema)
+    kind = schema_of(schema) if isinstance(schema, str) else schema
 
     def run(batches):
         for columns in fn(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontam, jaccard, packing, quality, sharding, token_counts, token_files, warc
+from evenkeel.llm import decontam, jaccard, packing, pii, quality, sharding, site_tree, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return site_tree.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_pii_field(spark, sf_dir):
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
