@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontam, jaccard
+from evenkeel.llm import decontam, jaccard, packing, pii, quality
 from evenkeel.session import materialise
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.kept_only(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return jaccard.keep_first(docs, jaccard.near_duplicates(docs))
@@ -19,9 +25,22 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.clean(docs, decontam.decontaminate(docs, items))
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked."""
+    return pii.mask(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, packed into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("ngram_jaccard_join", near_duplicates),
     ("benchmark_decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("packing", packed),
 ]
 
 #: Tokenizers and the trained field have no SQL form; tests hold the stages against brute force.
