@@ -21,7 +21,7 @@ class Whole:
 
     def __enter__(self):
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(self.part, compression=None)
         return self.out
 
     def __exit__(self, kind, *_):

@@ -60,7 +60,7 @@ def _record(kind: str, url: str, date: str, block: bytes, **more: str | None) ->
 def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of an archive, one gzip member at a time."""
     files, path = place(uri)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
         left = b""
         while left or (left := f.read(_READ)):
             unpack, data = zlib.decompressobj(31), io.BytesIO()
