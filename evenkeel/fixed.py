@@ -95,7 +95,6 @@ STABLE_RANGES = (
     "credit_bureau_a_1__numberofoverdueinstlmaxdat_148D",
 )
 RANGE_WORDS = ("amount", "debt", "dpd", "annuity", "cred")
-RANGE_LIMIT = 80
 
 # --- column sets behind the bureau summary features ---------------------------------------
 BUREAU_DPD = ("dpdmax_139P", "dpdmax_757P")

@@ -105,4 +105,4 @@ BEFORE_OPS = {"max": "min", "min": "max"}
 
 def check_op(op: str) -> None:
     if op not in OPS:
-        raise ValueError(f"Unknown aggregation op: {op}")
+        raise ValueError(f"{op!r} is no aggregate")

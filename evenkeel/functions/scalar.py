@@ -109,8 +109,9 @@ def min_of_row(parts: Sequence[Column]) -> Column:
 
 
 def hash_string(c: Column, seed: int = HASH_SEED) -> Column:
-    """Non-negative seeded hash, null as -1."""
-    code = F.pmod(F.xxhash64(F.lit(seed), c), F.lit(HASH_MODULUS)).cast("int")
+    """Non-negative seeded hash, null as -1: the first 60 bits of the md5 of seed and text, so other engines get the same."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c)), 1, 15), 16, 10).cast("long")
+    code = F.pmod(bits, F.lit(HASH_MODULUS)).cast("int")
     return F.when(c.isNull(), F.lit(-1)).otherwise(code)
 
 

@@ -29,17 +29,15 @@ def mean_vote(columns: Sequence[str]) -> Column:
     return _sum([F.col(c) for c in columns]) / F.lit(float(len(columns)))
 
 
-def weight_grid(step: float = 0.05, max_third: float = 0.30, slack: float = 1e-9) -> list[tuple[float, float, float]]:
-    """Points of the three-weight simplex whose third weight stays below the limit."""
+def weight_grid(step: float = 0.05, max_third: float = 0.30) -> list[tuple[float, float, float]]:
+    """All triples of multiples of the step that add up to 1, the third within its limit.
+
+    Counted in whole steps, so no rounding decides which triples belong.
+    """
     n = round(1 / step)
-    ticks = [round(i * step, 10) for i in range(n + 1)]
-    grid = []
-    for a in ticks:
-        for b in ticks:
-            c = 1.0 - a - b
-            if -slack <= c <= max_third + slack:
-                grid.append((a, b, round(c, 10)))
-    return grid
+    most = int(max_third * n + 1e-9)
+    triples = ((a, n - a - c, c) for a in range(n + 1) for c in range(min(most, n - a), -1, -1))
+    return [tuple(round(k / n, 10) for k in t) for t in triples]
 
 
 def expand_weights(df: DataFrame, models: Sequence[str], grid: Sequence[tuple[float, ...]]) -> DataFrame:

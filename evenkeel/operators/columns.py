@@ -112,9 +112,29 @@ def apply_drop_list(df: DataFrame, names: Sequence[str], protected: Sequence[str
     return df.drop(*[c for c in names if c in df.columns and c not in protected])
 
 
+def _md5_number(key: str, seed: int) -> Column:
+    """A number from 0 to 2**48 - 1 that the key's text and the seed decide, the same in every engine."""
+    text = F.concat(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+
+
 def sample_random(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows in a repeatable random order of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Exactly n rows in a repeatable random order of the key.
+
+    Counts over bounded bins of the random number find the bin in which the n-th row lies; only that bin's rows are
+    put in order, and no task gathers the sample.
+    """
+    bins = 4096
+    marked = df.withColumn("__r", _md5_number(key, seed)).withColumn("__bin", F.shiftright("__r", 36).cast("int"))
+    below, last = 0, bins
+    for r in sorted(marked.groupBy("__bin").count().collect()):
+        if below + r["count"] >= n:
+            last = r["__bin"]
+            break
+        below += r["count"]
+    whole = marked.where(F.col("__bin") < last)
+    rest = marked.where(F.col("__bin") == last).orderBy("__r", key).limit(n - below) if last < bins else marked.limit(0)
+    return whole.unionByName(rest).select(*df.columns)
 
 
 INT_LIMITS = (("tinyint", 127), ("smallint", 32767), ("int", 2147483647))
@@ -156,7 +176,6 @@ def align_columns(df: DataFrame, wanted: Sequence[str], dtype: str = "double") -
 def candidate_features(
     df: DataFrame,
     prefixes: Sequence[str] = (),
-    max_features: int | None = None,
     naming: Naming = DEFAULT,
 ) -> list[str]:
     """Numeric columns with more than one value, in column order."""
@@ -168,4 +187,4 @@ def candidate_features(
         and (not prefixes or f.name.startswith(tuple(prefixes)))
     ]
     profiles = profile_columns(df, names, enough=2)
-    return [c for c in names if profiles[c].distinct > 1][:max_features]
+    return [c for c in names if profiles[c].distinct > 1]

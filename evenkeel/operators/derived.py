@@ -212,12 +212,12 @@ def payments(full: bool) -> list[Formula]:
     return out
 
 
-def ranges_by_word(columns: Sequence[str], limit: int = fixed.RANGE_LIMIT) -> list[Formula]:
-    """Ranges of the first money-like max/min pairs, in column order."""
+def ranges_by_word(columns: Sequence[str]) -> list[Formula]:
+    """Ranges of all money-like max/min pairs, in column order."""
     have = set(columns)
     stems = [c[: -len("__max")] for c in columns if c.endswith("__max")]
     wanted = [s for s in stems if f"{s}__min" in have and any(w in f"{s}__max".lower() for w in fixed.RANGE_WORDS)]
-    return [value_range(s) for s in wanted[:limit]]
+    return [value_range(s) for s in wanted]
 
 
 def component_formulas(components: frozenset[str], columns: Sequence[str]) -> list[Formula]:

@@ -9,15 +9,16 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from evenkeel.functions.naming import DEFAULT
 from evenkeel.operators.columns import choose_columns
 from evenkeel.operators.joins import map_values
 from evenkeel.operators.ordering import exact_medians
 from evenkeel.operators.profile import ColumnProfile, profile_columns
-from evenkeel.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
+from evenkeel.operators.skew import BROADCAST_ROWS, lookup_join
+from evenkeel.session import materialise
 
-MAX_CATEGORIES = BROADCAST_ROWS
 PAIR_BLOCK = 200
 
 
@@ -123,17 +124,22 @@ def apply_preprocessor(df: DataFrame, state: PreprocessState, keep: Sequence[str
     return df.select(*out)
 
 
-def category_codes(df: DataFrame, name: str, out: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """Sorted position of each category, null as -1. Too many categories is an error: such
-    columns are dropped by the cardinality filter before encoding."""
+def category_codes(df: DataFrame, name: str, out: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Sorted position of each category, null as -1; any number of categories.
+
+    The distinct values are spread over ranges. A value's code is its rank within its range plus what lies below; only the
+    totals of the ranges are gathered.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(name).where(F.col(name).isNotNull()).distinct()
-    if not fits_broadcast(values, max_categories):
-        raise ValueError(f"{name} has more than {max_categories} categories")
-    codes = {v: i for i, v in enumerate(r[0] for r in values.orderBy(name).collect())}
-    table = df.sparkSession.createDataFrame(list(codes.items()), f"`{name}` string, `{out}` int")
-    return df.join(F.broadcast(table), name, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1))).select(
-        *df.columns, out
-    )
+    ranged = materialise(values.repartitionByRange(n, name).withColumn("__range", F.spark_partition_id()), "categories")
+    below = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    begins = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    begins = begins.select("__range", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__begin"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(name)) - 1
+    codes = ranged.withColumn("__k", inside).join(F.broadcast(begins), "__range")
+    codes = codes.select(name, (F.col("__begin") + F.col("__k")).cast("int").alias(out))
+    return lookup_join(df, codes, name, max_rows=max_rows).withColumn(out, F.coalesce(F.col(out), F.lit(-1))).select(*df.columns, out)
 
 
 def median_impute(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -185,18 +191,22 @@ def correlation_prune(df: DataFrame, names: Sequence[str], threshold: float = 0.
     """Within columns of equal null count, correlated ones form a group that keeps its member
     with the most distinct values (the first on ties)."""
     profiles = profile_columns(df, names)
-    groups = null_groups(profiles)
-    pairs = [(a, b) for g in groups.values() for i, a in enumerate(g) for b in g[i + 1 :]]
-    corr = pairwise_correlations(df, pairs)
+    waiting = list(null_groups(profiles).values())
     kept = []
-    for members in groups.values():
-        left = list(members)
-        while left:
-            lead, *rest = left
+    while waiting:
+        # One pass for the leaders of all groups against their rests.
+        pairs = [(g[0], c) for g in waiting for c in g[1:]]
+        corr = pairwise_correlations(df, pairs)
+        later = []
+        for lead, *rest in waiting:
             alike = [lead] + [c for c in rest if (corr[(lead, c)] or 0.0) >= threshold]
             kept.append(max(alike, key=lambda c: profiles[c].distinct))
             left = [c for c in rest if c not in alike]
-    return kept
+            if left:
+                later.append(left)
+        waiting = later
+    order = {c: i for i, c in enumerate(c for g in null_groups(profiles).values() for c in g)}
+    return sorted(kept, key=order.__getitem__)
 
 
 def standardize_features(df: DataFrame, names: Sequence[str], floor: float = 1e-6) -> DataFrame:

@@ -18,7 +18,7 @@ from evenkeel.functions import aggregates as A
 from evenkeel.functions.aggregates import Measure
 from evenkeel.functions.scalar import nan_to_null, to_double
 from evenkeel.operators.ordering import exact_quantiles
-from evenkeel.operators.skew import HOT_ROWS, hot_keys, unpivot
+from evenkeel.operators.skew import HOT_ROWS, hot_cell, hot_cells, unpivot
 
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
 
@@ -49,16 +49,24 @@ def group_medians(
     """Exact median per key. Keys above ``hot_rows`` rows are selected through value buckets
     instead of being gathered in one buffer."""
     medians = [F.median(c).alias(out) for out, c in columns.items()]
-    hot = hot_keys(df, key, hot_rows)
-    if hot is None:
+    cells = hot_cells(df, key, hot_rows)
+    if not cells:
         return df.groupBy(key).agg(*medians)
-    keys, few = hot
-    side = F.broadcast(keys) if few else keys
-    cold = df.join(side, key, "left_anti").groupBy(key).agg(*medians)
-    groups = keys.count() if few else None
-    long = exact_quantiles(df.join(side, key, "left_semi"), columns, [0.5], group=[key], groups=groups)
-    picked = long.groupBy(key).agg(*[F.max(F.when(F.col("feature") == out, F.col("q"))).alias(out) for out in columns])
-    return cold.unionByName(keys.join(picked, key, "left"))
+    hot = hot_cell(key).isin(cells)
+    cold = df.where(~hot).groupBy(key).agg(*medians)
+    # Grouped by hash and flag, which are never null: a key of null is a key like any other.
+    at = ["__null", "__at"]
+    rows = df.where(hot).withColumns({"__null": F.col(key).isNull(), "__at": F.xxhash64(key)})
+    keys = rows.groupBy(*at, key).agg(F.lit(1).alias("__one")).drop("__one")
+    long = exact_quantiles(rows, columns, [0.5], group=at, groups=None)
+    picked = long.groupBy(*at).agg(*[F.max(F.when(F.col("feature") == out, F.col("q"))).alias(out) for out in columns])
+    return cold.unionByName(keys.join(picked, at, "left").drop(*at))
+
+
+def join_parts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two tables of one row per key side by side; a key of null meets itself."""
+    other = right.withColumnRenamed(key, "__key")
+    return left.join(other, left[key].eqNullSafe(other["__key"]), "left").drop("__key")
 
 
 def group_distincts(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
@@ -157,7 +165,7 @@ def aggregate_by_key(
         parts.append(group_medians(df, key, medians, hot_rows))
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, key, "left")
+        out = join_parts(out, part, key)
 
     unpack = {m.out: F.col(f"__first.`{m.out}`") for m, _ in firsts}
     unpack |= {m.out: F.col(f"__last.`{m.out}`") for m, _ in lasts}

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join, skewed_join
+from evenkeel.operators.skew import BROADCAST_ROWS, lookup_join, skewed_join
 
 
 def left_join_on_key(left: DataFrame, right: DataFrame, key: str, suffix: str = "_right") -> DataFrame:
@@ -20,31 +20,24 @@ def left_join_on_key(left: DataFrame, right: DataFrame, key: str, suffix: str =
     return left.join(right.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), key, "left")
 
 
-def wide_left_join(base: DataFrame, parts: Sequence[DataFrame | None], key: str, numbered: bool = False) -> DataFrame:
+def wide_left_join(base: DataFrame, parts: Sequence[DataFrame | None], key: str, numbered_from: int | None = None) -> DataFrame:
     """Chain of left joins on one key. Every part has one row per key and is already
     partitioned by it, so the chain costs one exchange per input and none per join.
-    A part of None was pruned; it keeps its number."""
+    A part of None was pruned; it keeps its number. Clashing names get the part's number from the
+    given part on, before it (or without one) the plain suffix."""
     out = base
     for i, part in enumerate(parts):
         if part is not None:
+            numbered = numbered_from is not None and i >= numbered_from
             out = left_join_on_key(out, part, key, f"_{i}" if numbered else "_right")
     return out
 
 
 def semi_filter(df: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose key is in ``ids``; the id list is broadcast only when it is counted small."""
+    """Rows whose key is in ``ids``, whatever their number; the id list is broadcast only when it is measured small."""
     return skewed_join(df, ids.select(key), key, "left_semi", max_rows)
 
 
-def semi_filter_if_small(df: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Semi filter before an aggregation only where it needs no shuffle of the raw rows.
-
-    Otherwise the rows pass: the left join from the base drops foreign keys after grouping.
-    """
-    ids = ids.select(key)
-    return df.join(F.broadcast(ids), key, "left_semi") if fits_broadcast(ids, max_rows) else df
-
-
 def attach_decision_date(events: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Every event row with its case's decision date."""
     return lookup_join(events, decisions, key)

@@ -14,7 +14,17 @@ from pyspark.sql import Window as W
 from evenkeel.functions.scalar import log_ratio_term
 from evenkeel.operators.joins import merge_reports
 from evenkeel.operators.metrics import auc_of_counts
-from evenkeel.operators.ordering import Cuts, blocks, find_cuts, quantiles_of_counts, rank_first, value_counts
+from evenkeel.operators.ordering import Cuts, blocks, find_cuts, known_number, quantiles_of_counts, rank_first, value_counts
+
+
+def column_sizes(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[int, bool]]:
+    """How many numbers each feature holds and whether they vary; one row."""
+    cells = []
+    for i, f in enumerate(features):
+        x = known_number(F.col(f))
+        cells += [F.count(x).alias(f"n{i}"), (F.min(x) < F.max(x)).alias(f"v{i}")]
+    row = df.agg(*cells).first()
+    return {f: (row[f"n{i}"], bool(row[f"v{i}"])) for i, f in enumerate(features)}
 
 
 def quantile_bucket(
@@ -24,17 +34,35 @@ def quantile_bucket(
     bins: int = 10,
     keep: Sequence[str] = (),
     cuts: Mapping[str, Cuts] | None = None,
+    sizes: Mapping[str, tuple[int, bool]] | None = None,
 ) -> DataFrame:
     """Equal-frequency bin (from 1) of every non-null value, ties split in row order.
 
-    Integer form of cutting positions 1..n at evenly spaced quantiles.
+    Integer form of cutting positions 1..n at evenly spaced quantiles. The sizes stand in the plan as literals,
+    so the ranked rows are read once.
     """
+    sizes = sizes or column_sizes(df, features)
     ranked = rank_first(df, features, row_id, keep, cuts=cuts)
-    sized = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    held = F.create_map(*[F.lit(x) for f in features for x in (f, sizes[f][0])])
     bin_of = F.expr(f"CASE WHEN n = 1 THEN 1 ELSE greatest(1, ((r - 1) * {bins} + n - 2) div (n - 1)) END")
-    return ranked.join(F.broadcast(sized), "feature").select(
-        row_id, *keep, "feature", "x", "r", bin_of.cast("int").alias("bin")
-    )
+    return ranked.withColumn("n", held[F.col("feature")]).select(row_id, *keep, "feature", "x", "r", bin_of.cast("int").alias("bin"))
+
+
+def _varying_bins(df, features, row_id, target, bins, cuts=None, sizes=None) -> DataFrame | None:
+    """Bin counts of the features that vary; others have no bins."""
+    sizes = sizes or column_sizes(df, features)
+    varying = [f for f in features if sizes[f][1]]
+    if not varying:
+        return None
+    return bin_counts(quantile_bucket(df, varying, row_id, bins, [target], cuts, sizes), target)
+
+
+def _for_all(df: DataFrame, features: Sequence[str], found: DataFrame | None, empty: Mapping[str, object]) -> DataFrame:
+    """A row for every feature, with the given values where nothing was found."""
+    labels = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    if found is None:
+        return labels.select("feature", *[F.lit(v).alias(c) for c, v in empty.items()])
+    return labels.join(found, "feature", "left").fillna(dict(empty))
 
 
 def bin_counts(binned: DataFrame, target: str) -> DataFrame:
@@ -58,7 +86,9 @@ def information_value_of_bins(bins: DataFrame) -> DataFrame:
 def information_value(
     df: DataFrame, features: Sequence[str], row_id: str, target: str = "target", bins: int = 10
 ) -> DataFrame:
-    return information_value_of_bins(bin_counts(quantile_bucket(df, features, row_id, bins, [target]), target))
+    """Information value; 0 for features that don't vary."""
+    counts = _varying_bins(df, features, row_id, target, bins)
+    return _for_all(df, features, None if counts is None else information_value_of_bins(counts), {"iv": 0.0})
 
 
 def bin_target_rates_of_bins(bins: DataFrame) -> DataFrame:
@@ -80,7 +110,10 @@ def bin_target_rates_of_bins(bins: DataFrame) -> DataFrame:
 def bin_target_rates(
     df: DataFrame, features: Sequence[str], row_id: str, target: str = "target", bins: int = 10
 ) -> DataFrame:
-    return bin_target_rates_of_bins(bin_counts(quantile_bucket(df, features, row_id, bins, [target]), target))
+    """Rates by bin; features that don't vary have none."""
+    counts = _varying_bins(df, features, row_id, target, bins)
+    none = {"bin_target_rates": "[]", "bin_monotonic_score": 0.0}
+    return _for_all(df, features, None if counts is None else bin_target_rates_of_bins(counts), none)
 
 
 def week_splits(df: DataFrame, features: Sequence[str], week: str = "WEEK_NUM") -> dict[str, int]:
@@ -187,38 +220,38 @@ def feature_report(
     bins: int = 10,
 ) -> DataFrame:
     """One row per feature: missing rate, distinct count, IV, PSI, univariate AUC and bin rates."""
-    parts = [_report_block(df, block, row_id, target, week, bins) for block in blocks(features)]
+    # Rows, sizes and middle weeks once for all features.
+    total, sizes, splits = df.count(), {}, {}
+    for block in blocks(features):
+        sizes |= column_sizes(df, block)
+        splits |= week_splits(df, block, week)
+    parts = [_report_block(df, block, row_id, target, week, bins, total, sizes, splits) for block in blocks(features)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return sort_report(out)
 
 
-def _report_block(df: DataFrame, features: Sequence[str], row_id: str, target: str, week: str, bins: int) -> DataFrame:
+def _report_block(df, features, row_id, target, week, bins, total, sizes, splits) -> DataFrame:
     columns = {f: F.col(f) for f in features}
     cuts = find_cuts(df, {**columns, "__row": F.col(row_id)})
-    counted = bin_counts(quantile_bucket(df, features, row_id, bins, [target], cuts), target)
+    counted = _varying_bins(df, features, row_id, target, bins, cuts, sizes)
     # One collapse to distinct values serves distinct counts, PSI and AUC.
-    splits = week_splits(df, features, week)
+    splits = {f: w for f, w in splits.items() if f in columns}
     counts = value_counts(df, columns, {**class_measures(target), **period_measures(splits, week)}, cuts=cuts)
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    held = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nunique"))
-    total = F.lit(rows.first()[0])
-    labels = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    basics = labels.join(held, "feature", "left").select(
-        "feature",
-        (1 - F.coalesce(F.col("n"), F.lit(0)) / total).alias("missing_rate"),
-        F.coalesce(F.col("nunique"), F.lit(0)).alias("nunique"),
-    )
-    out = basics
-    for part in (
-        information_value_of_bins(counted),
-        psi_of_counts(counts, features, bins),
-        auc_of_feature_counts(counts, features),
-        bin_target_rates_of_bins(counted),
-    ):
+    held = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("nunique"))
+    n = F.create_map(*[F.lit(x) for f in features for x in (f, sizes[f][0])])[F.col("feature")]
+    out = _for_all(df, features, held, {"nunique": 0}).select("feature", (1 - n / F.lit(total)).alias("missing_rate"), "nunique")
+    parts = [psi_of_counts(counts, features, bins), auc_of_feature_counts(counts, features)]
+    if counted is not None:
+        parts += [information_value_of_bins(counted), bin_target_rates_of_bins(counted)]
+    else:
+        parts.append(_for_all(df, features, None, {"iv": 0.0, "bin_target_rates": "[]", "bin_monotonic_score": 0.0}))
+    for part in parts:
         out = out.join(part, "feature", "left")
-    return out.fillna({"iv": 0.0, "bin_target_rates": "[]", "bin_monotonic_score": 0.0})
+    return out.fillna({"iv": 0.0, "bin_target_rates": "[]", "bin_monotonic_score": 0.0}).select(
+        "feature", "missing_rate", "nunique", "iv", "psi", "univariate_auc", "bin_target_rates", "bin_monotonic_score"
+    )
 
 
 def sort_report(report: DataFrame) -> DataFrame:

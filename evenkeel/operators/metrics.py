@@ -160,8 +160,10 @@ def score_groups(
     by_week = score_counts(df, score, target, [*group, week], cuts=cuts)
     overall = by_week.groupBy(*group, score, "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = auc_of_counts(overall, score, group).select(*group, "auc", gini(F.col("auc")).alias("gini"))
-    weeks = auc_of_counts(by_week.where(F.col(week).isNotNull()), score, [*group, week])
-    weekly = weeks.where(F.col("auc").isNotNull()).select(*group, week, gini(F.col("auc")).alias("gini"))
+    # Rows without a week are carried along and drop out by a value that is known only after the counts: a plain
+    # filter would sink below the aggregate and split the shared counts into two.
+    known = F.when(F.col(week).isNotNull(), gini(F.col("auc")))
+    weekly = auc_of_counts(by_week, score, [*group, week]).select(*group, week, known.alias("gini")).where("gini is not null")
     return total.join(stability_of_weeks(weekly, week, group), list(group), "left")
 
 

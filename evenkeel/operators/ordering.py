@@ -8,6 +8,7 @@ and the result never depends on how good the cut points are. Bucket totals (at m
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -92,8 +93,8 @@ def find_cuts(df: DataFrame, columns: Mapping[str, Column], buckets: int | None
     out = {}
     for name in columns:
         values = [v for v in row[name] or [] if v == v]
-        seen = sorted(set(values))
-        out[name] = Cuts(tuple(seen), tuple(v for v in seen if values.count(v) > 1))
+        seen = Counter(values)
+        out[name] = Cuts(tuple(sorted(seen)), tuple(v for v in sorted(seen) if seen[v] > 1))
     return out
 
 

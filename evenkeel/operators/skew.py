@@ -6,31 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # A median buffer holds a key's distinct values of every column; this keeps it to megabytes.
 HOT_ROWS = 100_000
-HOT_KEYS_ON_DRIVER = 10_000
+# Hot keys are known by cells of their hash. So many numbers at most reach the driver, whatever the data.
+HOT_CELLS = 4096
+SLICES = 32
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Measured, not assumed: true when ``df`` has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measured, not assumed: true when ``df`` has at most so many rows and bytes."""
+    texts = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    held = [F.sum(F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))) for c in texts]
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)), *held).first()
+    return row[0] <= max_rows and row[0] * 8 * len(df.columns) + sum(x or 0 for x in row[1:]) <= max_bytes
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool] | None:
-    """Keys with more than ``hot_rows`` rows, and whether they are few enough to broadcast.
+def hot_cell(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(HOT_CELLS)).cast("int")
 
-    At most rows / hot_rows keys qualify. None when there are none.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.where(F.col("__n") > hot_rows).select(key)
-    found = hot.where(F.col(key).isNotNull()).limit(HOT_KEYS_ON_DRIVER + 1).collect()
-    if not found:
-        return None
-    if len(found) > HOT_KEYS_ON_DRIVER:
-        return hot, False
-    return df.sparkSession.createDataFrame(found, hot.schema), True
+
+def hot_cells(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[int]:
+    """The cells that hold a key with more than ``hot_rows`` rows. Other keys may share a cell; that costs
+    work and changes no result."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    return sorted(r[0] for r in counts.select(hot_cell(key).alias("c")).distinct().collect())
 
 
 def skewed_join(
@@ -38,9 +41,9 @@ def skewed_join(
 ) -> DataFrame:
     """``left`` or ``left_semi`` join to a table with unique keys that survives hot keys on the left.
 
-    A right side that is counted small is broadcast. Otherwise rows of hot keys meet the few
-    matching right rows by broadcast, rows without a key need no match, and the rest is
-    shuffled. Every split is decided by the key alone, so retried tasks agree.
+    A right side that is measured small is broadcast. Otherwise the rows of hot keys are dealt over slices by a hash of
+    their other columns, and the right rows of these keys are repeated once per slice. Rows without a
+    key need no match. Every row's slice follows from the row alone, so retried tasks agree.
     """
     if how not in ("left", "left_semi"):
         raise ValueError(f"how={how!r}")
@@ -48,23 +51,20 @@ def skewed_join(
         return df.join(F.broadcast(right), key, how)
     added = [c for c in right.columns if c != key] if how == "left" else []
     keyed = df.where(F.col(key).isNotNull())
-    hot = hot_keys(keyed, key, hot_rows)
-    if hot is None or not hot[1]:
-        parts = [keyed.join(right, key, how)]
+    cells = hot_cells(keyed, key, hot_rows)
+    if cells:
+        hot = hot_cell(key).isin(cells)
+        slice_of = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]), F.lit(SLICES)).cast("int")
+        keyed = keyed.withColumn("__slice", F.when(hot, slice_of).otherwise(0))
+        every = F.when(hot, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+        joined = keyed.join(right.withColumn("__slice", F.explode(every)), [key, "__slice"], how).drop("__slice")
     else:
-        keys = F.broadcast(hot[0])
-        parts = [
-            keyed.join(keys, key, "left_anti").join(right, key, how),
-            # At most one right row per hot key.
-            keyed.join(keys, key, "left_semi").join(F.broadcast(right.join(keys, key, "left_semi")), key, how),
-        ]
+        joined = keyed.join(right, key, how)
+    out = joined.select(*df.columns, *added)
     if how == "left":
         blank = df.where(F.col(key).isNull())
-        parts.append(blank.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in added}))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*df.columns, *added)
+        out = out.unionByName(blank.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in added}))
+    return out
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, **limits) -> DataFrame:

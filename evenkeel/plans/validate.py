@@ -62,7 +62,7 @@ def expanding_window_cv(
     """
     windows = fold_windows(max_week(df, naming.week), valid_weeks, folds, gap_weeks)
     if not windows:
-        raise ValueError("No CV windows could be built.")
+        raise ValueError("there are too few weeks for a window")
     ids = (naming.key, naming.target, naming.week)
     out = []
     for fold, (start, end) in enumerate(windows, start=1):
@@ -113,7 +113,7 @@ def union_folds(frames: Sequence[DataFrame]) -> DataFrame:
 
 def ablation_groups(suite: str) -> dict[str, tuple[str, ...]]:
     if suite not in ("table", "agg"):
-        raise ValueError(f"Unknown suite {suite!r}")
+        raise ValueError(f"there is no suite {suite!r}")
     return fixed.ABLATION_TABLES if suite == "table" else fixed.ABLATION_AGGS
 
 
@@ -125,7 +125,7 @@ def run_ablations(
     names = list(only) or list(groups)
     unknown = [n for n in names if n not in groups]
     if unknown:
-        raise ValueError(f"Unknown ablation {unknown[0]!r}. Available: {sorted(groups)}")
+        raise ValueError(f"{unknown[0]!r} is no ablation of this suite; it has {', '.join(sorted(groups))}")
     out = None
     for name in names:
         kind = "prefixes" if suite == "table" else "aggs"

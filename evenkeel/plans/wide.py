@@ -19,7 +19,7 @@ from evenkeel.functions.scalar import (
 from evenkeel.operators.derived import derive, source_columns
 from evenkeel.operators.grouping import aggregate_by_key
 from evenkeel.operators.hierarchy import aggregate_large_lite, aggregate_two_stage
-from evenkeel.operators.joins import semi_filter_if_small, wide_left_join
+from evenkeel.operators.joins import semi_filter, wide_left_join
 from evenkeel.operators.policies import by_suffix_policy, choose_policy, prefix_large_policy
 from evenkeel.operators.skew import HOT_ROWS
 from evenkeel.plans.presets import parse_feature_set, preset, uses_custom
@@ -54,7 +54,7 @@ def aggregate_group(
     naming = source.naming
     df = normalize_dates(source.table(group), naming)
     if ids is not None:
-        df = semi_filter_if_small(df, ids, naming.key)
+        df = semi_filter(df, ids, naming.key)
     components = parse_feature_set(feature_set)
     custom = uses_custom(components, group)
     measures = choose_policy(group, df.schema, components, custom, naming, dated=decisions is not None)
@@ -73,7 +73,7 @@ def aggregate_large(
     components = parse_feature_set(feature_set)
     df = source.table(group)
     if ids is not None:
-        df = semi_filter_if_small(df, ids, naming.key)
+        df = semi_filter(df, ids, naming.key)
     payments = group == fixed.PAYMENTS
     if payments and "sota_lgb_644" in components:
         df = normalize_dates(df, naming)
@@ -167,7 +167,8 @@ def _assemble(source, tables, components, feature_set, output_columns, sample_ro
     # A full build needs no id filter: the left joins drop foreign cases after grouping.
     ids = base.select(naming.key) if sample_rows else None
     decisions = decision_dates(base, naming)
-    numbered = prefixed or by_suffix
+    # The prefixed build numbers clashing names of every table, the by-suffix build those of grouped tables.
+    numbered_from = 0 if prefixed else len(tables.depth0) if by_suffix else None
     # Row-wise counters read every column and prefixed names do not tell their table, so
     # those builds cannot be pruned early.
     wanted = None
@@ -178,13 +179,13 @@ def _assemble(source, tables, components, feature_set, output_columns, sample_ro
     small: list[DataFrame | None] = []
     for i, g in enumerate(tables.depth0):
         part = load_depth0(source, g, ids)
-        suffix = f"_{i}" if numbered else "_right"
+        suffix = f"_{i}" if numbered_from == 0 else "_right"
         used = wanted is None or any({c, f"{c}{suffix}"} & wanted for c in part.columns if c != naming.key)
         small.append(part if used else None)
     for g in tables.grouped:
         dated = decisions if uses_custom(components, g) else None
         small.append(aggregate_group(source, g, feature_set, ids, dated, tie_break, hot_rows, wanted))
-    wide = wide_left_join(base, small, naming.key, numbered)
+    wide = wide_left_join(base, small, naming.key, numbered_from)
     if wanted is not None:
         wide = wide.select(*[F.col(f"`{c}`") for c in wide.columns if c in wanted])
     if by_suffix:

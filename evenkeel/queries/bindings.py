@@ -235,7 +235,7 @@ def frame(spark: SparkSession, sf: str, group: str, binding: str = "orders") ->
 
 
 def source(spark: SparkSession, sf: str, binding: str = "orders") -> FrameSource:
-    return FrameSource(_LazyFrames(spark, sf, binding), label=f"{binding}:{sf}")
+    return FrameSource(_LazyFrames(spark, sf, binding))
 
 
 class _LazyFrames(dict):
@@ -245,6 +245,9 @@ class _LazyFrames(dict):
         super().__init__()
         self._args = (spark, sf, binding)
 
+    def __iter__(self):
+        return iter(BINDINGS[self._args[2]])
+
     def __contains__(self, group: object) -> bool:
         return group in BINDINGS[self._args[2]]
 

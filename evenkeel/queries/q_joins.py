@@ -153,8 +153,8 @@ def q_folds(spark, sf):
 
 @query(
     "weight_grid_cross",
-    "WITH t AS (SELECT i FROM range(11) r(i)), g AS (SELECT a.i / 10.0 AS a_weight, b.i / 10.0 AS b_weight,"
-    " (10 - a.i - b.i) / 10.0 AS c_weight FROM t a, t b WHERE 10 - a.i - b.i BETWEEN 0 AND 3)"
+    "WITH t AS (SELECT i FROM range(21) r(i)), g AS (SELECT a.i / 20.0 AS a_weight, b.i / 20.0 AS b_weight,"
+    " (20 - a.i - b.i) / 20.0 AS c_weight FROM t a, t b WHERE 20 - a.i - b.i BETWEEN 0 AND 6)"
     f" SELECT {R('a_weight')} AS a_weight, {R('b_weight')} AS b_weight, {R('c_weight')} AS c_weight, CAST(count(*) AS BIGINT) AS n,"
     f" {R('avg(a_weight * o_totalprice / 1000000 + b_weight * o_custkey / 100000 + c_weight * 0.5)')} AS mean_score"
     " FROM g, orders GROUP BY a_weight, b_weight, c_weight",
@@ -163,7 +163,7 @@ def q_grid(spark, sf):
     rows = read(spark, sf, "orders").select(
         (F.col("o_totalprice") / 1000000).alias("a"), (F.col("o_custkey") / 100000).alias("b"), F.lit(0.5).alias("c")
     )
-    spread = expand_weights(rows, ["a", "b", "c"], weight_grid(0.1))
+    spread = expand_weights(rows, ["a", "b", "c"], weight_grid())
     score = F.expr("a_weight * a + b_weight * b + c_weight * c")
     return rounded(
         spread.groupBy("a_weight", "b_weight", "c_weight").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"))
@@ -194,12 +194,12 @@ def q_concat(spark, sf):
 @query(
     "union_relaxed",
     "SELECT CAST(o_orderkey AS DOUBLE) AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus = 'F'"
-    " UNION ALL SELECT o_totalprice, NULL FROM orders WHERE o_orderstatus = 'O'",
+    " UNION ALL SELECT o_totalprice, NULL FROM orders WHERE o_orderstatus <> 'F'",
 )
 def q_union(spark, sf):
     rows = read(spark, sf, "orders")
     a = rows.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("int").alias("k"), F.col("o_orderstatus").alias("s"))
-    b = rows.where("o_orderstatus = 'O'").select(F.col("o_totalprice").alias("k"))
+    b = rows.where("o_orderstatus <> 'F'").select(F.col("o_totalprice").alias("k"))
     return J.union_relaxed([a, b])
 
 

@@ -14,9 +14,11 @@ from evenkeel.queries.q_metrics import auc_sql, small_features
 from evenkeel.queries.registry import R, bound, query, rounded, with_
 from evenkeel.session import scratch_path
 
-FEATURES = ("credamount_770A", "annuity_780A", "currdebt_22A", "applicationcnt_361L", "downpmt_116A")
+# The last one is the same for every case that has it.
+FEATURES = ("credamount_770A", "annuity_780A", "currdebt_22A", "applicationcnt_361L", "downpmt_116A", "flat_1A")
 _W = (
-    f"w AS (SELECT b.case_id, b.WEEK_NUM, b.target, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)}"
+    f"w AS (SELECT b.case_id, b.WEEK_NUM, b.target, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES[:-1])},"
+    " CASE WHEN b.case_id % 7 > 0 THEN CAST(3 AS DOUBLE) END AS flat_1A"
     f" FROM ({bound_sql('base')}) b LEFT JOIN ({bound_sql('static_0')}) s USING (case_id))"
 )
 _LONG = "l AS (" + " UNION ALL ".join(
@@ -28,7 +30,9 @@ _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x, c
 def _bins(q=10):
     return (
         f"bn AS (SELECT *, CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, ((r - 1) * {q} + n - 2) // (n - 1)) END AS INTEGER) AS bin FROM r),"
-        " bc AS (SELECT feature, bin, CAST(count(*) AS BIGINT) AS rows, CAST(sum(target) AS BIGINT) AS hits FROM bn GROUP BY 1, 2)"
+        " bc AS (SELECT feature, bin, CAST(count(*) AS BIGINT) AS rows, CAST(sum(target) AS BIGINT) AS hits FROM bn GROUP BY 1, 2),"
+        " fe AS (SELECT feature, min(x) < max(x) AS varies FROM l GROUP BY 1),"
+        " vb AS (SELECT bc.* FROM bc JOIN fe USING (feature) WHERE varies)"
     )
 
 
@@ -37,7 +41,9 @@ _PREP = f"WITH {_W}, {_LONG}, {_RANKED}, {_bins()}"
 
 def wide(spark, sf):
     base = frame(spark, sf, "base").select("case_id", "WEEK_NUM", "target")
-    return base.join(frame(spark, sf, "static_0").select("case_id", *FEATURES), "case_id", "left")
+    flat = F.when(F.col("case_id") % 7 > 0, F.lit(3.0)).alias("flat_1A")
+    static = frame(spark, sf, "static_0").select("case_id", *FEATURES[:-1])
+    return base.join(static, "case_id", "left").select("*", flat)
 
 
 @query("rank_first", f"WITH {_W}, {_LONG}, {_RANKED} SELECT case_id, feature, {R('x')} AS x, CAST(r AS BIGINT) AS r FROM r")
@@ -61,17 +67,17 @@ def q_diff(spark, sf):
 _IV = (
     "iv AS (SELECT feature, sum((p - q) * ln(p / q)) AS iv FROM (SELECT feature,"
     " (hits + 0.5) / sum(hits + 0.5) OVER (PARTITION BY feature) AS p,"
-    " (rows + 1.0 - hits - 0.5) / sum(rows + 1.0 - hits - 0.5) OVER (PARTITION BY feature) AS q FROM bc) GROUP BY 1)"
+    " (rows + 1.0 - hits - 0.5) / sum(rows + 1.0 - hits - 0.5) OVER (PARTITION BY feature) AS q FROM vb) GROUP BY 1)"
 )
 
 
-@query("information_value", f"{_PREP}, {_IV} SELECT feature, {R('iv', 8)} AS iv FROM iv")
+@query("information_value", f"{_PREP}, {_IV} SELECT feature, {R('coalesce(iv, 0)', 8)} AS iv FROM fe LEFT JOIN iv USING (feature)")
 def q_iv(spark, sf):
     return rounded(L.information_value(wide(spark, sf), FEATURES, "case_id"), 8)
 
 
 _RATES = (
-    "rt AS (SELECT feature, bin, round(CAST(hits AS DOUBLE) / rows, 6) AS rate FROM bc),"
+    "rt AS (SELECT feature, bin, round(CAST(hits AS DOUBLE) / rows, 6) AS rate FROM vb),"
     " sp AS (SELECT *, rate - lag(rate) OVER (PARTITION BY feature ORDER BY bin) AS step FROM rt),"
     " br AS (SELECT feature, '[' || string_agg(CAST(rate AS VARCHAR), ',' ORDER BY bin) || ']' AS bin_target_rates,"
     " coalesce(greatest(avg(CASE WHEN step >= 0 THEN 1.0 WHEN step < 0 THEN 0.0 END), avg(CASE WHEN step <= 0 THEN 1.0 WHEN step > 0 THEN 0.0 END)), 0)"
@@ -79,7 +85,8 @@ _RATES = (
 )
 
 
-@query("bin_target_rates", f"{_PREP}, {_RATES} SELECT feature, bin_target_rates, {R('bin_monotonic_score')} AS bin_monotonic_score FROM br")
+@query("bin_target_rates", f"{_PREP}, {_RATES} SELECT feature, coalesce(bin_target_rates, '[]') AS bin_target_rates,"
+    f" {R('coalesce(bin_monotonic_score, 0)')} AS bin_monotonic_score FROM fe LEFT JOIN br USING (feature)")
 def q_rates(spark, sf):
     return rounded(L.bin_target_rates(wide(spark, sf), FEATURES, "case_id"))
 
@@ -101,7 +108,7 @@ _PSI = (
 )
 
 
-@query("psi_by_time", f"WITH {_W}, {_LONG}, {_PSI} SELECT feature, {R('psi', 8)} AS psi FROM ps")
+@query("psi_by_time", f"WITH {_W}, {_LONG}, {_PSI} SELECT feature, {R('coalesce(psi, 0)', 8)} AS psi FROM (SELECT DISTINCT feature FROM l) LEFT JOIN ps USING (feature)")
 def q_psi(spark, sf):
     return rounded(L.psi_by_time(wide(spark, sf), FEATURES), 8)
 
@@ -122,9 +129,10 @@ _BASICS = "ba AS (" + " UNION ALL ".join(
 
 @query(
     "feature_report",
-    f"{_PREP}, {_IV}, {_RATES}, {_PSI}, {_AUC}, {_BASICS} SELECT feature, {R('missing_rate', 6)} AS missing_rate, nunique, {R('iv', 6)} AS iv,"
-    f" {R('psi', 6)} AS psi, {R('univariate_auc', 6)} AS univariate_auc, bin_target_rates, {R('bin_monotonic_score', 6)} AS bin_monotonic_score"
-    " FROM ba JOIN iv USING (feature) JOIN ps USING (feature) JOIN ua USING (feature) JOIN br USING (feature)",
+    f"{_PREP}, {_IV}, {_RATES}, {_PSI}, {_AUC}, {_BASICS} SELECT feature, {R('missing_rate', 6)} AS missing_rate, nunique, {R('coalesce(iv, 0)', 6)} AS iv,"
+    f" {R('coalesce(psi, 0)', 6)} AS psi, {R('univariate_auc', 6)} AS univariate_auc, coalesce(bin_target_rates, '[]') AS bin_target_rates,"
+    f" {R('coalesce(bin_monotonic_score, 0)', 6)} AS bin_monotonic_score"
+    " FROM ba LEFT JOIN iv USING (feature) LEFT JOIN ps USING (feature) JOIN ua USING (feature) LEFT JOIN br USING (feature)",
 )
 def q_report(spark, sf):
     return rounded(L.feature_report(wide(spark, sf), FEATURES, "case_id"), 6)

@@ -177,8 +177,8 @@ def q_models(spark, sf):
 
 # The same double arithmetic in the same order on both sides keeps equal blends equal.
 _BLEND = (
-    "g AS (SELECT a.i / CAST(10 AS DOUBLE) AS wa, b.i / CAST(10 AS DOUBLE) AS wb, (10 - a.i - b.i) / CAST(10 AS DOUBLE) AS wc"
-    " FROM range(11) a(i), range(11) b(i) WHERE 10 - a.i - b.i BETWEEN 0 AND 3),"
+    "g AS (SELECT a.i / CAST(20 AS DOUBLE) AS wa, b.i / CAST(20 AS DOUBLE) AS wb, (20 - a.i - b.i) / CAST(20 AS DOUBLE) AS wc"
+    " FROM range(21) a(i), range(21) b(i) WHERE 20 - a.i - b.i BETWEEN 0 AND 6),"
     " l AS (SELECT wa, wb, wc, WEEK_NUM, target, wa * lgb_pred + wb * xgb_pred + wc * cat_pred AS score FROM g, s)"
 )
 _W = ", ".join(f"{R(c)} AS {n}_weight" for c, n in (("wa", "lgb"), ("wb", "xgb"), ("wc", "cat")))
@@ -186,7 +186,7 @@ _W = ", ".join(f"{R(c)} AS {n}_weight" for c, n in (("wa", "lgb"), ("wb", "xgb")
 
 @query("blend_weight_search", f"WITH {_S}, {_BLEND}, {_model_sql('wa, wb, wc', 'l', 'score', _W)}")
 def q_search(spark, sf):
-    found = B.blend_weight_search(scored(spark, sf), {n: f"{n}_pred" for n in SCORES}, step=0.1)
+    found = B.blend_weight_search(scored(spark, sf), {n: f"{n}_pred" for n in SCORES})
     return rounded(found, 6)
 
 
@@ -282,12 +282,12 @@ def _quick(df, features):
 
 @query("expanding_window_cv")
 def q_cv(spark, sf):
-    return V.expanding_window_cv(small_features(spark, sf), _quick, valid_weeks=60, folds=2)
+    return V.expanding_window_cv(small_features(spark, sf), _quick)
 
 
 @query("oof_predictions")
 def q_oof(spark, sf):
-    return V.oof_predictions(small_features(spark, sf), {"logit": _quick}, valid_weeks=60, folds=2)
+    return V.oof_predictions(small_features(spark, sf), {"logit": _quick, "long_logit": lambda df, f: fit_logistic(df, f, max_iter=20)})
 
 
 @query("ablation_groups")

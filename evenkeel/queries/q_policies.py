@@ -562,7 +562,12 @@ _STATIC_SQL = [
     "downpmt_116A", "maxannuity_159A", "lastapprcredamount_781A", "lastrejectcredamount_222A",
 ]
 _BUILD_GROUPS = {
-    "person_1": {"mainoccupationinc_384A": _4, "childnum_185L": _4, "birth_259D": _4},
+    "person_1": {
+        "mainoccupationinc_384A": _4, "childnum_185L": _4, "birth_259D": _4, "empl_employedfrom_271D": _4,
+        "empl_employedtotal_800L": (("nunique",), "raw"), "empl_industry_691L": (("nunique",), "raw"),
+        "familystate_447L": (("nunique",), "raw"), "incometype_1044T": (("nunique",), "raw"), "sex_738L": (("nunique",), "raw"),
+        "housetype_905L": (("nunique",), "raw"), "isreference_387L": _4,
+    },
     "applprev_1": _DEFAULT,
     "tax_registry_a_1": {
         "amount_4527230A": _4, "recorddate_4527225D": _4, "name_4527232M": (("nunique",), "raw"),
@@ -598,11 +603,4 @@ _BUILD_SQL = _build_sql()
 
 @query("build_features", _BUILD_SQL)
 def build(spark, sf):
-    wide = build_features(source(spark, sf), "a2core")
-    # The check leaves out the distinct counts of the person table's text columns.
-    text = {
-        "empl_employedtotal_800L", "empl_industry_691L", "familystate_447L", "incometype_1044T", "sex_738L",
-        "housetype_905L", "isreference_387L", "empl_employedfrom_271D",
-    }
-    drop = [c for c in wide.columns if c.startswith("person_1__") and c.split("__")[1] in text]
-    return rounded(wide.drop(*drop))
+    return rounded(build_features(source(spark, sf), "a2core"))

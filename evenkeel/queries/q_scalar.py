@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import scalar as S
 from evenkeel.operators.encode import standardize_features
-from evenkeel.queries.bindings import frame, read
+from evenkeel.queries.bindings import bound_sql, frame, read
 from evenkeel.queries.registry import R, bound, query, rounded, with_
 
 _BASE = with_(**bound("base"))
@@ -147,7 +147,11 @@ def q_min(spark, sf):
     return rounded(_static(spark, sf).select("case_id", S.min_of_row([S.to_double(c) for c in _GAPPY]).alias("low")))
 
 
-@query("hash_string")
+@query(
+    "hash_string",
+    f"SELECT case_id, CAST(coalesce(('0x' || md5('{S.HASH_SEED}:' || education_88M)[1:15])::BIGINT % {S.HASH_MODULUS}, -1) AS INTEGER) AS education_88M"
+    f" FROM ({bound_sql('static_cb_0')})",
+)
 def q_hash(spark, sf):
     cb = frame(spark, sf, "static_cb_0").select("case_id", "education_88M")
     return S.hash_string_columns(cb)

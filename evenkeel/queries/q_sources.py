@@ -298,9 +298,12 @@ def q_sample_head(spark, sf):
     return sample_head(read(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey"), 500, "case_id")
 
 
-@query("sample_random")
+@query(
+    "sample_random",
+    "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY ('0x' || md5(CAST(o_orderkey AS VARCHAR) || ':42')[1:12])::BIGINT, o_orderkey LIMIT 500",
+)
 def q_sample_random(spark, sf):
-    return C.sample_random(read(spark, sf, "orders"), 500, "o_orderkey")
+    return C.sample_random(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 500, "o_orderkey")
 
 
 @query(

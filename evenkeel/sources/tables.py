@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.naming import DEFAULT, Naming
 from evenkeel.functions.scalar import normalize_dates
-from evenkeel.operators.joins import keep_last, semi_filter_if_small
+from evenkeel.operators.joins import keep_last, semi_filter
 
 FILE_ORDER = ("__file", "__row")
 
@@ -31,7 +31,7 @@ def resolve_group_files(spark: SparkSession, data_dir: str, split: str, group: s
     pattern = f"{str(data_dir).rstrip('/')}/parquet_files/{split}/{split}_{group}*.parquet"
     paths = [p for p, _, _ in glob_files(spark, pattern)]
     if not paths:
-        raise FileNotFoundError(f"No parquet files found for split={split!r}, group={group!r}")
+        raise FileNotFoundError(f"group {group!r} of split {split!r} has no files")
     return paths
 
 
@@ -130,7 +130,6 @@ class FrameSource:
     frames: Mapping[str, DataFrame]
     orders: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     naming: Naming = DEFAULT
-    label: str = "frames"
 
     def table(self, group: str) -> DataFrame:
         if group not in self.frames:
@@ -146,7 +145,16 @@ class FrameSource:
         return df.withColumns({m: F.col(c) for m, c in zip(marks, order)}), marks
 
     def fingerprint(self) -> str:
-        return self.label
+        """What the frames read (files with length and time) and how (the analysed plans). Frames that read no files can't be told apart later."""
+        parts = []
+        for group in sorted(self.frames):
+            df = self.frames[group]
+            files = sorted(df.inputFiles())
+            if not files:
+                raise ValueError(f"{group} reads no files, so what it holds can't be recognised; don't cache this source")
+            spark = df.sparkSession
+            parts.append((group, df.semanticHash(), [glob_files(spark, f)[:1] for f in files], self.orders.get(group)))
+        return repr(parts)
 
 
 def scan_group(source: TableSource, group: str) -> DataFrame:
@@ -162,7 +170,7 @@ def load_depth0(source: TableSource, group: str, ids: DataFrame | None = None) -
     df, order = source.ordered(group)
     df = normalize_dates(df, source.naming)
     if ids is not None:
-        df = semi_filter_if_small(df, ids, source.naming.key)
+        df = semi_filter(df, ids, source.naming.key)
     return keep_last(df, source.naming.key, order, drop_order=True)
 
 

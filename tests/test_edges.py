@@ -151,9 +151,9 @@ def test_column_family_order():
 def test_feature_sets_and_presets():
     assert presets.parse_feature_set("none") == frozenset()
     assert presets.parse_feature_set("light1") == {"missing", "counts", "ratios", "ranges"}
-    with pytest.raises(ValueError, match="Unknown feature_set components"):
+    with pytest.raises(ValueError, match="no feature component"):
         presets.parse_feature_set("ratios+nope")
-    with pytest.raises(ValueError, match="Unknown preset"):
+    with pytest.raises(ValueError, match="no preset"):
         presets.preset("nope")
     assert len(presets.PRESETS) == 9
     assert presets.uses_custom(frozenset({"custom_tax_aggs"}), "tax_registry_b_1")
@@ -414,3 +414,77 @@ def test_nan_counts_as_missing(spark):
     assert metrics.auc(df, "x").first()["n"] == 2
     got = aggregate_by_key(df.withColumn("k", F.lit(1)), "k", [Measure("m", "max", "x"), Measure("a", "mean", "x")]).first()
     assert (got["m"], got["a"]) == (3.0, 2.0)
+
+
+def test_limits_never_change_results(spark):
+    from evenkeel.operators.encode import category_codes
+    from evenkeel.operators.joins import semi_filter as keep
+
+    rng = random.Random(4)
+    keys = [None, *[rng.choice((1, 1, 1, 2, 3, 4)) for _ in range(400)]]
+    rows_ = [(k, rng.choice((None, "a", "b", "c")), rng.random()) for k in keys]
+    df = spark.createDataFrame(rows_, "k long, s string, v double")
+    right = spark.createDataFrame([(1, 10.0), (2, 20.0), (9, 90.0)], "k long, w double")
+    for limit, hot in ((1000, 10**6), (1, 10**6), (1, 5), (1, 1)):
+        got = lookup_join(df, right, "k", max_rows=limit, hot_rows=hot)
+        assert sorted(map(str, got.collect())) == sorted(map(str, lookup_join(df, right, "k").collect()))
+        assert sorted(map(str, keep(df, right.select("k"), "k", limit).collect())) == sorted(str(r) for r in df.where("k in (1, 2)").collect())
+        codes = category_codes(df, "s", "c", max_rows=limit).select("s", "c").distinct().collect()
+        assert {tuple(r) for r in codes} == {(None, -1), ("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_a_null_key_keeps_its_values(spark):
+    data = [(None, i, float(i), "xyz"[i % 3]) for i in range(9)] + [(1, i, float(i), "q") for i in range(4)]
+    df = spark.createDataFrame(data, "case_id long, num_group1 long, x_1A double, s_2M string")
+    ms = [Measure(op, op, "x_1A") for op in ("mean", "median", "count")] + [Measure("d", "nunique", "s_2M", "raw"), Measure("t", "max", "s_2M", "raw")]
+    for hot in (10**6, 2):
+        got = {r["case_id"]: tuple(r)[1:] for r in aggregate_by_key(df, "case_id", ms, ("num_group1",), hot_rows=hot).collect()}
+        assert got == {None: (4.0, 4.0, 9, 3, "z"), 1: (1.5, 1.5, 4, 1, "q")}
+
+
+def test_two_sources_never_share_a_cached_table(spark, tmp_path):
+    from evenkeel.sources.files import FeatureCache
+
+    cache, seen = FeatureCache(str(tmp_path / "cache")), []
+    for value in (1.0, 2.0):
+        frames = {}
+        for name, cols in (("base", "1L case_id, date'2020-01-01' date_decision, 202001 MONTH, 1 WEEK_NUM, 0 target"), ("static_0", f"1L case_id, {value}D v_1A"), ("static_cb_0", "1L case_id, 0D c_1A")):
+            path = str(tmp_path / f"{name}{value}")
+            spark.sql(f"SELECT {cols}").write.parquet(path)
+            frames[name] = spark.read.parquet(path)
+        seen.append(build_features(FrameSource(frames), "static", cache=cache).first()["v_1A"])
+    assert seen == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        FrameSource({"base": spark.range(1)}).fingerprint()
+
+
+def test_only_grouped_tables_are_numbered_by_the_suffix_build(spark):
+    from evenkeel.operators.joins import wide_left_join
+
+    base = spark.createDataFrame([(1,)], "k long")
+    parts = [spark.createDataFrame([(1, i)], "k long, v long") for i in range(4)]
+    assert wide_left_join(base, parts[:2], "k", 2).columns == ["k", "v", "v_right"]
+    assert wide_left_join(base, [parts[0], None, parts[2], parts[3]], "k", 2).columns == ["k", "v", "v_2", "v_3"]
+    assert wide_left_join(base, parts[:2], "k", 0).columns == ["k", "v", "v_1"]
+
+
+def test_constant_features_have_no_bins(spark):
+    df = spark.createDataFrame([(i, i % 5, int(i > 30 or i % 7 == 0), 7.0, float(i)) for i in range(60)], "id long, WEEK_NUM int, target int, flat double, x double")
+    report = {r["feature"]: r for r in lab.feature_report(df, ["flat", "x"], "id").collect()}
+    assert (report["flat"]["iv"], report["flat"]["bin_target_rates"], report["flat"]["bin_monotonic_score"]) == (0.0, "[]", 0.0)
+    assert report["x"]["iv"] > 0 and report["x"]["bin_target_rates"] != "[]"
+    assert {r["feature"]: r["iv"] for r in lab.information_value(df, ["flat"], "id").collect()} == {"flat": 0.0}
+
+
+def test_random_sample_is_exact_and_repeatable(spark):
+    from evenkeel.operators.columns import sample_random
+
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    one = {r[0] for r in sample_random(df, 137, "k").collect()}
+    assert len(one) == 137 and one == {r[0] for r in sample_random(df.repartition(3), 137, "k").collect()}
+    assert sample_random(df, 5000, "k").count() == 1000
+
+
+def test_weight_grid_counts_in_whole_steps():
+    grid = blend.weight_grid()
+    assert len(grid) == 126 and all(abs(sum(t) - 1) < 1e-12 and t[2] <= 0.3 for t in grid) and grid == sorted(grid)
