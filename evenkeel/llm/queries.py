@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import decontam, jaccard, packing, pii, quality, sharding, site_tree, token_counts, token_files, warc
+from evenkeel.llm import checks, decontam, jaccard, packing, pii, quality, sharding, site_tree, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,8 @@ def op4_ngram_jaccard_join(spark, sf_dir):
 
 
 def op6_benchmark_decontamination(spark, sf_dir):
-    return decontam.digest(decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.digest(found).drop("n_near")
 
 
 def op8_html_extraction(spark, sf_dir):
@@ -52,9 +53,8 @@ def op10_pii_field(spark, sf_dir):
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict:
-    return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
+oracle_sql = checks.oracle_sql
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict:
+    return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
