@@ -193,25 +193,25 @@ def _leader_pairs(postings: DataFrame, seeds: list[int], percent: int) -> DataFr
     Frequent shingles have leaders part by part, and the parts' leaders are tried against the shingle's. A class
     keeps one leader for each seed: that with which it shares most.
     """
-    found = []
-    for seed in seeds:
-        rank = F.expr(f"struct(-weight as w, xxhash64(class, {seed}) as r, class, size, place, root)")
-
-        def against(rows, leaders, keys):
-            left = rows.select(*keys, F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
-            right = leaders.select(*keys, *[F.expr(f"l.{x} as {y}") for x, y in (("class", "b"), ("size", "nb"), ("place", "pb"), ("root", "rb"))])
-            return left.join(right, keys).where("ra <> rb").where(_fits(percent)).drop(*keys)
-
-        parts = postings.groupBy("shingle", "part").agg(F.min(rank).alias("l"))
-        tops = parts.groupBy("shingle").agg(F.min("l").alias("l"))
-        pairs = against(postings, parts, ["shingle", "part"])
-        pairs = pairs.unionByName(against(parts.where("part > 0").select("shingle", "l.*"), tops, ["shingle"]))
-        counts = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-        found.append(counts.groupBy("a").agg(F.max(F.struct("n", "b", "na", "nb")).alias("m")).select("a", "m.b", "m.na", "m.nb"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    ranks = [f"min(struct(-weight as w, xxhash64(class, {seed}) as r, class, size, place, root))" for seed in seeds]
+    parts = postings.groupBy("shingle", "part").agg(F.expr(f"array({', '.join(ranks)})").alias("l"))
+    tops = parts.groupBy("shingle").agg(F.expr(f"array({', '.join(f'min(l[{i}])' for i in range(len(seeds)))})").alias("l"))
+
+    def against(rows, leaders, keys, seeded):
+        left = rows.select(*keys, *seeded, F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
+        both = left.join(leaders.select(*keys, "l"), keys)
+        both = both.select("a", "na", "pa", "ra", *seeded, F.posexplode("l").alias("seed", "m"))
+        if seeded:
+            both = both.where("own = seed")
+        both = both.select("seed", "a", "na", "pa", "ra", *[F.expr(f"m.{x} as {y}") for x, y in (("class", "b"), ("size", "nb"), ("place", "pb"), ("root", "rb"))])
+        return both.where("ra <> rb").where(_fits(percent)).select("seed", "a", "b", "na", "nb")
+
+    pairs = against(postings, parts, ["shingle", "part"], [])
+    heads = parts.where("part > 0").select("shingle", F.posexplode("l").alias("own", "m")).select("shingle", "own", "m.*")
+    pairs = pairs.unionByName(against(heads, tops, ["shingle"], ["own"]))
+    counts = pairs.groupBy("seed", "a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    best = counts.groupBy("seed", "a").agg(F.max(F.struct("n", "b", "na", "nb")).alias("m"))
+    return best.select("a", "m.b", "m.na", "m.nb")
 
 
 def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -246,6 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     classes = members.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("ranges").alias("ranges")
     )
+    classes = materialise(classes, "classes")
     sketch = _frequencies(docs, width)
     postings = materialise(_shared(_postings(docs, sketch, width, percent)), "postings")
     sets, most = _sets_of(docs, postings, width), postings.count()
