@@ -266,10 +266,13 @@ def rank_min_desc(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def importance_report(importance: DataFrame, report: DataFrame | None = None) -> DataFrame:
     out = rank_min_desc(importance, "importance_gain", "gain_rank")
+    by = ["importance_gain"]
+    if "importance_split" in importance.columns:
+        out, by = rank_min_desc(out, "importance_split", "split_rank"), [*by, "importance_split"]
     if report is not None:
         wanted = ["missing_rate", "nunique", "iv", "psi", "univariate_auc", "bin_monotonic_score"]
         out = merge_reports(out, report, wanted)
-    return out.orderBy(F.desc("importance_gain"), "feature")
+    return out.orderBy(*[F.desc(c) for c in by], "feature")
 
 
 def importance_threshold_drop(importance: DataFrame, limit: float = 80, column: str = "importance_gain") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import statistics
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from evenkeel.operators.metrics import auc, fold_summary, gini, stability_metric
 from evenkeel.operators.models import Fitted
 from evenkeel.session import materialise
 
-Fit = Callable[[DataFrame, Sequence[str]], Fitted]
+#: A fit takes rows and features and, if it wants to stop early, the name of a column that flags the rows to stop on.
+Fit = Callable[..., Fitted]
+VALID_FLAG = "__valid"
 FOLD_METRICS = ("auc", "gini", "stability", "mean_gini")
 
 
@@ -44,6 +48,44 @@ def _score_fold(valid: DataFrame, naming: Naming) -> DataFrame:
     return total.withColumn("__one", F.lit(1)).join(stable.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
+@dataclass(frozen=True)
+class Fold:
+    """One window: the rows before it and in it, preprocessed by what the rows before it show."""
+
+    number: int
+    start: int
+    end: int
+    train: DataFrame
+    valid: DataFrame
+    features: tuple[str, ...]
+
+    def fitted(self, fit: Fit) -> Fitted:
+        """A fit that takes a third argument gets the window too, its rows flagged in that column, to stop early."""
+        if len(inspect.signature(fit).parameters) < 3:
+            return fit(self.train, self.features)
+        flagged = self.train.withColumn(VALID_FLAG, F.lit(False)).unionByName(self.valid.withColumn(VALID_FLAG, F.lit(True)))
+        return fit(flagged, self.features, VALID_FLAG)
+
+
+def prepared_folds(
+    df: DataFrame, valid_weeks: int = 20, folds: int = 5, gap_weeks: int = 0, naming: Naming = DEFAULT, **prep
+) -> Iterator[Fold]:
+    """The windows, oldest first. Each is preprocessed once, however many models are fitted to it.
+
+    Pass a table read back from files: every fold reads its weeks from it more than once.
+    """
+    windows = fold_windows(max_week(df, naming.week), valid_weeks, folds, gap_weeks)
+    if not windows:
+        raise ValueError("there are too few weeks for a window")
+    ids = (naming.key, naming.target, naming.week)
+    for number, (start, end) in enumerate(windows, start=1):
+        train = df.where(F.col(naming.week) < start)
+        state = fit_preprocessor(train, target=naming.target, key=naming.key, keep=(naming.week,), **prep)
+        features = tuple(c for c in state.feature_cols if c not in ids)
+        valid = df.where(F.col(naming.week).between(start, end))
+        yield Fold(number, start, end, apply_preprocessor(train, state, ids), apply_preprocessor(valid, state, ids), features)
+
+
 def expanding_window_cv(
     df: DataFrame,
     fit: Fit,
@@ -51,57 +93,59 @@ def expanding_window_cv(
     folds: int = 5,
     gap_weeks: int = 0,
     naming: Naming = DEFAULT,
-    fold_frames: list[DataFrame] | None = None,
     **prep,
 ) -> DataFrame:
-    """Per fold: preprocessing and model see only weeks before the window, which is then scored.
-
-    Pass a table read back from files: every fold reads its weeks from it more than once.
-
-    ``fold_frames`` collects the out-of-fold predictions when given.
-    """
-    windows = fold_windows(max_week(df, naming.week), valid_weeks, folds, gap_weeks)
-    if not windows:
-        raise ValueError("there are too few weeks for a window")
+    """Per fold: preprocessing and model see only weeks before the window, which is then scored."""
     ids = (naming.key, naming.target, naming.week)
-    out = []
-    for fold, (start, end) in enumerate(windows, start=1):
-        train = df.where(F.col(naming.week) < start)
-        state = fit_preprocessor(train, target=naming.target, key=naming.key, keep=(naming.week,), **prep)
-        features = [c for c in state.feature_cols if c not in ids]
-        model = fit(apply_preprocessor(train, state, ids), features)
-        valid = apply_preprocessor(df.where(F.col(naming.week).between(start, end)), state, ids)
-        # Written once: the metrics below read the predictions several times.
-        scored = materialise(model.score(valid).select(*ids, "score"), "fold")
-        if fold_frames is not None:
-            fold_frames.append(scored.withColumn("fold", F.lit(fold)))
-        out.append(
-            _score_fold(scored, naming).select(
-                F.lit(fold).alias("fold"),
-                F.lit(start).alias("valid_start_week"),
-                F.lit(end).alias("valid_end_week"),
-                F.col("n").alias("valid_rows"),
-                F.lit(len(features)).alias("n_features"),
-                F.lit(model.best_iteration).alias("best_iteration"),
-                "auc", "gini", "stability", "mean_gini", "slope", "falling_rate", "residual_std", "n_weeks",
-            )
+    result = None
+    for fold in prepared_folds(df, valid_weeks, folds, gap_weeks, naming, **prep):
+        model = fold.fitted(fit)
+        # Written once: the metrics read the predictions several times.
+        scored = materialise(model.score(fold.valid).select(*ids, "score"), "fold")
+        part = _score_fold(scored, naming).select(
+            F.lit(fold.number).alias("fold"),
+            F.lit(fold.start).alias("valid_start_week"),
+            F.lit(fold.end).alias("valid_end_week"),
+            F.col("n").alias("valid_rows"),
+            F.lit(len(fold.features)).alias("n_features"),
+            F.lit(model.best_iteration).alias("best_iteration"),
+            "auc", "gini", "stability", "mean_gini", "slope", "falling_rate", "residual_std", "n_weeks",
         )
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
+        result = part if result is None else result.unionByName(part)
     return result
 
 
-def oof_predictions(df: DataFrame, fits: Mapping[str, Fit], naming: Naming = DEFAULT, **cv) -> DataFrame:
-    """fold, key, week, target and one ``<model>_pred`` column per model."""
-    out = None
-    keys = ["fold", naming.key, naming.week, naming.target]
-    for name, fit in fits.items():
-        frames: list[DataFrame] = []
-        expanding_window_cv(df, fit, naming=naming, fold_frames=frames, **cv)
-        pred = union_folds(frames).select(*keys, F.col("score").alias(f"{name}_pred"))
-        out = pred if out is None else out.join(pred.drop(naming.week, naming.target), ["fold", naming.key])
-    return out
+def oof_predictions(
+    df: DataFrame, fits: Mapping[str, Fit], valid_weeks: int = 20, folds: int = 5, gap_weeks: int = 0, naming: Naming = DEFAULT, **prep
+) -> DataFrame:
+    """fold, key, week, target and one ``<model>_pred`` column per model.
+
+    All models of a fold score the same rows one after the other, so nothing is joined and nothing is judged here.
+    """
+    frames = []
+    for fold in prepared_folds(df, valid_weeks, folds, gap_weeks, naming, **prep):
+        scored = fold.valid
+        for name, fit in fits.items():
+            scored = fold.fitted(fit).score(scored, f"{name}_pred")
+        kept = scored.select(naming.key, naming.week, naming.target, *[f"{name}_pred" for name in fits])
+        frames.append(materialise(kept.select(F.lit(fold.number).alias("fold"), "*"), "oof"))
+    return union_folds(frames)
+
+
+def fit_with_holdout(
+    df: DataFrame, fit: Fit, refit: Callable[[DataFrame, Sequence[str], int], Fitted], weeks: int = 20, naming: Naming = DEFAULT, **prep
+) -> tuple[Fitted, DataFrame, int]:
+    """(model of all rows, holdout metrics, best iteration): the last weeks tell when to stop, then all rows are fitted so far.
+
+    The preprocessing of the refit is learned from all rows as well.
+    """
+    fold = next(prepared_folds(df, weeks, 1, 0, naming, **prep))
+    first = fold.fitted(fit)
+    ids = (naming.key, naming.target, naming.week)
+    metrics = _score_fold(materialise(first.score(fold.valid).select(*ids, "score"), "holdout"), naming)
+    state = fit_preprocessor(df, target=naming.target, key=naming.key, keep=(naming.week,), **prep)
+    features = [c for c in state.feature_cols if c not in ids]
+    return refit(apply_preprocessor(df, state, ids), features, first.best_iteration), metrics, first.best_iteration
 
 
 def union_folds(frames: Sequence[DataFrame]) -> DataFrame:

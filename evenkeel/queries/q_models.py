@@ -10,7 +10,7 @@ from evenkeel.operators.metrics import auc
 from evenkeel.operators.models import fit_forest, fit_gbt, fit_logistic, fit_mlp, refit_all, validation_flag
 from evenkeel.operators.profile import profile_columns
 from evenkeel.plans.scoring import Branch, score_blend
-from evenkeel.plans.validate import holdout_last_weeks, max_week
+from evenkeel.plans.validate import fit_with_holdout, holdout_last_weeks, max_week
 from evenkeel.queries.bindings import frame, read
 from evenkeel.queries.q_metrics import small_features
 from evenkeel.queries.registry import R, bound, query, rounded, with_
@@ -199,8 +199,15 @@ def q_mlp(spark, sf):
 
 @query("refit_all")
 def q_refit(spark, sf):
-    rows, features, _ = _ready(spark, sf)
-    return refit_all(rows, features, best=3, max_depth=3).score(rows).select("case_id", "score")
+    """The last weeks tell how many trees to keep, then all rows are fitted with so many."""
+    rows = raw(spark, sf)
+    model, _, best = fit_with_holdout(
+        rows, lambda df, f, flag: fit_gbt(df, f, max_iter=12, max_depth=3, validation=flag),
+        lambda df, f, n: refit_all(df, f, best=n, max_depth=3), weeks=40, max_missing=0.9,
+    )
+    state = E.fit_preprocessor(rows, max_missing=0.9)
+    scored = model.score(E.apply_preprocessor(rows, state, ("case_id", "target", "WEEK_NUM")))
+    return scored.select("case_id", "score", F.lit(best).alias("best_iteration"))
 
 
 @query("score_blend")

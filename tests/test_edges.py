@@ -488,3 +488,23 @@ def test_random_sample_is_exact_and_repeatable(spark):
 def test_weight_grid_counts_in_whole_steps():
     grid = blend.weight_grid()
     assert len(grid) == 126 and all(abs(sum(t) - 1) < 1e-12 and t[2] <= 0.3 for t in grid) and grid == sorted(grid)
+
+
+def test_folds_share_preprocessing_and_can_stop_early(spark):
+    from evenkeel.operators.models import fit_gbt, fit_logistic
+    from evenkeel.plans.validate import expanding_window_cv, oof_predictions
+    from evenkeel.session import materialise
+
+    rng = random.Random(9)
+    data = [(i, i % 12, int(rng.random() < 0.3 + 0.4 * (i % 5 > 2)), float(i % 5), rng.random()) for i in range(600)]
+    df = materialise(spark.createDataFrame(data, "case_id long, WEEK_NUM int, target int, a double, b double"))
+    stop = lambda rows, features, flag: fit_gbt(rows, features, max_iter=8, max_depth=2, validation=flag)
+    plain = lambda rows, features: fit_logistic(rows, features, max_iter=5)
+    cv = {r["fold"]: r for r in expanding_window_cv(df, stop, valid_weeks=3, folds=2).collect()}
+    assert sorted(cv) == [1, 2] and all(1 <= r["best_iteration"] <= 8 for r in cv.values())
+    oof = oof_predictions(df, {"tree": stop, "line": plain}, valid_weeks=3, folds=2)
+    assert oof.columns == ["fold", "case_id", "WEEK_NUM", "target", "tree_pred", "line_pred"] and oof.count() == 300
+    from evenkeel.operators.metrics import auc as area
+
+    got = {r["fold"]: r["auc"] for r in area(oof, "tree_pred", group=["fold"]).collect()}
+    assert all(got[f] == pytest.approx(cv[f]["auc"], abs=1e-9) for f in cv)
