@@ -50,10 +50,19 @@ def _layout(spark, sf):
     return folder
 
 
-@query("resolve_group_files")
+@query(
+    "resolve_group_files",
+    f"SELECT CAST(case_id % 3 AS INTEGER) AS part, 'train_static_0_' || (case_id % 3) || '.parquet' AS name, CAST(count(*) AS BIGINT) AS rows"
+    f" FROM ({bound_sql('static_0')}) GROUP BY 1, 2",
+)
 def q_resolve(spark, sf):
-    names = [p.rsplit("/", 1)[-1] for p in resolve_group_files(spark, _layout(spark, sf), "train", "static_0")]
-    return spark.createDataFrame(list(enumerate(names)), "part int, name string")
+    """The files found, in order, with the rows that each holds."""
+    out = None
+    for part, path in enumerate(resolve_group_files(spark, _layout(spark, sf), "train", "static_0")):
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+        one = one.select(F.lit(part).alias("part"), F.lit(path.rsplit("/", 1)[-1]).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _SCAN_SQL = (
@@ -192,14 +201,15 @@ def q_oof_write(spark, sf):
 
 @query(
     "batch_score_scan",
-    f"SELECT o_orderkey AS case_id, {R('1 / (1 + exp(-(o_totalprice / 100000 - 2)))')} AS score FROM orders",
+    "WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS mid FROM orders) SELECT o_orderkey AS case_id,"
+    f" {R('CASE WHEN o_totalprice <= mid THEN 0.8 * (o_totalprice - lo) / (mid - lo) ELSE 0.8 + 0.2 * (o_totalprice - mid) / (hi - mid) END')}"
+    " AS score FROM orders, e",
 )
 def q_batch_score(spark, sf):
-    """A numpy model from outside Spark, applied per Arrow batch."""
+    """A numpy model from outside Spark, applied per Arrow batch: a piecewise-linear curve through knots fitted to the table."""
     rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_totalprice")
-    return rounded(
-        batch_score(rows, "case_id", ["o_totalprice"], lambda x: 1 / (1 + np.exp(-(x["o_totalprice"] / 100000 - 2))))
-    )
+    knots = [float(x) for x in rows.agg(F.min("o_totalprice"), F.avg("o_totalprice"), F.max("o_totalprice")).first()]
+    return rounded(batch_score(rows, "case_id", ["o_totalprice"], lambda x: np.interp(x["o_totalprice"], knots, [0.0, 0.8, 1.0])))
 
 
 # --- projections and selection --------------------------------------------------------------
