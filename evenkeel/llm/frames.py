@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Arrays that one group adds up, and how often: enough for 64 ** 3 partitions, beyond which a few more arrays reach the driver.
+ADDED, LEVELS = 64, 3
+
+
 def id_and_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The id as a long and the text; whatever other columns there are stay out of the way."""
     return df.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").cast("string").alias(text))
@@ -56,20 +60,20 @@ def counted(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterator[np.ndarray
         if total.any():
             yield [list(range(pieces)), [total[i * width : (i + 1) * width].tobytes() for i in range(pieces)]]
 
-    def add(key, batches):
+    kind = schema_of("piece int, part int, cells binary")
+
+    def add(key, table):
         total = np.zeros(width, np.int64)
-        for b in batches:
-            for x in b.column("cells"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
-        yield batch(kind, [[key[0].as_py()], [total.tobytes()]])
-
-    kind = schema_of("piece int, cells binary")
-    parts = map_batches(df, count, "piece int, cells binary")
-    # Sums of many partitions go over an intermediate level so that no task reads them all.
-    parts = parts.withColumn("part", F.spark_partition_id() % 32)
-    some = parts.groupBy("piece", "part").applyInArrow(lambda k, t: pa.Table.from_batches(list(add(k, t.to_batches()))), kind)
-    rows = some.groupBy("piece").applyInArrow(lambda k, t: pa.Table.from_batches(list(add(k, t.to_batches()))), kind).collect()
+        for x in table.column("cells").to_pylist():
+            total += np.frombuffer(x, np.int64)
+        return pa.Table.from_batches([batch(kind, [[key[0].as_py()], [key[1].as_py()], [total.tobytes()]])])
+
+    sums = map_batches(df, count, "piece int, cells binary").withColumn("part", F.spark_partition_id())
+    for _ in range(LEVELS):
+        # A group is never more than so many arrays, however many partitions there are.
+        sums = sums.withColumn("part", F.expr(f"part div {ADDED}").cast("int")).groupBy("piece", "part").applyInArrow(add, kind)
+    rows = sums.collect()
     out = np.zeros(width * pieces, np.int64)
     for r in rows:
-        out[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(bytes(r["cells"]), np.int64)
+        out[r["piece"] * width : (r["piece"] + 1) * width] += np.frombuffer(bytes(r["cells"]), np.int64)
     return out[:size]

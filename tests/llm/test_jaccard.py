@@ -6,6 +6,7 @@ import pytest
 
 from evenkeel.llm import jaccard
 from evenkeel.llm.graph import components
+from evenkeel.session import materialise
 
 
 def shingle_set(text):
@@ -38,9 +39,14 @@ def rows(found):
     return sorted((tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
-def test_against_brute_force(documents):
+@pytest.fixture(scope="module")
+def found(documents):
+    return materialise(jaccard.near_duplicates(documents))
+
+
+def test_against_brute_force(documents, found):
     docs = [tuple(r) for r in documents.select("doc_id", "text").collect()]
-    assert rows(jaccard.near_duplicates(documents)) == expected(docs)
+    assert rows(found) == expected(docs)
 
 
 @pytest.mark.parametrize("leader_rows", [20_000, 3])
@@ -72,8 +78,8 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-def test_keep_first(documents):
-    kept = jaccard.keep_first(documents, jaccard.near_duplicates(documents))
+def test_keep_first(documents, found):
+    kept = jaccard.keep_first(documents, found)
     assert kept.columns == documents.columns
     ids = [r[0] for r in kept.select("doc_id").collect() if r[0] is not None]
     assert len(ids) == len(set(ids)) and {900006, 900004} <= set(ids) and not {900007, 900005} & set(ids)

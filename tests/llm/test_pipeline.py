@@ -79,5 +79,15 @@ def test_packing(stages):
         assert at == len(want[d])
 
 
-def test_run_gives_the_last_stage(spark, sf, stages):
-    assert corpus_pipeline.run(spark, sf).count() == stages[5].count()
+def test_run_applies_the_stages_in_turn(spark, sf, monkeypatch):
+    seen = []
+
+    def stage(k):
+        def step(spark, docs, sf_dir):
+            seen.append((k, docs.count()))
+            return docs.where(f"doc_id % {k} = 0")
+
+        return step
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("two", stage(2)), ("three", stage(3)), ("five", stage(5))])
+    assert corpus_pipeline.run(spark, sf).count() == 7 and seen == [(2, 200), (3, 100), (5, 34)]
