@@ -158,3 +158,17 @@ def age_years(days: Column) -> Column:
 
 def all_of_row(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts)
+
+
+def log1p_count(count: Column) -> Column:
+    return F.log1p(count)
+
+
+def has_record(count: Column) -> Column:
+    """1 where a count is above zero, 0 where it is not, null where it is missing."""
+    return (count > 0).cast("int")
+
+
+def chosen(condition: Column, value: Column | None = None) -> Column:
+    """The value where the condition holds, else null; without a value a 0/1 flag of the condition."""
+    return F.when(condition, 1).otherwise(0) if value is None else F.when(condition, value)

@@ -12,6 +12,8 @@ from evenkeel import fixed
 from evenkeel.functions.naming import DEFAULT, Naming
 from evenkeel.functions.scalar import (
     age_years,
+    has_record,
+    log1p_count,
     max_of_row,
     min_of_row,
     null_count_row,
@@ -256,8 +258,8 @@ def record_counts(columns: Sequence[str]) -> dict[str, Column]:
     out = {}
     for c in columns:
         if c.endswith("__row_count"):
-            out[f"{c}__has_record"] = (to_double(c) > 0).cast("int")
-            out[f"{c}__log1p"] = F.log1p(to_double(c))
+            out[f"{c}__has_record"] = has_record(to_double(c))
+            out[f"{c}__log1p"] = log1p_count(to_double(c))
     return out
 
 

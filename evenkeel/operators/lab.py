@@ -91,18 +91,21 @@ def information_value(
     return _for_all(df, features, None if counts is None else information_value_of_bins(counts), {"iv": 0.0})
 
 
+def listed_json(order: str, value: str) -> Column:
+    """Aggregate: the values of a group as a JSON list, in order. For groups of bounded size, such as bins."""
+    return F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]))
+
+
 def bin_target_rates_of_bins(bins: DataFrame) -> DataFrame:
     """Target rate per bin as a JSON list, and how monotonic the rates are."""
     w = W.partitionBy("feature").orderBy("bin")
     rate = F.round(F.col("hits") / F.col("rows"), 6)
     rates = bins.select("feature", "bin", rate.alias("rate"))
     steps = rates.select("feature", "bin", "rate", (F.col("rate") - F.lag("rate").over(w)).alias("step"))
-    # collect_list is bounded here: one entry per bin.
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("bin", "rate"))), lambda s: s["rate"])
     up = F.avg((F.col("step") >= 0).cast("int"))
     down = F.avg((F.col("step") <= 0).cast("int"))
     return steps.groupBy("feature").agg(
-        F.to_json(listed).alias("bin_target_rates"),
+        listed_json("bin", "rate").alias("bin_target_rates"),
         F.coalesce(F.greatest(up, down), F.lit(0.0)).alias("bin_monotonic_score"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import scalar as S
 from evenkeel.operators.encode import standardize_features
+from evenkeel.operators.lab import listed_json
 from evenkeel.queries.bindings import bound_sql, frame, read
 from evenkeel.queries.registry import R, bound, query, rounded, with_
 
@@ -94,7 +95,7 @@ def q_ratio(spark, sf):
 
 @query("log1p_count", f"SELECT l_orderkey, {R('ln(1 + count(*))')} AS x FROM lineitem GROUP BY 1")
 def q_log1p(spark, sf):
-    return rounded(_lines(spark, sf).groupBy("l_orderkey").agg(F.log1p(F.count(F.lit(1))).alias("x")))
+    return rounded(_lines(spark, sf).groupBy("l_orderkey").agg(S.log1p_count(F.count(F.lit(1))).alias("x")))
 
 
 @query(
@@ -105,7 +106,7 @@ def q_log1p(spark, sf):
 def q_has(spark, sf):
     n = _lines(spark, sf).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
     joined = _orders(spark, sf).join(n, "o_orderkey", "left")
-    return joined.select("o_orderkey", (F.col("n") > 0).cast("int").alias("has_record"))
+    return joined.select("o_orderkey", S.has_record(F.col("n")).alias("has_record"))
 
 
 _STATIC = with_(**bound("static_0"))
@@ -204,8 +205,7 @@ def q_json(spark, sf):
     per = _lines(spark, sf).groupBy("l_returnflag", "l_linenumber").agg(
         (F.round(F.avg("l_quantity"), 2) * 100).cast("int").alias("v")
     )
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda s: s["v"])
-    return per.groupBy("l_returnflag").agg(F.to_json(listed).alias("rates"))
+    return per.groupBy("l_returnflag").agg(listed_json("l_linenumber", "v").alias("rates"))
 
 
 @query(

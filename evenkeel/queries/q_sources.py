@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from evenkeel.functions.scalar import normalize_dates
+from evenkeel.functions.scalar import chosen, normalize_dates
 from evenkeel.operators import columns as C
 from evenkeel.operators.grouping import aggregate_by_key
 from evenkeel.operators.models import batch_score
@@ -353,6 +353,6 @@ def q_candidates(spark, sf):
     " FROM lineitem GROUP BY 1",
 )
 def q_case(spark, sf):
-    per_tax = F.when(F.col("l_returnflag").isNotNull() & (F.abs("l_tax") > 1e-6), F.col("l_extendedprice") / F.col("l_tax"))
-    many = F.when(F.col("l_quantity") > 25, 1).otherwise(0)
+    per_tax = chosen(F.col("l_returnflag").isNotNull() & (F.abs("l_tax") > 1e-6), F.col("l_extendedprice") / F.col("l_tax"))
+    many = chosen(F.col("l_quantity") > 25)
     return rounded(read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(many).alias("many"), F.max(per_tax).alias("per_tax")))
