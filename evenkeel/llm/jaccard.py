@@ -35,7 +35,7 @@ WORDS = 5
 PERCENT = 80
 #: Cells of the frequency sketch, and of the filter for the classes whose sets are read again.
 SKETCH = 1 << 18
-FILTER = 1 << 20
+FILTER = 1 << 19
 RANGES = 16
 #: A shingle that the sketch takes for more frequent than this has its postings spread over several leaders.
 LEADER_ROWS = 20_000
@@ -130,19 +130,21 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, take, "doc_id bigint, class bigint, size int, ranges array<int>")
 
 
+def _id_cell(doc_id: int) -> int:
+    return FILTER + (doc_id * 0x9E3779B1 & 0x7FFFFFFF) % FILTER
+
+
 def _class_sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
-    """(class, set) of the classes that a filter of bounded size lets through, once each."""
+    """(class, set) of the classes and documents that a filter of bounded size lets through, once each."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted > 0))
 
     def take(batches):
-        bits, seen = np.unpackbits(sent.value).view(bool), set()
-        for _, sets in _sets(batches, width):
+        bits = np.unpackbits(sent.value).view(bool)
+        for ids, sets in _sets(batches, width):
             rows = {}
-            for s in sets:
-                if len(s) and bits[(c := _class(s)) % FILTER] and c not in seen:
+            for doc, s in zip(ids, sets):
+                if len(s) and (doc is None or bits[_id_cell(doc)]) and bits[(c := _class(s)) % FILTER]:
                     rows[c] = s
-                    if len(seen) < 1_000_000:
-                        seen.add(c)
             if rows:
                 yield [list(rows), pa.array([s.view(np.int64) for s in rows.values()], pa.list_(pa.int64()))]
 
@@ -164,14 +166,23 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_allowed(percent, most)).select("a", "b", "na", "nb")
 
 
-def _sets_of(docs: DataFrame, postings: DataFrame, width: int) -> DataFrame:
-    """(class, shingles) of the classes that share a shingle of their prefix with another; written once."""
-    ends = postings.select("class").distinct()
+def _more_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sets: DataFrame | None, width: int) -> DataFrame:
+    """The sets (class, shingles) of all classes of the pairs: those at hand, and the others read from one document of each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if sets is not None:
+        ends = ends.join(sets.select("class"), "class", "left_anti")
+    ends = materialise(ends.join(classes.select("class", "first"), "class"), "wanted")
+    if sets is not None and ends.isEmpty():
+        return sets
 
     def cells(b):
         yield np.asarray(b.column(0)) % FILTER
+        yield np.array([_id_cell(d) for d in b.column(1).to_pylist() if d is not None], np.int64)
 
-    return materialise(_class_sets(docs, counted(ends, cells, FILTER), width), "sets")
+    new = _class_sets(docs, counted(ends, cells, 2 * FILTER), width)
+    if sets is None:
+        return materialise(new, "sets")
+    return sets.unionByName(materialise(new.join(sets.select("class"), "class", "left_anti"), "sets"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +233,7 @@ def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
-    """The postings of shingles whose classes lie in several components, and how many pairs these are at most."""
+    """The postings of shingles whose classes lie in several components, and about how many pairs of like sizes these are."""
     if roots is None:
         rooted = postings.withColumns({"root": F.col("class"), "weight": F.lit(1).cast("long")})
     else:
@@ -230,10 +241,13 @@ def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame,
         named = roots.join(weights, "root").withColumnRenamed("node", "class")
         rooted = postings.drop("root", "weight").join(named, "class", "left")
         rooted = rooted.withColumns({"root": F.coalesce("root", "class"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
-    each = rooted.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    keys = each.groupBy("shingle").agg(F.expr("sum(n) * sum(n) - sum(n * n)").alias("twice"), F.count("*").alias("c")).where("c > 1")
-    keys = materialise(keys.drop("c"), "keys")
-    return materialise(rooted.join(keys.select("shingle"), "shingle"), "unsettled"), (keys.agg(F.sum("twice")).first()[0] or 0) // 2
+    # Sizes in steps of a quarter: pairs of other steps mostly fail the length filter.
+    step = F.floor(F.log("size") / F.log(F.lit(1.25))).alias("step")
+    each = rooted.groupBy("shingle", step, "root").agg(F.count("*").alias("n"))
+    each = each.groupBy("shingle", "step").agg(F.expr("sum(n) * sum(n) - sum(n * n)").alias("twice"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    keys = each.groupBy("shingle").agg(F.sum("twice").alias("twice"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    keys = materialise(keys.drop("lo", "hi"), "keys")
+    return materialise(rooted.join(keys.select("shingle"), "shingle"), "unsettled"), keys.agg(F.sum("twice")).first()[0] or 0
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -249,16 +263,16 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     classes = materialise(classes, "classes")
     sketch = _frequencies(docs, width)
     postings = materialise(_shared(_postings(docs, sketch, width, percent)), "postings")
-    sets, most = _sets_of(docs, postings, width), postings.count()
-    empty = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    roots, rest, before, step = None, postings, None, 0
+    most, sets, roots, rest, before, step = postings.count(), None, None, postings, None, 0
     while True:
         rest, n = _unsettled(rest, roots)
         # All pairs once they are no more than the postings were, or once leaders settle little.
         last = n <= most or (before is not None and 5 * n > 4 * before)
         seeds = [0] if step == 0 else list(range(LEADERS * step, LEADERS * (step + 1)))
         pairs = _all_pairs(rest, percent) if last else _leader_pairs(rest, seeds, percent)
-        links = _verified(materialise(_filtered(pairs, classes, percent), "candidates"), sets, percent) if n else empty
+        pairs = materialise(_filtered(pairs, classes, percent), "candidates")
+        sets = _more_sets(docs, pairs, classes, sets, width)
+        links = _verified(pairs, sets, percent)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(links)
