@@ -41,6 +41,8 @@ RANGES = 16
 LEADER_ROWS = 20_000
 #: Leaders that are tried at once after the first round.
 LEADERS = 12
+#: Groups of so many classes of like size are expanded into pairs without leaders: that is bounded work for each posting.
+SMALL = 64
 
 
 def _sets(batches, width: int):
@@ -233,7 +235,7 @@ def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
-    """The postings of shingles whose classes lie in several components, and about how many pairs of like sizes these are."""
+    """The postings of shingles whose classes lie in several components, and about how many pairs of like sizes there are in large groups."""
     if roots is None:
         rooted = postings.withColumns({"root": F.col("class"), "weight": F.lit(1).cast("long")})
     else:
@@ -244,7 +246,7 @@ def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame,
     # Sizes in steps of a quarter: pairs of other steps mostly fail the length filter.
     step = F.floor(F.log("size") / F.log(F.lit(1.25))).alias("step")
     each = rooted.groupBy("shingle", step, "root").agg(F.count("*").alias("n"))
-    each = each.groupBy("shingle", "step").agg(F.expr("sum(n) * sum(n) - sum(n * n)").alias("twice"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    each = each.groupBy("shingle", "step").agg(F.expr(f"case when sum(n) > {SMALL} then sum(n) * sum(n) - sum(n * n) else 0 end").alias("twice"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     keys = each.groupBy("shingle").agg(F.sum("twice").alias("twice"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
     keys = materialise(keys.drop("lo", "hi"), "keys")
     return materialise(rooted.join(keys.select("shingle"), "shingle"), "unsettled"), keys.agg(F.sum("twice")).first()[0] or 0
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     most, sets, roots, rest, before, step = postings.count(), None, None, postings, None, 0
     while True:
         rest, n = _unsettled(rest, roots)
-        # All pairs once they are no more than the postings were, or once leaders settle little.
+        # All pairs once large groups hold no more of them than there were postings, or once leaders settle little.
         last = n <= most or (before is not None and 5 * n > 4 * before)
         seeds = [0] if step == 0 else list(range(LEADERS * step, LEADERS * (step + 1)))
         pairs = _all_pairs(rest, percent) if last else _leader_pairs(rest, seeds, percent)

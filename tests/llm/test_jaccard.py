@@ -49,9 +49,10 @@ def test_against_brute_force(documents, found):
     assert rows(found) == expected(docs)
 
 
-@pytest.mark.parametrize("leader_rows", [20_000, 3])
-def test_chains_copies_and_shared_passages(spark, monkeypatch, leader_rows):
+@pytest.mark.parametrize("leader_rows, small", [(20_000, 64), (3, 2)])
+def test_chains_copies_and_shared_passages(spark, monkeypatch, leader_rows, small):
     monkeypatch.setattr(jaccard, "LEADER_ROWS", leader_rows)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     rng, docs = random.Random(5), []
     passage = [f"p{i}" for i in range(60)]
     base = [f"w{i}" for i in range(100)]
