@@ -108,6 +108,8 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
             (F.col("n_chars") - F.expr("chars")[names.index("space")]).cast("long").alias("word_chars"), symbols.alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
             _shares("chars").alias("chars"), _shares("common").alias("common"),
+            # Filters on the measures ask for this number too, so that the optimizer doesn't write all of the above into them.
+            F.monotonically_increasing_id().alias("id"),
         ).alias("__m"),
     )
 
@@ -121,7 +123,7 @@ def _shares(name: str) -> Column:
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float] | None]]:
     """Mean histograms by language, and of all under "": over the distinct texts long enough to judge. A row per language."""
     n_chars = len(CLASSES) + 1
-    m = rows.select("__m.*").where((F.col("n_words") >= CHAR_WORDS) & F.col("chars").isNotNull())
+    m = rows.select("__m.*").where((F.col("id") >= 0) & (F.col("n_words") >= CHAR_WORDS) & F.col("chars").isNotNull())
     one = m.groupBy("ref", "same").agg(
         *[F.max(F.col("chars")[i]).alias(f"c{i}") for i in range(n_chars)],
         *[F.max(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(_BINS + 2)],
@@ -177,4 +179,4 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def kept_only(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     refs = references(measured(docs))
-    return judged(measured(docs), refs).where("kept").select("__row.*")
+    return judged(measured(docs), refs).where("id >= 0 and kept").select("__row.*")
