@@ -41,7 +41,7 @@ def q_wide(spark, sf):
     lines = frame(spark, sf, "applprev_1").select("case_id", "annuity_853A")
     child = aggregate_by_key(lines, "case_id", default_policy("applprev_1", lines.schema))
     child = child.withColumn("credamount_770A", F.col("applprev_1__annuity_853A__max"))
-    return rounded(J.wide_left_join(base, [static, child], "case_id", numbered=True))
+    return rounded(J.wide_left_join(base, [static, child], "case_id", numbered_from=0))
 
 
 @query(
