@@ -4,7 +4,8 @@ Patterns find mail and network addresses, card and phone numbers; these spans al
 the tokens that could be personal data (those with digits or an @) adds what patterns miss: a token's own shape,
 its neighbours' labels and, over any distance, tokens that repeat it or resemble it (the same digits,
 the same address or its local part) share potentials. Loopy sum-product message passing settles each document; tokens
-that a pattern has found are fixed. Repeats of a token are linked in a row, so their number only adds links one by one.
+that a pattern has found are fixed. Repeats of a token are linked in a row, and each one is also linked to the nearest one that a
+pattern has found: its evidence doesn't have to pass through other repeats, and links stay linear in the number of tokens.
 
 The field is trained on the corpus itself with the patterns' labels: one pass counts shapes with labels, pairs of
 neighbours and pairs of linked tokens over all documents; the weights are fitted to these counts, whose
@@ -30,10 +31,12 @@ from evenkeel.llm.frames import id_and_text, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Share of pattern labels taken to be wrong, least probability of an added span, and rounds of messages.
+#: Share of pattern labels taken to be wrong, least probability of an added span.
 NOISE = 0.05
 SURE = 0.6
-ROUNDS = 30
+#: Messages are passed until none moves by more than this; damping grows after so many rounds, for loops that swing.
+SETTLED = 1e-4
+ROUNDS = 100
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can't begin within a run of digits: the run's first digit would have matched before.
@@ -85,13 +88,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class _Nodes:
-    """Candidate tokens of a text: core spans, shapes, fixed labels (0: none) and links."""
+    """Candidate tokens of a text: core spans, shapes, fixed labels (0: none) and links; the first ``rows`` skip links are those of repeats in a row."""
 
     spans: list[tuple[int, int]]
     shapes: list[str]
     fixed: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    rows: int = 0
 
 
 def _shape(core: str, before: str) -> str:
@@ -123,7 +127,7 @@ def _around(places, begins: list[int], start: int, end: int):
 def _nodes(text: str, spans: list[tuple[str, int, int]]) -> _Nodes:
     places = sorted((s, e, KINDS.index(k) + 1) for k, s, e in spans)
     begins = [p[0] for p in places]
-    out, last, order, linked, seen = _Nodes([], [], [], [], []), None, 0, {}, set()
+    out, last, order, linked = _Nodes([], [], [], [], []), None, 0, {}
     before = ""
     for m in _TOKEN.finditer(text):
         order += 1
@@ -146,13 +150,26 @@ def _nodes(text: str, spans: list[tuple[str, int, int]]) -> _Nodes:
             out.chain.append((last[0], n))
         last, before = (n, order), token
         for key in _keys(core):
-            if key in linked and (linked[key], n) not in seen:
-                seen.add((linked[key], n))
-                out.skip.append((linked[key], n))
-            linked[key] = n
+            linked.setdefault(key, []).append(n)
+    _link(out, linked.values())
     return out
 
 
+def _link(g: _Nodes, groups) -> None:
+    """Skip links of groups of like tokens: in a row, and from each to the nearest one that a pattern has found."""
+    row = dict.fromkeys(sorted((i, j) for x in groups for i, j in zip(x, x[1:])))
+    near = {}
+    for x in groups:
+        found = [i for i in x if g.fixed[i]]
+        for i in x if found else ():
+            if not g.fixed[i]:
+                k = bisect_right(found, i)
+                f = min(found[max(0, k - 1) : k + 1], key=lambda f: abs(f - i))
+                near[min(i, f), max(i, f)] = None
+    g.rows = len(row)
+    g.skip = [*row, *(e for e in sorted(near) if e not in row)]
+
+
 @dataclass
 class Field:
     """Log-potentials: by shape and label, and between labels of neighbours and of linked tokens."""
@@ -180,7 +197,7 @@ def train(docs: DataFrame) -> Field | None:
                 g = _nodes(t, base_spans(t))
                 c.update(("u", s, y, 0) for s, y in zip(g.shapes, g.fixed))
                 c.update(("c", "", g.fixed[i], g.fixed[j]) for i, j in g.chain)
-                c.update(("s", "", g.fixed[i], g.fixed[j]) for i, j in g.skip)
+                c.update(("s", "", g.fixed[i], g.fixed[j]) for i, j in g.skip[: g.rows])
         if c:
             keys = sorted(c)
             yield [*(list(x) for x in zip(*keys)), [c[k] for k in keys]]
@@ -238,7 +255,7 @@ def marginals(g: _Nodes, field: Field) -> np.ndarray:
     unary = np.array([field.unary.get(s, field.other) for s in g.shapes]).reshape(n, k)
     for i, y in enumerate(g.fixed):
         if y:
-            unary[i] = np.where(np.arange(k) == y, 0.0, -50.0)
+            unary[i] = np.where(np.arange(k) == y, 0.0, -np.inf)
     edges = [(i, j, field.chain) for i, j in g.chain] + [(i, j, field.skip) for i, j in g.skip]
     if not edges:
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
@@ -248,17 +265,18 @@ def marginals(g: _Nodes, field: Field) -> np.ndarray:
     pot = np.array([m for *_, m in edges] + [m.T for *_, m in edges])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     msg = np.zeros((len(src), k))
-    for _ in range(ROUNDS):
+    for step in range(10 * ROUNDS):
         total = unary.copy()
         np.add.at(total, dst, msg)
         out = (total[src] - msg[back])[:, :, None] + pot
         top = out.max(axis=1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
-        if np.abs(new - msg).max() < 1e-4:
+        if np.abs(new - msg).max() < SETTLED:
             msg = new
             break
-        msg = 0.5 * msg + 0.5 * new
+        keep = 1 - 0.5 / (1 + step // ROUNDS)
+        msg = keep * msg + (1 - keep) * new
     total = unary.copy()
     np.add.at(total, dst, msg)
     p = np.exp(total - total.max(axis=1, keepdims=True))

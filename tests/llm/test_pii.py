@@ -97,6 +97,21 @@ def test_repeats_share_a_label(field):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 50])
+def test_evidence_reaches_every_repeat(n):
+    import numpy as np
+
+    none = np.log(np.array([0.96] + [0.01] * 4))
+    for agree in (0.985, 0.998, 0.9998):
+        strength = np.log(agree / (1 - agree)) + np.log(4)
+        own = pii.Field({}, np.zeros((5, 5)), np.eye(5) * strength, none)
+        text = "call +1-974-555-3436 " + "or then 974-555-3436 " * n
+        base, every = pii.spans_of(text, own)
+        assert len(base) == 1 and [k for k, _, _ in every] == ["phone"] * (n + 1)
+        text = "call " + "974-555-3436 or then " * n + "jo@b.cd or +1-974-555-3436"
+        assert len(pii.spans_of(text, own)[1]) == n + 2
+
+
 def test_clean_texts_stay_clean(field):
     for text in ("in 2024 there were 974 555 3436 of 12.5", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "card 9807915762804490 and 9807915762804490"):
         assert pii.spans_of(text, field) == ([], [])
