@@ -4,7 +4,8 @@ The pages of a host are merged into one tree of style nodes: a node is a path of
 classes, below it the texts and the arrangements of children that its pages show there. A leaf's texts that recur on
 many pages say little; an inner node whose pages are all arranged alike says little of its own. So a node's importance
 is put together from the entropy of its arrangements and the importance of what lies below, and branches of low
-importance are cut out of every page. Copies of a page count once, and trees of few pages aren't used.
+importance are cut out of every page. Pages of a host whose article's texts are the same (all texts, where no article is marked)
+count once, whatever their menus, adverts and scripts; trees of few such pages aren't used.
 What is never part of an article (menus, forms, adverts and so on, by element or by class) is cut
 out beforehand, and if a page marks its article, only that is read.
 
@@ -133,6 +134,10 @@ class Page:
             stack.append((name, below, cut, article))
         flush()
 
+    def own(self) -> list[tuple[int, str, bool]]:
+        """The article's blocks, or all where none is marked."""
+        return [b for b in self.blocks if b[2]] or self.blocks
+
     def text(self, cut: set[int]) -> str:
         """The article's blocks but those of branches to be cut."""
         gone: dict[int | None, bool] = {None: False}
@@ -150,12 +155,14 @@ class Page:
                 node = x
             return gone[node]
 
-        own = [b for b in self.blocks if b[2]] or self.blocks
-        return " ".join(t for node, t, _ in own if not out(node))
+        return " ".join(t for node, t, _ in self.own() if not out(node))
+
 
+def _style_rows(pages: DataFrame, by_article: bool) -> DataFrame:
+    """What each page shows at each style node: (host, page, node, above, source, style, texts).
 
-def _style_rows(pages: DataFrame) -> DataFrame:
-    """What each page shows at each style node: (host, page hash, node, above, kind, feature)."""
+    A page is the hash of its source or, by article, of the texts that are read of it: so copies share it though their sources differ.
+    """
 
     def take(batches):
         for b in batches:
@@ -163,27 +170,36 @@ def _style_rows(pages: DataFrame) -> DataFrame:
                 if not source:
                     continue
                 page, where = Page(source), host(url)
-                same = xxhash.xxh64_intdigest(source) - 2**63
-                rows = {(node, "text", xxhash.xxh64_intdigest(t) - 2**63) for node, t, _ in page.blocks}
-                rows |= {(node, "style", xxhash.xxh64_intdigest(" ".join(names)) - 2**63) for node, (_, names) in page.nodes.items()}
-                rows = sorted(rows)
-                n = len(rows)
-                if n:
-                    yield [[where] * n, [same] * n, [r[0] for r in rows], [page.nodes[r[0]][0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-
-    kind = "host string, page bigint, node bigint, above bigint, kind string, feature bigint"
+                own = xxhash.xxh64_intdigest(source) - 2**63
+                same = xxhash.xxh64_intdigest("\n".join(t for _, t, _ in page.own())) - 2**63 if by_article else own
+                texts: dict[int, set[int]] = {}
+                for node, t, _ in page.blocks:
+                    texts.setdefault(node, set()).add(xxhash.xxh64_intdigest(t) - 2**63)
+                n, nodes = len(page.nodes), list(page.nodes)
+                yield [
+                    [where] * n, [same] * n, nodes, [page.nodes[x][0] for x in nodes], [own] * n,
+                    [xxhash.xxh64_intdigest(" ".join(page.nodes[x][1])) - 2**63 for x in nodes], [sorted(texts.get(x, ())) for x in nodes],
+                ]
+
+    kind = "host string, page bigint, node bigint, above bigint, source bigint, style bigint, texts array<bigint>"
     return map_batches(pages, take, kind)
 
 
-def importance(pages: DataFrame) -> DataFrame:
+def importance(pages: DataFrame, by_article: bool = False) -> DataFrame:
     """(host, node, above, pages, own, importance) of every style node of hosts with enough distinct pages.
 
     A text found on c of a node's m pages has the entropy log c / log m; a leaf is as important as its texts are
     spread thinly: 1 less their mean entropy. An inner node adds the entropy of its arrangements.
+    Pages are told apart by their sources or, by article, by the texts that are read of them.
     """
-    rows = _style_rows(pages)
-    # Copies of a page count once: pages are told apart by the hash of their source.
-    each = rows.distinct().groupBy("host", "node", "above", "kind", "feature").agg(F.count("*").alias("c"))
+    rows = _style_rows(pages, by_article)
+    # A page counts once at each node, as its copy of the least source has it; copies fall together before the shuffle.
+    once = rows.groupBy("host", "page", "node", "above").agg(F.min(F.struct("source", "style", "texts")).alias("x"))
+    shown = F.concat(
+        F.array(F.struct(F.lit("style").alias("kind"), F.col("x.style").alias("feature"))),
+        F.transform("x.texts", lambda t: F.struct(F.lit("text").alias("kind"), t.alias("feature"))),
+    )
+    each = once.select("host", "node", "above", F.inline(shown)).groupBy("host", "node", "above", "kind", "feature").agg(F.count("*").alias("c"))
     each = materialise(each, "styles")
     styles = each.where("kind = 'style'").groupBy("host", "node").agg(
         F.sum("c").alias("m"), F.count("*").alias("l"), F.expr("sum(c * ln(c))").alias("clogc")
@@ -203,7 +219,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def branches_to_cut(pages: DataFrame, least: float = MIN_IMPORTANCE) -> DataFrame:
     """(host, cut): the branches of too little importance, by host."""
-    low = importance(pages).where(F.col("importance") < least)
+    low = importance(pages, by_article=True).where(F.col("importance") < least)
     return low.groupBy("host").agg(F.collect_set("node").alias("cut"))
 
 

@@ -54,6 +54,23 @@ def test_branches_that_recur_on_a_host_are_cut(spark):
     assert got[None] == "" and got[30] == "kept" and len(got) == len({r[0] for r in rows})
 
 
+def test_near_copies_count_once(spark):
+    def page(i, article):
+        return f"<body><nav>menu {i}</nav><div>advert {i}</div><script>track({i})</script><article><h1>Title {article}</h1><p>Text {article}</p></article></body>"
+
+    rows = [(i, f"https://a.example/{i}", page(i, i % 4)) for i in range(400)]
+    rows += [(1000 + i, f"https://b.example/{i}", page(i, 9)) for i in range(6)]
+    # Ten articles, one of them many times.
+    rows += [(2000 + i, f"https://c.example/{i}", page(i, max(0, i - 50))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.main_text(pages).collect()}
+    for i, _, source in rows:
+        assert got[i] == by_rule(source)
+    nodes = site_tree.importance(pages.select("url", "html"), by_article=True)
+    # The advert outside the article is that of one copy, too.
+    assert {(r["host"], r["m"], r["leaf"]) for r in nodes.where("leaf is not null").collect()} == {("c.example", 10, 1.0)}
+
+
 def test_importance_is_that_of_brute_force(spark, sf):
     import collections
     import math
