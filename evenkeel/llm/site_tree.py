@@ -6,8 +6,9 @@ many pages say little; an inner node whose pages are all arranged alike says lit
 is put together from the entropy of its arrangements and the importance of what lies below, and branches of low
 importance are cut out of every page. Pages of a host whose article's texts are the same (all texts, where no article is marked)
 count once, whatever their menus, adverts and scripts; trees of few such pages aren't used.
-What is never part of an article (menus, forms, adverts and so on, by element or by class) is cut
-out beforehand, and if a page marks its article, only that is read.
+What is never part of an article (menus, forms, adverts and so on, by element or by a whole class name) is cut
+out beforehand, and if a page marks its article, only that is read. Class names cut neither the page's body and its articles nor
+what holds an article; all else is left to the importance.
 
 Hosts are aggregated with partial sums before the shuffle; the nodes to be cut are a few numbers per host.
 
@@ -48,6 +49,8 @@ _CUT_WORDS = set(
     "footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended "
     "recommendations comment comments disqus discussion replies reply respond form search widget pagination pager toolbar skip complementary contentinfo".split()
 )
+#: Elements that their class never cuts.
+_KEPT_ELEMENTS = {"html", "body", "main", "article"}
 _CLOSED_BY = {
     "p": set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td th tr dt dd".split()),
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
@@ -66,13 +69,14 @@ def _node(above: int, name: str, marks: str) -> int:
     return xxhash.xxh64_intdigest(f"{name} {marks}", above & (2**64 - 1)) - 2**63
 
 
-def _marks(attributes: str) -> tuple[str, set[str]]:
-    """The classes of an element as text, without numbers, and their words."""
+def _marks(attributes: str) -> tuple[str, set[str], bool]:
+    """The classes of an element as text, without numbers; its classes, ids and roles, without a number at their end; whether its role is main."""
     if not attributes:
-        return "", set()
-    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _CLASS.finditer(attributes)]
-    words = {w for _, v in found for w in re.split(r"[^a-z]+", v.lower()) if w}
-    return " ".join(sorted(re.sub(r"\d+", "", v.lower()) for k, v in found if k != "id")), words
+        return "", set(), False
+    found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _CLASS.finditer(attributes)]
+    names = {re.sub(r"[-_]?\d+\Z", "", w) for _, v in found for w in v.split()}
+    main = any(k == "role" and "main" in v.split() for k, v in found)
+    return " ".join(sorted(re.sub(r"\d+", "", v) for k, v in found if k != "id")), names, main
 
 
 class Page:
@@ -85,17 +89,21 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, node, cut, article
+        # name, node, cut by element, within an article, branches cut by class
+        stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
         parts: list[str] = []
+        branches: list[tuple[int, ...]] = []  # for each block
+        holding: set[int] = set()  # branches cut by class that hold an article
         at, n = 0, len(source)
 
         def flush():
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 parts.clear()
-                _, node, cut, article = stack[-1]
+                _, node, cut, article, classed = stack[-1]
                 if text and not cut:
                     self.blocks.append((node, text, article))
+                    branches.append(classed)
 
         while at < n:
             m = _TOKEN.search(source, at)
@@ -116,6 +124,8 @@ class Page:
                     del stack[k:]
                 continue
             if name in _RAW:
+                if name in ("svg", "math") and m[3].endswith("/"):
+                    continue
                 end = re.compile(f"</{name}", re.I).search(source, at)
                 close = source.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else n
@@ -124,15 +134,21 @@ class Page:
                 stack.pop()
             if m[3].endswith("/") and name not in ("p", "div"):
                 continue
-            marks, words = _marks(m[3])
-            _, node, cut, article = stack[-1]
-            article = article or name in ("article", "main") or "main" in words and "role" in m[3]
-            cut = cut or name in _CUT_ELEMENTS or bool(words & _CUT_WORDS) or name == "header" and not article
+            marks, names, main = _marks(m[3])
+            _, node, cut, article, classed = stack[-1]
+            main = main or name in ("article", "main")
+            article = article or main
+            cut = cut or name in _CUT_ELEMENTS or name == "header" and not article
+            if main and not cut:
+                holding.update(classed)
+            elif not main and name not in _KEPT_ELEMENTS and names & _CUT_WORDS:
+                classed = (*classed, at)
             below = _node(node, name, marks)
             self.nodes[node][1].append(name)
             self.nodes.setdefault(below, (node, []))
-            stack.append((name, below, cut, article))
+            stack.append((name, below, cut, article, classed))
         flush()
+        self.blocks = [b for b, classed in zip(self.blocks, branches) if holding.issuperset(classed)]
 
     def own(self) -> list[tuple[int, str, bool]]:
         """The article's blocks, or all where none is marked."""

@@ -40,6 +40,25 @@ def test_single_pages(body, want):
     assert Page(HEAD + body).text(set()) == want
 
 
+@pytest.mark.parametrize("body, want", [
+    ("<article class='post category-search'><p>a</p></article>", "a"),
+    ("<div class='layout-no-sidebar'><p>a</p></div>", "a"),
+    ("<div class='sidebar widget'><main class='search'><p>a</p></main><p>b</p></div>", "a"),
+    ("<div class='search'><div class='comments'>c</div><div role='main' id='search'><p>a</p></div></div>", "a"),
+    ("<main><div class='widget'><article><p>a</p></article></div><div class='widget'>w</div><p>b</p></main>", "a b"),
+    ("<div class='ad'>x</div><div class='ad-2'>x</div><div class='ad3 big'>x</div><div class='adage'>y</div>", "y"),
+    ("<svg width='1' /><p>a</p><math/><p>b</p><svg><text>c</text></svg><p>d</p>", "a b d"),
+])
+def test_classes_cut_no_article(body, want):
+    assert Page(HEAD + body).text(set()) == want
+
+
+@pytest.mark.parametrize("classes", ["has-sidebar", "single comments-open", "search"])
+def test_classes_cut_no_page(classes):
+    page = HEAD.replace("<body>", f"<body class='{classes}'>").replace("<html>", f"<html class='{classes}'>")
+    assert Page(page + "<h1>a</h1><p>b</p><div class='comments'>c</div>").text(set()) == "a b"
+
+
 def test_branches_that_recur_on_a_host_are_cut(spark):
     def page(i, extra):
         return f"{HEAD}<article><div class='x1'>Published by the desk</div><p>Text {i} of its own</p><p>More {i}</p><div class='t'>{extra}</div></article>"
