@@ -6,8 +6,9 @@ and lie ``GAP`` positions apart, so a phrase found in the position space lies wi
 
 ``search`` sends the test windows to every block. A window starts from the list of its rarest word over
 the whole corpus; the lists of the other words, shifted by their offsets, are intersected with it from rare to
-frequent until nothing is left. The same lists answer proximity questions: an item's rarest words within
-a few positions of each other. Blocks are answered where they lie: nothing is shuffled by word,
+frequent until nothing is left. The same lists answer proximity questions: the ``NEAR_WORDS`` rarest words of any
+window of an item, all its words where it has fewer, within ``NEAR_SPAN`` positions of the rarest. Words that the corpus doesn't have can't
+be among them; a window with fewer other words than that has no proximity match. Blocks are answered where they lie: nothing is shuffled by word,
 so a frequent word or passage is no hot key. Test sets of any size are worked off in blocks of
 ``QUERY_BYTES``, the only data that is sent to all tasks.
 
@@ -70,8 +71,23 @@ class Queries:
     windows: np.ndarray
     lengths: np.ndarray
     owners: list[list[int]]
-    item_words: dict[int, np.ndarray]
     frequency: np.ndarray | None = None
+    near: np.ndarray | None = None
+    near_owners: list[list[int]] | None = None
+
+    def weigh(self, frequency: np.ndarray) -> None:
+        """Take the words' frequencies in the corpus, and choose the rare words of each window: distinct rows, from rare to frequent, -1 beyond the end."""
+        self.frequency = frequency
+        owners: dict[tuple[int, ...], set[int]] = {}
+        for k, n in enumerate(self.lengths):
+            terms = np.unique(self.windows[k, :n])
+            known = terms[frequency[terms] > 0]
+            wanted = min(NEAR_WORDS, len(terms))
+            if len(known) >= wanted:
+                rare = known[np.argsort(frequency[known], kind="stable")[:wanted]]
+                owners.setdefault(tuple(rare.tolist()), set()).update(self.owners[k])
+        self.near = np.array([(*x, *[-1] * (NEAR_WORDS - len(x))) for x in owners], np.int32).reshape(-1, NEAR_WORDS)
+        self.near_owners = [sorted(x) for x in owners.values()]
 
 
 def make_queries(items: list[tuple[int, str]], window: int = WINDOW) -> Queries:
@@ -80,18 +96,15 @@ def make_queries(items: list[tuple[int, str]], window: int = WINDOW) -> Queries:
     vocabulary = np.unique(w.hashes)
     place = np.searchsorted(vocabulary, w.hashes).astype(np.int32)
     owners: dict[bytes, set[int]] = {}
-    item_words: dict[int, np.ndarray] = {}
     for k, (item, _) in enumerate(items):
         own = place[w.first[k] : w.first[k + 1]]
-        if len(own):
-            item_words[item] = np.unique(np.concatenate([item_words.get(item, own[:0]), own]))
         for i in range(max(1, len(own) - window + 1) if len(own) else 0):
             owners.setdefault(own[i : i + window].tobytes(), set()).add(item)
     rows = [np.frombuffer(k, np.int32) for k in owners]
     table = np.full((len(rows), window), -1, np.int32)
     for i, r in enumerate(rows):
         table[i, : len(r)] = r
-    return Queries(vocabulary, table, np.array([len(r) for r in rows], np.int32), [sorted(x) for x in owners.values()], item_words)
+    return Queries(vocabulary, table, np.array([len(r) for r in rows], np.int32), [sorted(x) for x in owners.values()])
 
 
 class _Block:
@@ -141,17 +154,18 @@ def _phrases(b: _Block, q: Queries, at: np.ndarray):
 
 
 def _nearby(b: _Block, q: Queries, at: np.ndarray):
-    """(item, texts of the block) where the item's rarest words all stand within NEAR_SPAN places of the rarest."""
-    for item, terms in q.item_words.items():
-        rare = terms[np.argsort(q.frequency[terms], kind="stable")[:NEAR_WORDS]]
-        if len(rare) < NEAR_WORDS or (at[rare] < 0).any():
-            continue
+    """(items, texts of the block) where the rare words of one of their windows all stand within NEAR_SPAN places of the rarest."""
+    known = np.where(q.near >= 0, at[q.near] >= 0, True).all(axis=1)
+    for k in np.flatnonzero(known):
+        rare = q.near[k][q.near[k] >= 0]
         places = b.postings(at[rare[0]])
         for t in rare[1:]:
+            if not len(places):
+                break
             other = b.postings(at[t])
             places = places[np.searchsorted(other, places + NEAR_SPAN, "right") > np.searchsorted(other, places - NEAR_SPAN)]
         if len(places):
-            yield item, np.unique(b.doc_of(places))
+            yield q.near_owners[k], np.unique(b.doc_of(places))
 
 
 def _covered(starts: np.ndarray, ends: np.ndarray) -> list[int]:
@@ -206,9 +220,9 @@ def _answer(index: DataFrame, q: Queries) -> DataFrame:
                     ends.append(starts + q.lengths[k])
                     for d in np.unique(b.doc_of(starts)):
                         items.setdefault(int(d), set()).update(q.owners[k])
-                for item, docs in _nearby(b, q, at):
+                for own, docs in _nearby(b, q, at):
                     for d in docs:
-                        near.setdefault(int(d), []).append(item)
+                        near.setdefault(int(d), set()).update(own)
                 spans: dict[int, list[int]] = {}
                 if begins:
                     s, e = np.concatenate(begins), np.concatenate(ends)
@@ -236,7 +250,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, query_bytes
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         q = make_queries([tuple(r) for r in block], window)
-        q.frequency = word_frequencies(index, q.vocabulary)
+        q.weigh(word_frequencies(index, q.vocabulary))
         answers.append(_answer(index, q))
     if n == 1:
         return answers[0].drop("row", "place")
