@@ -3,7 +3,8 @@
 Patterns find mail and network addresses, card and phone numbers; these spans always stand. A field over
 the tokens that could be personal data (those with digits or an @) adds what patterns miss: a token's own shape,
 its neighbours' labels and, over any distance, tokens that repeat it or resemble it (the same digits,
-the same address or its local part) share potentials. Loopy sum-product message passing settles each document; tokens
+the same address or its local part) share potentials. Numbers written in groups are one token: those that a pattern has found, and groups in
+a row whose digits are those of a found number, end in them or share their last 7. Loopy sum-product message passing settles each document; tokens
 that a pattern has found are fixed. Repeats of a token are linked in a row, and each one is also linked to the nearest one that a
 pattern has found: its evidence doesn't have to pass through other repeats, and links stay linear in the number of tokens.
 
@@ -45,6 +46,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile("[0-9@]")
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
+_RUN = re.compile(r"[0-9](?:[\x20().-]*+[0-9])*+")
+_GROUP = re.compile("[0-9]+")
 _TRIM = re.compile(r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$")
 
 
@@ -103,7 +106,7 @@ def _shape(core: str, before: str) -> str:
     digits = sum("0" <= c <= "9" for c in core)
     marks = "".join(sorted({c for c in core if c in "@.-+/:()"}))
     letters = "a" if any(c.isalpha() for c in core) else ""
-    luhn = "L" if 13 <= digits <= 19 and _luhn("".join(c for c in core if "0" <= c <= "9")) else ""
+    luhn = "L" if 13 <= digits <= 19 and _luhn(_digits(core)) else ""
     return f"{min(digits, 20)}{letters}{marks}{luhn}{'<' if before.startswith('+') else ''}"
 
 
@@ -111,14 +114,119 @@ def _keys(core: str) -> list[str]:
     """What a token has in common with those that repeat or resemble it."""
     if "@" in core:
         return ["m" + core.lower(), "l" + core.lower().partition("@")[0]]
-    digits = "".join(c for c in core if "0" <= c <= "9")
+    digits = _digits(core)
     if any(c.isalpha() for c in core):
         return ["l" + core.lower()] if len(core) >= 5 and digits else []
     if core.count(".") == 3:
         return ["i" + core]
+    return _digit_keys(digits)
+
+
+def _digits(core: str) -> str:
+    return "".join(c for c in core if "0" <= c <= "9")
+
+
+def _digit_keys(digits: str) -> list[str]:
     return (["d" + digits] if len(digits) >= 12 else []) + (["p" + digits[-7:]] if 7 <= len(digits) <= 15 else [])
 
 
+@dataclass
+class _Numbers:
+    """The digits of found numbers, the ends of 7 digits or more of those that can be phone numbers, and the shortest of these by their last 7."""
+
+    whole: set[str]
+    tails: set[str]
+    shortest: dict[str, int]
+
+
+def _first_group(digits: str, begins: list[int], ends: list[int], marks: list[bool], j: int, found: _Numbers) -> tuple[int, list[str]] | None:
+    """(first group, keys) of the unit that ends with group j and resembles a found number."""
+    last = digits[max(0, ends[j] - 7) : ends[j]]
+    shortest, part, fused = found.shortest.get(last), None, None
+    for i in range(j, -1, -1):
+        own = digits[begins[i] : ends[j]]
+        if own in found.whole:
+            return i, _digit_keys(own)
+        if fused is None:
+            f = next((own[-n:] for n in range(min(19, len(own) - 1), 6, -1) if own[-n:] in found.whole), None)
+            fused = (i, _digit_keys(f)) if f else None
+        if own.lstrip("0") in found.tails:
+            part = i
+        if len(own) >= 19:
+            break
+    if part is None and fused is not None:
+        return fused
+    if shortest is None:
+        return None
+    if part is None:
+        part = next((i for i in range(j, -1, -1) if ends[j] - begins[i] >= 7), 0)
+    # The area code belongs to it, also where it is another one: the nearest group before that begins with 0, a plus or a bracket.
+    if digits[begins[part]] != "0" and not marks[part] and ends[j] - begins[part] < shortest:
+        for i in range(part - 1, -1, -1):
+            if ends[j] - begins[i] > 15:
+                break
+            if marks[i] or digits[begins[i]] == "0":
+                part = i
+                break
+    return (part, ["p" + last]) if ends[j] - begins[part] <= 15 else None
+
+
+def _units(text: str, places: list[tuple[int, int, int]], starts: list[int]) -> list[tuple[int, int, int, list[str]]]:
+    """Numbers of several tokens, or with digits before them: (start, end, label or 0, keys), by place and apart from one another.
+
+    ``places`` are the patterns' spans (start, end, label), ``starts`` their starts. Work is linear: a unit has 19 groups at most.
+    """
+    numbers = [p for p in places if LABELS[p[2]] in ("card", "phone")]
+    if not numbers:
+        return []
+    out, found, ends7 = [], _Numbers(set(), set(), {}), set()
+    for s, e, y in numbers:
+        digits = _digits(text[s:e])
+        found.whole.add(digits)
+        ends7.add(digits[-7:])
+        if len(digits) <= 15:
+            found.tails.update(digits[k:] for k in range(len(digits) - 6))
+            found.shortest[digits[-7:]] = min(len(digits), found.shortest.get(digits[-7:], 15))
+        if _TOKEN.match(text, s).end() < e and (not out or out[-1][1] <= s):
+            out.append((s, e, y, _digit_keys(digits)))
+    for m in _RUN.finditer(text):
+        groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+        # Parts of the run that no pattern has found.
+        parts, part = [], []
+        for s, e in groups:
+            if any(a < e and s < b for a, b, _ in _around(places, starts, s, e)):
+                parts.append(part)
+                part = []
+            else:
+                part.append((s, e))
+        for part in (*parts, part):
+            if not part:
+                continue
+            digits = "".join(text[s:e] for s, e in part)
+            begins, ends, n = [], [], 0
+            for s, e in part:
+                begins.append(n)
+                n += e - s
+                ends.append(n)
+            marks = [s > 0 and text[s - 1] in "(+" for s, _ in part]
+            j = len(part) - 1
+            while j >= 0:
+                hit = _first_group(digits, begins, ends, marks, j, found) if digits[max(0, ends[j] - 7) : ends[j]] in ends7 else None
+                if hit is None:
+                    j -= 1
+                    continue
+                i, keys = hit
+                s, e = part[i][0], part[j][1]
+                if s > 0 and (text[s - 1] == "+" or text[s - 1] == "(" and ")" in text[s:e]):
+                    s -= 1
+                one = _TOKEN.match(text, s)
+                # A number that is a token of its own has its keys already, if these are all.
+                if one.end() < e or keys[0] not in _keys(_TRIM.sub("", one[0])) and not any(c.isalpha() or c == "@" for c in one[0]):
+                    out.append((s, e, 0, keys))
+                j = i - 1
+    return sorted(out)
+
+
 def _around(places, begins: list[int], start: int, end: int):
     """The spans that may touch [start, end): one of each kind may begin before it."""
     return places[max(0, bisect_right(begins, start) - len(KINDS)) : bisect_right(begins, end)]
@@ -129,7 +237,36 @@ def _nodes(text: str, spans: list[tuple[str, int, int]]) -> _Nodes:
     begins = [p[0] for p in places]
     out, last, order, linked = _Nodes([], [], [], [], []), None, 0, {}
     before = ""
+
+    def add(start, end, shape, label, keys):
+        nonlocal last
+        n = len(out.spans)
+        out.spans.append((start, end))
+        out.shapes.append(shape)
+        out.fixed.append(label)
+        if last is not None and last[1] == order - 1:
+            out.chain.append((last[0], n))
+        last = n, order
+        for key in keys:
+            linked.setdefault(key, []).append(n)
+
+    units = _units(text, places, begins)
+    u = 0
     for m in _TOKEN.finditer(text):
+        # A unit takes the place of the tokens that it covers.
+        while u < len(units) and units[u][1] <= m.start():
+            u += 1
+        if u < len(units) and units[u][0] < m.end():
+            while u < len(units) and units[u][0] < m.end():
+                start, end, label, keys = units[u]
+                if start >= m.start():
+                    order += 1
+                    add(start, end, _shape(text[start:end], before), label, keys)
+                if end > m.end():
+                    break
+                u += 1
+            before = m[0]
+            continue
         order += 1
         token = m[0]
         if not _HINT.search(token):
@@ -141,16 +278,10 @@ def _nodes(text: str, spans: list[tuple[str, int, int]]) -> _Nodes:
         if not core:
             before = token
             continue
-        end, n = start + len(core), len(out.spans)
+        end = start + len(core)
         label = next((y for s, e, y in _around(places, begins, start, end) if s < end and e > start), 0)
-        out.spans.append((start, end))
-        out.shapes.append(_shape(core, before))
-        out.fixed.append(label)
-        if last is not None and last[1] == order - 1:
-            out.chain.append((last[0], n))
-        last, before = (n, order), token
-        for key in _keys(core):
-            linked.setdefault(key, []).append(n)
+        add(start, end, _shape(core, before), label, _keys(core))
+        before = token
     _link(out, linked.values())
     return out
 

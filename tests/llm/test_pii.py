@@ -112,6 +112,38 @@ def test_evidence_reaches_every_repeat(n):
         assert len(pii.spans_of(text, own)[1]) == n + 2
 
 
+@pytest.mark.parametrize("text, want", [
+    ("call +49 170 1234567, or 0170 1234567, in short 0170 123 4567.", ["0170 1234567", "0170 123 4567"]),
+    ("call +1 974 555 3436; in 2024 974 555 3436 or (974) 555-3436 rang", ["974 555 3436", "(974) 555-3436"]),
+    ("card 4111 1111 1111 1111 as 12 4111 1111 1111 1111 and 124111 1111 1111 1111", ["4111 1111 1111 1111", "124111 1111 1111 1111"]),
+    ("card 4111-1111-1111-1111 as 4111 1111 1111 1111 12", ["4111 1111 1111 1111"]),
+    ("card 4111111111111111 as 124111111111111111", ["124111111111111111"]),
+    ("call +49 170 1234567, 0171 123 4567 or 4567", ["0171 123 4567"]),
+    ("call +49 170 1234567 of 12 13 14 15 16 17 18 19 20 0170 1234568", []),
+    ("call +49 170 1234567 and +49 170 1234567", []),
+])
+def test_numbers_in_groups(text, want):
+    import numpy as np
+
+    own = pii.Field({}, np.zeros((5, 5)), np.eye(5) * (np.log(0.998 / 0.002) + np.log(4)), np.log(np.array([0.96] + [0.01] * 4)))
+    base, every = pii.spans_of(text, own)
+    assert [text[s:e] for k, s, e in sorted(every, key=lambda x: x[1]) if (k, s, e) not in base] == want
+    assert set(base) <= set(every)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 50])
+def test_repeats_with_the_trained_field(field, n):
+    for first, again in (("call +1 (974) 555-3436", "974-555-3436"), ("call +49 170 1234567", "0170 1234567"), ("card 4111 1111 1111 1111", "12 4111 1111 1111 1111")):
+        text = f"{first} now. " + f"The number {again} is new; " * n
+        base, every = pii.spans_of(text, field)
+        assert len(base) == 1 and len(every) == n + 1
+
+
+def test_units_take_linear_time():
+    text = "+49 170 1234567 " + "1 2 3 4 5 6 7 " * 20_000 + "+49 170 1234567"
+    assert len(pii._nodes(text, pii.base_spans(text)).spans) > 0
+
+
 def test_clean_texts_stay_clean(field):
     for text in ("in 2024 there were 974 555 3436 of 12.5", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "card 9807915762804490 and 9807915762804490"):
         assert pii.spans_of(text, field) == ([], [])
