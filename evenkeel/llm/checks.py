@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import quality
+from evenkeel.llm import quality, url_filter
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -91,8 +91,43 @@ SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(c.k, 0) AS BIGIN
 """
 
 
+def url_filtering() -> str:
+    u, order = url_filter, url_filter.ORDER
+    rules = sorted(u.RULES, key=lambda r: (-len(r.name), -len(r.host), r.name))
+    case = "CASE " + " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{{k}}}" for k, r in enumerate(rules)
+    ) + " END"
+    levels = ["l AS (SELECT '' AS gram, 1.0::DOUBLE / %d AS pa, 1.0::DOUBLE / %d AS pb)" % (u.ALPHABET, u.ALPHABET)]
+    share = "CASE WHEN t{0} >= %d THEN ({0} + d{0} * p{0}) / (t{0} + d{0}) ELSE p{0} END AS p{0}" % u.MIN_CONTEXT
+    for k in range(order + 1):
+        levels.append(f"""g{k} AS (SELECT right(w, {k + 1}) AS gram, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM wi GROUP BY 1),
+c{k} AS (SELECT *, sum(a) OVER c AS ta, sum(b) OVER c AS tb, count(*) FILTER (a > 0) OVER c AS da, count(*) FILTER (b > 0) OVER c AS db
+ FROM g{k} WINDOW c AS (PARTITION BY left(gram, {k}))),
+l{k} AS (SELECT c{k}.gram, {share.format('a')}, {share.format('b')} FROM c{k} JOIN l{k - 1 if k else ''} l ON l.gram = right(c{k}.gram, {k}))""")
+    return f"""
+WITH r AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT page_id, host, path, host || substr(rest, length(host) + 1) AS s,
+ {case.format(*[repr(r.name) for r in rules])} AS rule, {case.format(*[repr(r.verdict) for r in rules])} AS kind FROM h),
+u AS (SELECT s, count(*) AS n, any_value(kind) AS kind, ('0x' || substr(md5(s), 1, 4))::BIGINT % {u.HELD_OUT} = 0 AS held FROM f GROUP BY 1),
+e AS (SELECT s, n, kind, held, unnest(list_transform(range(1, length(s) + 2), lambda i: substr(repeat(chr(2), {order}) || s || chr(3), i, {order + 1}))) AS w FROM u),
+wi AS (SELECT w, sum(CASE WHEN kind = 'allow' AND NOT held THEN n ELSE 0 END) AS a, sum(CASE WHEN kind = 'block' AND NOT held THEN n ELSE 0 END) AS b FROM e GROUP BY 1),
+{", ".join(levels)},
+v AS (SELECT s, CAST(floor(CAST(sum(CAST(round({u.UNIT} * (ln(pa) - ln(pb))) AS BIGINT)) AS DOUBLE) / count(*)) AS BIGINT) AS score
+ FROM e JOIN l{order} l ON l.gram = e.w GROUP BY 1),
+b AS (SELECT floor(score / {u.STEP}.0)::BIGINT AS bin, sum(CASE WHEN kind = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN kind = 'block' THEN n ELSE 0 END) AS b
+ FROM u JOIN v USING (s) WHERE held AND kind IS NOT NULL GROUP BY 1),
+t AS (SELECT bin, sum(a) OVER () AS a_all, sum(b) OVER () AS b_all, coalesce(sum(a) OVER w, 0) AS a_low, coalesce(sum(b) OVER w, 0) AS b_low
+ FROM b WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT coalesce((SELECT bin * {u.STEP} FROM t WHERE a_all > 0 AND b_all > 0 ORDER BY (a_all - a_low) * b_all + b_low * a_all DESC, abs(bin), bin LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, score, CAST(cut AS BIGINT) AS "limit"
+FROM f JOIN v USING (s), z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_url_filter": url_filtering(),
         "op3_quality_rules": quality_rules(), "op4_ngram_jaccard_join": NGRAM_JACCARD, "op5_warc": WARC,
         "op6_benchmark_decontamination": DECONTAMINATION,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import checks, decontam, jaccard, packing, pii, quality, sharding, site_tree, token_counts, token_files, warc
+from evenkeel.llm import checks, decontam, jaccard, packing, pii, quality, sharding, site_tree, token_counts, token_files, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_pii_field(spark, sf_dir):
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 oracle_sql = checks.oracle_sql
 
 
