@@ -90,6 +90,19 @@ SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(c.k, 0) AS BIGIN
  sha256(coalesce(s, '')) AS items_sha256, coalesce(c.k, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, {_ALNUM})) AS x FROM documents),
+p AS (SELECT r, any_value(doc_id) AS doc_id, x, count(*) AS tf FROM d GROUP BY r, x),
+s AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r),
+a AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM s),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, {_ALNUM})) AS x FROM benchmark),
+w AS (SELECT x, floor(1000 * ln(CAST(2 * (SELECT nn FROM a) + 2 AS DOUBLE) / (2 * count(*) + 1)))::BIGINT AS w FROM p WHERE x IN (SELECT x FROM q) GROUP BY x),
+c AS (SELECT item_id, r, doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l))) AS v FROM q JOIN w USING (x) JOIN p USING (x) JOIN s USING (r), a),
+t AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(v)::BIGINT AS score FROM c GROUP BY item_id, r),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM t WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
 
 def url_filtering() -> str:
     u, order = url_filter, url_filter.ORDER
@@ -127,6 +140,7 @@ FROM f JOIN v USING (s), z
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_ranked_search": RANKED_SEARCH,
         "op13_url_filter": url_filtering(),
         "op3_quality_rules": quality_rules(), "op4_ngram_jaccard_join": NGRAM_JACCARD, "op5_warc": WARC,
         "op6_benchmark_decontamination": DECONTAMINATION,
