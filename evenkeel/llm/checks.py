@@ -103,6 +103,23 @@ k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT * FROM k WHERE rank <= 10
 """
 
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents),
+w AS (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS x FROM p),
+g AS (SELECT lang, k, array_to_string(x[i:i + k - 1], ' ') AS phrase, array_to_string(x[i:i + k - 2], ' ') AS pre, array_to_string(x[i + 1:i + k - 1], ' ') AS suf
+ FROM (SELECT lang, x, k, unnest(range(1, len(x) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(x) >= k)),
+f AS (SELECT lang, k, phrase, any_value(pre) AS pre, any_value(suf) AS suf, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(x))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS y FROM f WHERE k > 1),
+d AS (SELECT c.lang, c.k, c.phrase, c.a, j, l.a AS l, r.a AS r, CAST((c.a::HUGEINT * 2000000) // (l.a + r.a) AS BIGINT) AS score FROM c
+ JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(y[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(y[j + 1:], ' ')),
+e AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+b AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, pre AS phrase, a FROM f WHERE k > 2 UNION ALL SELECT lang, suf, a FROM f WHERE k > 2) GROUP BY 1, 2),
+z AS (SELECT e.lang, row_number() OVER (PARTITION BY e.lang ORDER BY score DESC, a DESC, e.phrase) AS rank, e.phrase, a, l, r, n, score
+ FROM e JOIN n ON n.lang = e.lang LEFT JOIN b ON b.lang = e.lang AND b.phrase = e.phrase WHERE m IS NULL OR 100 * m < 80 * a)
+SELECT * FROM z WHERE rank <= 2000
+"""
+
 
 def url_filtering() -> str:
     u, order = url_filter, url_filter.ORDER
@@ -140,6 +157,7 @@ FROM f JOIN v USING (s), z
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_collocations": COLLOCATIONS,
         "op11_ranked_search": RANKED_SEARCH,
         "op13_url_filter": url_filtering(),
         "op3_quality_rules": quality_rules(), "op4_ngram_jaccard_join": NGRAM_JACCARD, "op5_warc": WARC,

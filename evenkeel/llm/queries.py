@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import checks, decontam, jaccard, packing, pii, quality, ranked_search, sharding, site_tree, token_counts, token_files, url_filter, warc
+from evenkeel.llm import checks, collocations, decontam, jaccard, packing, pii, quality, ranked_search, sharding, site_tree, token_counts, token_files, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_ranked_search(spark, sf_dir):
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
