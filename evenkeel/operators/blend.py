@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel import fixed
 from evenkeel.functions.naming import DEFAULT, Naming
 from evenkeel.functions.scalar import clip01, day_number, week_index
-from evenkeel.operators.metrics import score_groups
+from evenkeel.operators.metrics import auc_of_buckets, gini, stability_of_weeks
 from evenkeel.operators.ordering import find_cuts
+from evenkeel.session import materialise
 from pyspark.sql import types as T
 
 
@@ -48,6 +51,69 @@ def expand_weights(df: DataFrame, models: Sequence[str], grid: Sequence[tuple[fl
     return spread.select(*df.columns, *[f"__w.{n}" for n in names])
 
 
+#: Collapsed rows in a range of scores, and weight rows that are evaluated in one job.
+RANGE_ROWS, GRID_BLOCK = 65_536, 32
+_NO_WEEK = np.iinfo(np.int64).min
+_RANGE = "slot int, bucket int, week binary, score binary, pos binary, neg binary"
+_PAIRS = "slot int, bucket int, week bigint, overall boolean, pos bigint, neg bigint, won double"
+
+
+def _pairs_won(group: np.ndarray, score: np.ndarray, pos: np.ndarray, neg: np.ndarray):
+    """For each group value: its positives, negatives, and pairs in which a positive has the higher score, ties counting half."""
+    order = np.lexsort((score, group))
+    group, score, pos, neg = group[order], score[order], pos[order], neg[order]
+    heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (score[1:] != score[:-1])))
+    group, pos, neg = group[heads], np.add.reduceat(pos, heads), np.add.reduceat(neg, heads)
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    before = np.cumsum(neg) - neg
+    before -= np.repeat(before[first], np.diff(np.append(first, len(group))))
+    twice = np.add.reduceat(pos * (2 * before + neg), first)
+    return group[first], np.add.reduceat(pos, first), np.add.reduceat(neg, first), twice / 2
+
+
+def _grid_pairs(collapsed: DataFrame, preds: Sequence[str], week: str, grid: Sequence[tuple[int, tuple[float, ...]]], points: Sequence[float]) -> DataFrame:
+    """Pairs won inside each range of scores, by weight row: in all, and within each week.
+
+    A task works out a batch's scores for all weight rows as arrays, and hands them on packed by range. A range is
+    merged and sorted in one task; it holds a share of the rows that is set by the number of cut points.
+    """
+    cuts = np.array(points)
+
+    def spread(batches):
+        for b in batches:
+            weeks, pos, neg = (b.column(k).to_numpy() for k in range(3))
+            columns = [b.column(3 + k).to_numpy() for k in range(len(preds))]
+            rows = []
+            for slot, weights in grid:
+                # Added up in the order of the models, as an expression would.
+                score = reduce(lambda x, y: x + y, [w * c for w, c in zip(weights, columns)])
+                bucket = np.where(np.isnan(score), -1, np.searchsorted(cuts, score, "right"))
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(len(cuts) + 2))
+                for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                    if j > i:
+                        own = order[i:j]
+                        rows.append((slot, k, *(x[own].tobytes() for x in (weeks, score, pos, neg))))
+            if rows:
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["slot", "bucket", "week", "score", "pos", "neg"])
+
+    def count(key, table):
+        weeks, score, pos, neg = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("week", "<i8"), ("score", "<f8"), ("pos", "<i8"), ("neg", "<i8"))
+        )
+        names, p, n, won = _pairs_won(weeks, score, pos, neg)
+        _, p_all, n_all, won_all = _pairs_won(np.zeros(len(score), np.int64), score, pos, neg)
+        size = len(names) + 1
+        names = pa.array(np.append(names, 0), mask=np.append(names == _NO_WEEK, True))
+        return pa.table({
+            "slot": pa.array([key[0].as_py()] * size, pa.int32()), "bucket": pa.array([key[1].as_py()] * size, pa.int32()), "week": names,
+            "overall": pa.array([False] * (size - 1) + [True]), "pos": np.append(p, p_all), "neg": np.append(n, n_all), "won": np.append(won, won_all),
+        })
+
+    return collapsed.mapInArrow(spread, _RANGE).groupBy("slot", "bucket").applyInArrow(count, _PAIRS)
+
+
 def blend_weight_search(
     oof: DataFrame,
     models: Mapping[str, str],
@@ -58,25 +124,30 @@ def blend_weight_search(
 ) -> DataFrame:
     """Score every weight row by gini and stability, best first.
 
-    All weight rows are scored in one job. Rows are shuffled as (grid position, week, score)
-    counts; the weights themselves are looked up for the result, one row per position. Cut
-    points come from the plain mean, as they only balance the work.
+    Rows collapse to distinct (week, predictions) with class counts before any weight is applied. Weight rows are evaluated
+    in blocks, so what one job shuffles is bounded by a block; its result, a row per weight row, range and week, is
+    written. Cut points of the ranges come from the plain mean, as they only balance the work.
     """
-    names = [f"{m}_weight" for m in models]
-    preds = list(models.values())
-    grid = weight_grid(step, max_third)
-    cuts = find_cuts(oof, {"s": mean_vote(preds)})["s"]
-    cells = [
-        F.struct(F.lit(i).alias("slot"), _sum([F.lit(w) * F.col(c) for w, c in zip(row, preds)]).alias("score"))
-        for i, row in enumerate(grid)
-    ]
-    # Every row becomes as many as the grid is long, so rows are spread before, while small.
-    n = int(oof.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = oof.select(target, week, *preds).repartition(n, *preds)
-    long = rows.select(target, week, F.explode(F.array(*cells)).alias("__c")).select(target, week, "__c.slot", "__c.score")
-    found = score_groups(long, "score", ["slot"], target, week, cuts)
+    names, preds = [f"{m}_weight" for m in models], list(models.values())
+    grid = list(enumerate(weight_grid(step, max_third)))
+    hits = F.sum(F.col(target).cast("long"))
+    rows = oof.where(F.col(target).isNotNull()).dropna(subset=preds).groupBy(
+        F.coalesce(F.col(week).cast("long"), F.lit(_NO_WEEK)).alias("week"), *[F.col(p).cast("double").alias(p) for p in preds]
+    )
+    rows = rows.agg(hits.alias("pos"), (F.count(F.lit(1)) - hits).alias("neg")).select("week", "pos", "neg", *preds)
+    rows = materialise(rows, "collapsed")
+    ranges = -(-rows.count() // RANGE_ROWS)
+    points = find_cuts(rows, {"s": mean_vote(preds)}, ranges)["s"].points if ranges > 1 else ()
+    pairs = None
+    for k in range(0, len(grid), GRID_BLOCK):
+        block = materialise(_grid_pairs(rows, preds, week, grid[k : k + GRID_BLOCK], points), "pairs")
+        pairs = block if pairs is None else pairs.unionByName(block)
+    total = auc_of_buckets(pairs.where("overall"), ["slot"]).select("slot", "auc", gini(F.col("auc")).alias("gini"))
+    weekly = auc_of_buckets(pairs.where("not overall and week is not null"), ["slot", "week"])
+    weekly = weekly.select("slot", "week", gini(F.col("auc")).alias("gini")).where("gini is not null")
+    found = total.join(stability_of_weeks(weekly, "week", ["slot"]), ["slot"], "left")
     weights = oof.sparkSession.createDataFrame(
-        [(i, *row) for i, row in enumerate(grid)], ", ".join(["slot int", *[f"{n} double" for n in names]])
+        [(i, *row) for i, row in grid], ", ".join(["slot int", *[f"{n} double" for n in names]])
     )
     out = found.join(F.broadcast(weights), "slot").select(*names, *[c for c in found.columns if c != "slot"])
     return out.orderBy(F.desc("gini"), F.desc("stability"), *names)

@@ -48,6 +48,12 @@ def auc_of_counts(counts: DataFrame, score: str, group: Sequence[str] = ()) -> D
         .groupBy(*group, "bucket")
         .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "won")])
     )
+    return auc_of_buckets(buckets, group)
+
+
+def auc_of_buckets(buckets: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """The same from one row per group and bucket: pos, neg, and the pairs won inside the bucket, ties counting half."""
+    group = list(group)
     lower = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     won = F.col("won") + F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(lower), F.lit(0))
     sums = buckets.select(*group, "pos", "neg", won.alias("won")).groupBy(*group).agg(

@@ -36,7 +36,7 @@ def _write_parts(df, folder, split, group, parts):
 def _layout(spark, sf):
     """static_0 in three parts with drifting types, and a base, in the file layout."""
     folder = scratch_path(spark, "layout")
-    static = frame(spark, sf, "static_0").select("case_id", "credamount_770A", "applicationcnt_361L", "annuity_780A")
+    static = frame(spark, sf, "static_0")
     third = F.col("case_id") % 3
     _write_parts(
         static, folder, "train", "static_0",
@@ -65,8 +65,12 @@ def q_resolve(spark, sf):
     return out
 
 
+_MONEY = (
+    "credamount_770A", "annuitynextmonth_57A", "currdebt_22A", "disbursedcredamount_1113A", "downpmt_116A", "maxannuity_159A",
+    "lastapprcredamount_781A", "lastrejectcredamount_222A",
+)
 _SCAN_SQL = (
-    f"SELECT case_id, {R('credamount_770A')} AS credamount_770A, applicationcnt_361L, "
+    f"SELECT case_id, applicationcnt_361L, strftime(DATE '1970-01-01' + firstclxcampaign_1125D, '%Y-%m-%d') AS firstclxcampaign_1125D, {', '.join(f'{R(c)} AS {c}' for c in _MONEY)}, "
     f"CASE WHEN case_id % 3 <> 0 THEN {R('annuity_780A')} END AS annuity_780A FROM ({bound_sql('static_0')})"
 )
 
@@ -114,6 +118,7 @@ _TYPED_SQL = group_sql(
     [
         agg_sql("tax_registry_c_1__row_count", "row_count", ""),
         *[agg_sql(f"tax_registry_c_1__pmtamount_36A__{op}", op, "pmtamount_36A") for op in ("mean", "max", "min", "std")],
+        *[agg_sql(f"tax_registry_c_1__processingdate_168D__{op}", op, "processingdate_168D") for op in ("mean", "max", "min", "std")],
         agg_sql("tax_registry_c_1__employername_160M__nunique", "nunique", "employername_160M", "raw"),
     ],
 )
@@ -122,13 +127,14 @@ _TYPED_SQL = group_sql(
 @query("read_tables", _TYPED_SQL)
 def q_read_tables(spark, sf):
     folder = scratch_path(spark, "tables")
-    rows = frame(spark, sf, "tax_registry_c_1").drop("processingdate_168D")
+    rows = frame(spark, sf, "tax_registry_c_1")
     # Lines of one order land in different files on purpose.
     for i in range(2):
         rows.where(F.col("num_group1") % 2 == i).write.parquet(f"{folder}/train_tax_registry_c_1_{i}.parquet")
 
     def per_case(df):
-        return aggregate_by_key(df, "case_id", default_policy("tax_registry_c_1", df.schema))
+        days = normalize_dates(df)
+        return aggregate_by_key(days, "case_id", default_policy("tax_registry_c_1", days.schema))
 
     return rounded(read_typed(spark, f"{folder}/train_tax_registry_c_1_*.parquet", per_case))
 

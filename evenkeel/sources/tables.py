@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from evenkeel.functions.naming import DEFAULT, Naming
 from evenkeel.functions.scalar import normalize_dates
 from evenkeel.operators.joins import keep_last, semi_filter
+from evenkeel.sources.footers import same_schema
 
 FILE_ORDER = ("__file", "__row")
 
@@ -68,19 +68,16 @@ def read_reconciled(
 ) -> DataFrame:
     """Files of possibly different schemas as one frame.
 
-    Files that share a schema are read together, so the plan has one scan per distinct
-    schema and not one per file. ``position`` adds the file and the row inside it.
+    Files that share a schema are read together, so the plan has one scan, and the driver asks for one schema,
+    per distinct schema and not per file; which files share one is found by a job over the footers.
+    ``position`` adds the file and the row inside it.
     """
-    with ThreadPoolExecutor(16) as pool:
-        schemas = list(pool.map(lambda p: spark.read.parquet(p).schema, paths))
-    target = reconcile_schemas(schemas, naming)
-    groups: dict[str, tuple[T.StructType, list[str]]] = {}
-    for path, schema in zip(paths, schemas):
-        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    groups = [(spark.read.parquet(members[0]).schema, members) for members in same_schema(spark, paths)]
+    target = reconcile_schemas([schema for schema, _ in groups], naming)
     extra = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
     frames = [
         conform(spark.read.schema(schema).parquet(*members), target, extra if position else ())
-        for schema, members in groups.values()
+        for schema, members in groups
     ]
     out = frames[0]
     for frame in frames[1:]:
@@ -133,7 +130,7 @@ class FrameSource:
 
     def table(self, group: str) -> DataFrame:
         if group not in self.frames:
-            raise FileNotFoundError(f"No table for group={group!r}")
+            raise FileNotFoundError(f"the source has no table {group!r}")
         return self.frames[group]
 
     def ordered(self, group: str) -> tuple[DataFrame, tuple[str, ...]]:
@@ -199,7 +196,7 @@ def read_typed(
     """
     paths = [p for p, _, _ in glob_files(spark, pattern)]
     if not paths:
-        raise FileNotFoundError(f"No parquet files match {pattern!r}")
+        raise FileNotFoundError(f"{pattern!r} names no file")
     df = read_reconciled(spark, paths, naming, position=aggregate is None)
     if aggregate is not None:
         return aggregate(set_table_dtypes(df, naming))
