@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: stages applied one after the other, each on all that the one before kept."""
+"""A training-corpus pipeline: stages applied one after the other, each on all that the one before kept.
+
+Defined results: null and empty texts have no words, so the quality rules reject them; of repeated rows and rows that share id and text one
+stays; rows that share an id but not their text are documents of their own; rows without an id stay where no copy has
+one; an empty table gives no rows; other columns are carried along up to the packing.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return jaccard.keep_first(docs, jaccard.near_duplicates(docs))
+    return jaccard.without_near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

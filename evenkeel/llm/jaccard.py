@@ -252,11 +252,8 @@ def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame,
     return materialise(rooted.join(keys.select("shingle"), "shingle"), "unsettled"), keys.agg(F.sum("twice")).first()[0] or 0
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
-
-    component_id is the smallest id among the documents that links of the given similarity lead to.
-    """
+def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members; classes with the least id of each (first); and for linked classes the component's root and least id."""
     docs = id_and_text(docs)
     members = materialise(_members(docs, width), "members")
     classes = members.where("class is not null").groupBy("class").agg(
@@ -283,19 +280,56 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         before, step = n, step + 1
     named = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
-    named = named.join(least, "root").select(F.col("node").alias("class"), "least")
-    out = members.join(classes.select("class", "first"), "class", "left").join(named, "class", "left")
+    return members, classes, named.join(least, "root").select(F.col("node").alias("class"), "root", "least")
+
+
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    component_id is the smallest id among the documents that links of the given similarity lead to.
+    """
+    members, classes, named = _resolved(docs, width, percent)
+    out = members.join(classes.select("class", "first"), "class", "left").join(named.drop("root"), "class", "left")
     return out.select(
         "doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("least", "first", "doc_id").alias("component_id")
     )
 
 
-def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each component: that with the component's id. Rows without an id stay."""
-    kept = found.where("doc_id = component_id").select("doc_id")
-    whole = docs.join(kept.distinct(), "doc_id", "left_semi")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        whole = whole.dropDuplicates(["doc_id"])
-    return whole.unionByName(docs.where("doc_id is null"))
+def _with_class(docs: DataFrame, width: int) -> DataFrame:
+    """The rows with the class of their text; null for texts without words."""
+    kind = docs.drop("__text").schema.add("__class", "long")
+    at = docs.columns.index("__text")
+
+    def take(batches):
+        for b in batches:
+            texts, found = b.column(at).to_pylist(), []
+            for part in blocks(texts):
+                w = hash_words(texts[part], SPACED)
+                sets = (shingles(w.hashes[w.first[i] : w.first[i + 1]], width) for i in range(len(w.first) - 1))
+                found += [_class(s) if len(s) else None for s in sets]
+            yield [*[c for k, c in enumerate(b.columns) if k != at], found]
 
+    return map_batches(docs, take, kind)
+
+
+def without_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, in the columns of docs: that with the component's least id, of the class that it belongs to.
+
+    Decided by id and class, so rows that share an id but not their text are told apart. Defined results: rows without
+    words are linked with nothing and all stay; of repeated rows one stays, the one with the least text where only case or blanks differ;
+    rows without an id are members of their text's class, and one of them stays only where no member of the component has an id;
+    an empty table stays empty; other columns are carried along.
+    """
+    _, classes, named = _resolved(docs, width, percent)
+    owned = classes.join(named.select("class", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    chosen = owned.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("blank"), "first", "class")).alias("m"))
+    keys = {"__id": F.coalesce(F.col("m.first"), F.lit(0)), "__blank": F.col("m.first").isNull(), "__class": F.col("m.class")}
+    chosen = chosen.select(*[c.alias(n) for n, c in keys.items()], F.lit(True).alias("__kept"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = _with_class(docs.withColumn("__text", F.col("text").cast("string")), width)
+    rows = rows.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__blank": doc_id.isNull()})
+    rows = rows.join(chosen, list(keys), "left").where("__kept or __class is null")
+    # Rows without words are all different; the others lie with their equals already.
+    rows = rows.withColumn("__own", F.when(F.col("__class").isNull(), F.monotonically_increasing_id()))
+    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys, "__own").orderBy("text")))
+    return rows.where("__turn = 1").select(*[f"`{c}`" for c in docs.columns])

@@ -79,8 +79,34 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-def test_keep_first(documents, found):
-    kept = jaccard.keep_first(documents, found)
+def test_one_row_of_each_component_stays(documents, found):
+    """Against the links of the brute force, by id and class."""
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    kept = jaccard.without_near_duplicates(documents)
     assert kept.columns == documents.columns
-    ids = [r[0] for r in kept.select("doc_id").collect() if r[0] is not None]
-    assert len(ids) == len(set(ids)) and {900006, 900004} <= set(ids) and not {900007, 900005} & set(ids)
+    kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    wordless = [r for r in rows if not (r[1] or "").split()]
+    assert sorted((r for r in kept if not (r[1] or "").split()), key=str) == sorted(wordless, key=str)
+    want = {c for d, n, c in expected(rows) if n and d is not None}
+    assert sorted(d for d, t in kept if (t or "").split()) == sorted(want)
+    assert set(kept) <= set(rows)
+
+
+TALL = "a b c d e f g h i j k l m n o p q r s t"
+CASES = [
+    # The text of the second id that shares its id with a copy of the first stays.
+    ([(1, TALL), (1, "quite another text with words of its own here"), (2, "quite another text with words of its own here")],
+     [(1, TALL), (1, "quite another text with words of its own here")]),
+    ([(5, TALL), (5, TALL), (5, TALL.upper()), (7, TALL)], [(5, TALL.upper())]),
+    ([(None, TALL), (9, TALL), (None, "text that no row with an id has at all"), (None, "text that no row with an id has at all")],
+     [(9, TALL), (None, "text that no row with an id has at all")]),
+    ([(3, None), (3, None), (None, ""), (4, " ")], [(3, None), (3, None), (None, ""), (4, " ")]),
+    ([], []),
+]
+
+
+@pytest.mark.parametrize("rows, want", CASES)
+def test_clashing_and_missing_ids(spark, rows, want):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class", "'x' as root", "0 as first")
+    got = [(r["doc_id"], r["text"]) for r in jaccard.without_near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
