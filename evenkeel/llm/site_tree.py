@@ -7,8 +7,9 @@ is put together from the entropy of its arrangements and the importance of what
 importance are cut out of every page. Pages of a host whose article's texts are the same (all texts, where no article is marked)
 count once, whatever their menus, adverts and scripts; trees of few such pages aren't used.
 What is never part of an article (menus, forms, adverts and so on, by element or by a whole class name) is cut
-out beforehand, and if a page marks its article, only that is read. Class names cut neither the page's body and its articles nor
-what holds an article; all else is left to the importance.
+out beforehand, and if a page marks its article, only that is read. Class names never cut the page's body; nor what holds an article. But
+an article inside a branch named for comments, adverts or teasers is one of these, unless the page has no other article and it holds more text than all
+outside of it. All else is left to the importance.
 
 Hosts are aggregated with partial sums before the shuffle; the nodes to be cut are a few numbers per host.
 
@@ -49,6 +50,11 @@ _CUT_WORDS = set(
     "footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommended "
     "recommendations comment comments disqus discussion replies reply respond form search widget pagination pager toolbar skip complementary contentinfo".split()
 )
+#: Of these, names of what readers and other pages say: an article inside is no article of the page.
+_OTHERS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo related recommended recommendations comment comments disqus discussion "
+    "replies reply respond".split()
+)
 #: Elements that their class never cuts.
 _KEPT_ELEMENTS = {"html", "body", "main", "article"}
 _CLOSED_BY = {
@@ -89,11 +95,13 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # name, node, cut by element, within an article, branches cut by class
-        stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
+        # name, node, cut by element, place of the article, branches cut by class
+        stack: list[tuple[str, int, bool, int | None, tuple[int, ...]]] = [("", 0, False, None, ())]
         parts: list[str] = []
-        branches: list[tuple[int, ...]] = []  # for each block
-        holding: set[int] = set()  # branches cut by class that hold an article
+        found: list[tuple[int, str, int | None, tuple[int, ...]]] = []
+        regions: dict[int, tuple[int, ...]] = {}  # of articles: the branches cut by class that they lie in
+        others: set[int] = set()  # branches of comments and teasers
+        holding: set[int] = set()  # other branches cut by class that hold an article
         at, n = 0, len(source)
 
         def flush():
@@ -102,8 +110,7 @@ class Page:
                 parts.clear()
                 _, node, cut, article, classed = stack[-1]
                 if text and not cut:
-                    self.blocks.append((node, text, article))
-                    branches.append(classed)
+                    found.append((node, text, article, classed))
 
         while at < n:
             m = _TOKEN.search(source, at)
@@ -137,18 +144,46 @@ class Page:
             marks, names, main = _marks(m[3])
             _, node, cut, article, classed = stack[-1]
             main = main or name in ("article", "main")
-            article = article or main
-            cut = cut or name in _CUT_ELEMENTS or name == "header" and not article
-            if main and not cut:
+            # An article in a branch that is cut inside another article is one of its own.
+            if main and (article is None or regions[article] != classed):
+                article = at
+                regions[article] = classed
+            if main and not cut and others.isdisjoint(classed):
                 holding.update(classed)
-            elif not main and name not in _KEPT_ELEMENTS and names & _CUT_WORDS:
+            cut = cut or name in _CUT_ELEMENTS or name == "header" and article is None
+            if not main and name not in _KEPT_ELEMENTS and names & _CUT_WORDS:
                 classed = (*classed, at)
+                if names & _OTHERS:
+                    others.add(at)
             below = _node(node, name, marks)
             self.nodes[node][1].append(name)
             self.nodes.setdefault(below, (node, []))
             stack.append((name, below, cut, article, classed))
         flush()
-        self.blocks = [b for b, classed in zip(self.blocks, branches) if holding.issuperset(classed)]
+        left = {classed: tuple(k for k in classed if k not in holding) for _, _, _, classed in found}
+        self._choose([(*f[:3], left[f[3]]) for f in found], {k: tuple(x for x in v if x not in holding) for k, v in regions.items()})
+
+    def _choose(self, found: list[tuple[int, str, int | None, tuple[int, ...]]], regions: dict[int, tuple[int, ...]]) -> None:
+        """Keep the blocks outside branches that classes cut.
+
+        An article in such a branch is a comment or a teaser, unless no other article has text and it has more than all
+        that lies outside of articles: then the largest of them is the page's article.
+        """
+        clean = sum(len(t) for _, t, article, classed in found if article is not None and not classed)
+        plain = sum(len(t) for _, t, article, classed in found if article is None and not classed)
+        mass: dict[int, int] = {}
+        for _, t, article, classed in found:
+            if article is not None and classed == regions[article]:
+                mass[article] = mass.get(article, 0) + len(t)
+        chosen = None if clean else max((k for k in mass if regions[k]), key=lambda k: (mass[k], -k), default=None)
+        if chosen is not None and mass[chosen] <= plain:
+            chosen = None
+        freed = set(regions[chosen]) if chosen is not None else set()
+        self.blocks = [
+            (node, t, article is not None and (chosen is None or article == chosen))
+            for node, t, article, classed in found
+            if freed.issuperset(classed)
+        ]
 
     def own(self) -> list[tuple[int, str, bool]]:
         """The article's blocks, or all where none is marked."""

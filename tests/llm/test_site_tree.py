@@ -40,6 +40,20 @@ def test_single_pages(body, want):
     assert Page(HEAD + body).text(set()) == want
 
 
+@pytest.mark.parametrize("body, want", [
+    ('<div class="post"><p>Main text of the story.</p></div><div id="comments"><article class="comment-body"><p>Reader says hi</p></article></div>',
+     "Main text of the story."),
+    ('<main><p>Main.</p><div class="comments"><article class="comment"><p>Reader says a lot of things here</p></article></div></main>', "Main."),
+    ('<main><p>Main.</p></main><section class="related"><article class="card"><p>Teaser that is longer than the story</p></article></section>', "Main."),
+    ('<article><p>Main.</p><div class="comments"><article><p>Reply one</p></article><article><p>Reply two</p></article></div></article>', "Main."),
+    ('<div class="comments"><article><p>short reply</p></article></div><div class="sidebar"><article><p>The story, the longest text of all.</p></article></div><p>menu</p>',
+     "The story, the longest text of all."),
+    ('<div class="comments"><article><p>only replies</p></article></div>', "only replies"),
+])
+def test_articles_in_cut_branches_are_comments_or_teasers(body, want):
+    assert Page(f"<html><body>{body}</body></html>").text(set()) == want
+
+
 @pytest.mark.parametrize("body, want", [
     ("<article class='post category-search'><p>a</p></article>", "a"),
     ("<div class='layout-no-sidebar'><p>a</p></div>", "a"),
