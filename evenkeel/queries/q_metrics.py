@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from evenkeel.operators import blend as B
 from evenkeel.operators import metrics as M
 from evenkeel.operators.lab import importance_threshold_drop
-from evenkeel.operators.models import fit_logistic
+from evenkeel.operators.models import fit_gbt, fit_logistic
 from evenkeel.operators.skew import unpivot
 from evenkeel.plans import validate as V
 from evenkeel.queries.bindings import bound_sql, frame, read
@@ -280,14 +280,19 @@ def _quick(df, features):
     return fit_logistic(df, features, max_iter=5)
 
 
+def _early(df, features, flag):
+    return fit_gbt(df, features, validation=flag)
+
+
 @query("expanding_window_cv")
 def q_cv(spark, sf):
-    return V.expanding_window_cv(small_features(spark, sf), _quick)
+    """Boosted trees in five windows of 20 weeks, each stopped early on its window."""
+    return V.expanding_window_cv(small_features(spark, sf), _early)
 
 
 @query("oof_predictions")
 def q_oof(spark, sf):
-    return V.oof_predictions(small_features(spark, sf), {"logit": _quick, "long_logit": lambda df, f: fit_logistic(df, f, max_iter=20)})
+    return V.oof_predictions(small_features(spark, sf), {"boosted": _early, "logit": lambda df, f: fit_logistic(df, f)})
 
 
 @query("ablation_groups")

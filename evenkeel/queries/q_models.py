@@ -170,7 +170,7 @@ def q_gbt(spark, sf):
     """Boosted trees on early weeks, stopped on the last 40, AUC on those."""
     rows, features, _ = _ready(spark, sf)
     start = max_week(rows) - 39
-    model = fit_gbt(validation_flag(rows, start), features, max_iter=5, max_depth=3, validation="is_valid")
+    model = fit_gbt(validation_flag(rows, start), features, validation="is_valid")
     scored = model.score(rows.where(F.col("WEEK_NUM") >= start))
     return auc(scored, "score").withColumn("best_iteration", F.lit(model.best_iteration))
 
@@ -181,8 +181,8 @@ def q_second(spark, sf):
     train, valid, _ = holdout_last_weeks(rows, 40)
     out = None
     for name, model in (
-        ("forest", fit_forest(train, features, trees=5, depth=4)),
-        ("logistic", fit_logistic(train, features, max_iter=5)),
+        ("forest", fit_forest(train, features)),
+        ("logistic", fit_logistic(train, features)),
     ):
         part = auc(model.score(valid), "score").withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -194,7 +194,7 @@ def q_mlp(spark, sf):
     rows, features, _ = _ready(spark, sf)
     rows = E.standardize_features(rows, features)
     train, valid, _ = holdout_last_weeks(rows, 40)
-    return auc(fit_mlp(train, features, hidden=(16, 8), max_iter=5).score(valid), "score")
+    return auc(fit_mlp(train, features).score(valid), "score")
 
 
 @query("refit_all")
@@ -202,8 +202,8 @@ def q_refit(spark, sf):
     """The last weeks tell how many trees to keep, then all rows are fitted with so many."""
     rows = raw(spark, sf)
     model, _, best = fit_with_holdout(
-        rows, lambda df, f, flag: fit_gbt(df, f, max_iter=12, max_depth=3, validation=flag),
-        lambda df, f, n: refit_all(df, f, best=n, max_depth=3), weeks=40, max_missing=0.9,
+        rows, lambda df, f, flag: fit_gbt(df, f, validation=flag),
+        lambda df, f, n: refit_all(df, f, best=n), weeks=40, max_missing=0.9,
     )
     state = E.fit_preprocessor(rows, max_missing=0.9)
     scored = model.score(E.apply_preprocessor(rows, state, ("case_id", "target", "WEEK_NUM")))
@@ -220,7 +220,7 @@ def q_blend(spark, sf):
         state = E.fit_preprocessor(data, max_missing=0.9)
         features = [c for c in state.feature_cols if c != "WEEK_NUM"]
         train = E.apply_preprocessor(data, state, ("case_id", "target", "WEEK_NUM"))
-        model = fit_gbt(train, features, max_iter=3, max_depth=3) if name == "tree" else fit_logistic(train, features, max_iter=5)
+        model = fit_gbt(train, features) if name == "tree" else fit_logistic(train, features)
         # The second branch misses some cases; they get its mean.
         part = data if name == "tree" else data.where(F.col("applicationcnt_361L") > 0)
         branches[name] = (Branch(model, state, weight), part)

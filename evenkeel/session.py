@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Paths given out below the shared folder, by application.
+_given: dict[str, set[str]] = {}
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -28,20 +32,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one is made only for a local master."""
+    """The folder every executor can reach; a local one is made only for a local master, and goes with the process."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="evenkeel-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, kept in mind for ``release``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
@@ -57,3 +64,16 @@ def remove(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not below the shared folder")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _given.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that this application has written below the shared folder; returns how many.
+
+    For the user to call once all results that were built from them are stored elsewhere: a lost executor's work is
+    repeated from these tables, so nothing may still read them.
+    """
+    paths = list(_given.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        remove(spark, path)
+    return len(paths)

@@ -90,3 +90,16 @@ def test_weight_grid_by_ranges(spark, monkeypatch, ranges):
 def test_weight_grid_of_an_empty_table(spark):
     df = spark.createDataFrame([], "target int, WEEK_NUM int, a double, b double, c double")
     assert B.blend_weight_search(df, {"a": "a", "b": "b", "c": "c"}, step=0.5).collect() == []
+
+
+def test_written_tables_are_removed_on_release(spark):
+    from evenkeel import session
+
+    session.release(spark)
+    df = session.materialise(spark.range(5), "mine")
+    assert df.count() == 5 and len(df.inputFiles()) > 0
+    with pytest.raises(ValueError):
+        session.remove(spark, "/somewhere/else")
+    assert session.release(spark) == 1 and session.release(spark) == 0
+    with pytest.raises(Exception, match="FileNotFound|does not exist|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        df.count()
