@@ -183,14 +183,27 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _spelled(texts: DataFrame, found: DataFrame, longest: int) -> DataFrame:
-    """(len, h, pre, suf, lang, word, n): subphrases of the frequent phrases, language and text of the words; with len 0 the languages' numbers of words."""
-    known = found.select("h", F.lit(1).alias("reach"))
-    cells, bits = _filter(known, known.count(), 1, longest)
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(cells != 0))
+def _spelled(texts: DataFrame, found: DataFrame, shards: int, longest: int) -> DataFrame:
+    """(len, h, pre, suf, lang, word, n): subphrases of the frequent phrases, language and text of the words; with len 0 the languages' numbers of words.
+
+    Shard by shard: a phrase that one shard has spelled isn't handed out again by the next.
+    """
+    done: list[DataFrame] = []
+    for s in range(shards):
+        wanted = found if not done else found.join(_union(done).where("len > 0").select("h"), "h", "left_anti")
+        done.append(_spelled_in(texts.where(F.col("shard") == s), found, wanted, longest))
+    return _union(done)
+
+
+def _spelled_in(texts: DataFrame, found: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
+    # Bit 1: frequent, so that longer phrases are followed up; bit 2: to be spelled.
+    known = found.select("h", F.lit(1).alias("reach")).unionByName(wanted.select("h", F.lit(2).alias("reach")))
+    cells, bits = _filter(known, found.count(), 1, longest)
+    sent = texts.sparkSession.sparkContext.broadcast(cells)
 
     def take(batches):
-        cells = np.unpackbits(sent.value)
+        cells = sent.value
+        due = cells.dtype.type(4)
         shift, seen, totals = np.uint64(64 - bits), np.zeros(0, np.uint64), {}
 
         def new(hashes):
@@ -203,13 +216,13 @@ def _spelled(texts: DataFrame, found: DataFrame, longest: int) -> DataFrame:
         for block in _blocks(batches):
             for d, n in enumerate(np.bincount(block.doc, minlength=len(block.langs)).tolist()):
                 totals[block.langs[d]] = totals.get(block.langs[d], 0) + n
-            at = np.flatnonzero(cells[block.words >> shift])
+            at = np.flatnonzero(cells[block.words >> shift] & due)
             at = at[new(block.words[at])]
             if len(at):
                 h, none = block.words[at].view(np.int64), pa.nulls(len(at), pa.int64())
                 yield [np.ones(len(at), np.int32), h, none, none, [block.langs[d] for d in block.doc[at]], [block.word(k) for k in at], none]
             for k, _, h, pre, suf, _, _ in _levels(block, cells, bits, longest):
-                at = np.flatnonzero(cells[h >> shift])
+                at = np.flatnonzero(cells[h >> shift] & due)
                 at = at[new(h[at])]
                 if len(at):
                     blank = pa.nulls(len(at), pa.string())
@@ -264,7 +277,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     read.drop("__id").write.partitionBy("shard").parquet(path)
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
     found = frequent(texts, shards, least, longest)
-    spelled = _spelled(texts, found, longest)
+    spelled = _spelled(texts, found, shards, longest)
     remove(spark, path)
     grown = _grown(found, spelled, longest)
     out = []
