@@ -4,13 +4,13 @@ A document's set is its distinct word shingles. Equal sets are one class, so cop
 Shingles are ordered from rare to frequent by a bounded frequency sketch of the whole corpus (ties by
 hash); any common order keeps the join exact, a good one keeps it small. Two classes can only be
 similar enough if they share a shingle within their prefixes, if their sizes are close (length filter), if the
-shared places leave room for enough others (positional filter), and if counts of their shingles over fixed ranges
-of hashes allow it (suffix filter). Candidates are verified once per pair against the whole sets.
+shared places leave room for enough others (positional filter), and if few enough of many ranges of hashes hold an odd
+number of one's shingles and an even number of the other's (suffix filter). Of the smaller set a shorter prefix is enough. Candidates are verified once per pair against the whole sets, which are worked out and written once.
 
-Groups of near copies aren't expanded into all pairs. First the members of a group that shares a shingle
+Large groups of near copies aren't expanded into all pairs. First the members of a large group that shares a shingle
 are tried against leaders, members of the group's largest component so far. Pairs that are connected by then
-can't change a component; when few pairs of different components are left, or leaders settle little more, all
-of these are tried. So no component is lost, and a group of m copies costs about m comparisons.
+can't change a component; when leaders settle little more, all that are left are tried. So no component is lost,
+and a group of m copies costs about m comparisons.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; rows without an id
 link others but have no component of their own name; repeated rows are copies; an empty table gives an
@@ -29,20 +29,48 @@ from pyspark.sql import functions as F
 from evenkeel.llm.frames import counted, id_and_text, map_batches
 from evenkeel.llm.graph import components
 from evenkeel.llm.words import SPACED, blocks, hash_words, mixed, shingles
-from evenkeel.session import materialise
+from evenkeel.session import remove, scratch_path
 
 WORDS = 5
 PERCENT = 80
-#: Cells of the frequency sketch, and of the filter for the classes whose sets are read again.
-SKETCH = 1 << 18
-FILTER = 1 << 19
-RANGES = 16
+#: Cells of the frequency sketch: one for so many shingles of the corpus, within these bounds.
+SHINGLES_A_CELL = 256
+SKETCH = (1 << 18, 1 << 22)
+#: Cells of the filter for the classes whose sets are read: eight for each, within these bounds.
+FILTER = (1 << 19, 1 << 27)
+#: Ranges of hashes of the suffix filter, 64 to a number.
+RANGES = 1024
 #: A shingle that the sketch takes for more frequent than this has its postings spread over several leaders.
 LEADER_ROWS = 20_000
-#: Leaders that are tried at once after the first round.
+#: Leaders that are tried at once.
 LEADERS = 12
 #: Groups of so many classes of like size are expanded into pairs without leaders: that is bounded work for each posting.
-SMALL = 64
+SMALL = 8
+#: A class that is compared with more others than this has its set sent to several tasks.
+COMPARED = 512
+
+
+class _Tables:
+    """Tables of one run in the shared folder. One that is written under an earlier name takes that one's place."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for path in filter(None, (self.paths.pop(n, None) for n in names)):
+            remove(self.spark, path)
+
+
+def _cells_for(n: int, bounds: tuple[int, int]) -> int:
+    """The power of two from n on, within the bounds."""
+    return min(max(1 << max(n - 1, 0).bit_length(), bounds[0]), bounds[1])
 
 
 def _sets(batches, width: int):
@@ -59,21 +87,49 @@ def _class(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two cells of the sketch for each shingle."""
+def _stored_sets(docs: DataFrame, width: int) -> DataFrame:
+    """A row per document: id, class, set size, ranges of hashes with odd numbers of shingles, and the set, once a task for each class.
+
+    Texts are split and hashed here only; all later steps read what this writes. Empty sets have no class.
+    """
+
+    def take(batches):
+        seen = set()
+        for ids, sets in _sets(batches, width):
+            rows = []
+            for i, s in zip(ids, sets):
+                c = _class(s) if len(s) else None
+                new = c is not None and c not in seen
+                if new and len(seen) < 1_000_000:
+                    seen.add(c)
+                rows.append((i, c, len(s), _odd_ranges(s) if c is not None else None, s.tobytes() if new else None))
+            if rows:
+                yield [list(x) for x in zip(*rows)]
+
+    return map_batches(docs, take, "doc_id bigint, class bigint, size int, ranges array<bigint>, shingles binary")
+
+
+def _odd_ranges(s: np.ndarray) -> list[int]:
+    """A bit for each range of hashes: whether it holds an odd number of the set's shingles."""
+    counts = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=RANGES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def _read(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _cells(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two cells of a sketch of so many for each shingle."""
     m = mixed(s)
-    return (m >> np.uint64(46)).astype(np.int64), (m & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH
+    return (m >> np.uint64(40)).astype(np.int64) % size, (m & np.uint64(size - 1)).astype(np.int64) + size
 
 
-def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
+def _frequencies(sets: DataFrame, size: int) -> np.ndarray:
     def cells(b):
-        for _, sets in _sets([b], width):
-            # Copies within a block count once.
-            distinct = [x for x in {x.tobytes(): x for x in sets}.values() if len(x)]
-            if distinct:
-                yield np.concatenate(_cells(np.concatenate(distinct)))
+        yield np.concatenate(_cells(np.concatenate(_read(b.column(0))), size))
 
-    return counted(docs, cells, 2 * SKETCH)
+    return counted(sets.select("shingles"), cells, 2 * size)
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -85,29 +141,32 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """A row per shingle of each class's prefix: shingle, part, class, size, place."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int64))
+def index_length(n, percent: int):
+    """Shingles of the smaller of two sets of which one must lie in the larger one's prefix; n is a number or an array."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _postings(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """A row per shingle of each class's prefix: shingle, part, parts, class, size, place."""
+    size = len(sketch) // 2
+    # What any cell holds by chance doesn't make a shingle frequent.
+    sent = sets.sparkSession.sparkContext.broadcast((sketch, 2 * int(sketch.sum()) // len(sketch)))
 
     def take(batches):
-        counts, seen = sent.value, set()
-        for _, sets in _sets(batches, width):
+        counts, chance = sent.value
+        for b in batches:
             rows = []
-            for s in sets:
-                if not len(s) or (c := _class(s)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(c)
-                one, two = _cells(s)
+            for c, s in zip(b.column(0).to_pylist(), _read(b.column(1))):
+                one, two = _cells(s, size)
                 often = np.minimum(counts[one], counts[two])
                 order = np.lexsort((s, often))[: prefix_length(len(s), percent)]
-                parts = 1 + often[order] // LEADER_ROWS
+                parts = 1 + np.maximum(often[order] - chance, 0) // LEADER_ROWS
                 n = len(order)
-                rows.append((s[order].view(np.int64), c % parts, parts > 1, np.full(n, c), np.full(n, len(s)), np.arange(n)))
+                rows.append((s[order].view(np.int64), c % parts, parts, np.full(n, c), np.full(n, len(s)), np.arange(n)))
             if rows:
                 yield [pa.array(np.concatenate(x)) for x in zip(*rows)]
 
-    return map_batches(docs, take, "shingle bigint, part bigint, frequent boolean, class bigint, size int, place int")
+    return map_batches(sets.select("class", "shingles"), take, "shingle bigint, part int, parts int, class bigint, size int, place int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -117,40 +176,8 @@ def _shared(postings: DataFrame) -> DataFrame:
     """
     key = Window.partitionBy("shingle", "part")
     one = F.min("class").over(key) == F.max("class").over(key)
-    shared = postings.repartition("shingle", "part").withColumn("one", one).where("frequent or not one")
-    return shared.drop("one", "frequent").dropDuplicates(["shingle", "class"])
-
-
-def _members(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document: id, class, set size, shingles over ranges of hashes. Empty sets have no class."""
-
-    def take(batches):
-        for ids, sets in _sets(batches, width):
-            spread = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).tolist() if len(s) else None for s in sets]
-            yield [ids, [_class(s) if len(s) else None for s in sets], [len(s) for s in sets], spread]
-
-    return map_batches(docs, take, "doc_id bigint, class bigint, size int, ranges array<int>")
-
-
-def _id_cell(doc_id: int) -> int:
-    return FILTER + (doc_id * 0x9E3779B1 & 0x7FFFFFFF) % FILTER
-
-
-def _class_sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
-    """(class, set) of the classes and documents that a filter of bounded size lets through, once each."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted > 0))
-
-    def take(batches):
-        bits = np.unpackbits(sent.value).view(bool)
-        for ids, sets in _sets(batches, width):
-            rows = {}
-            for doc, s in zip(ids, sets):
-                if len(s) and (doc is None or bits[_id_cell(doc)]) and bits[(c := _class(s)) % FILTER]:
-                    rows[c] = s
-            if rows:
-                yield [list(rows), pa.array([s.view(np.int64) for s in rows.values()], pa.list_(pa.int64()))]
-
-    return map_batches(docs, take, "class bigint, shingles array<bigint>").groupBy("class").agg(F.first("shingles").alias("shingles"))
+    shared = postings.repartition("shingle", "part").withColumn("one", one).where("parts > 1 or not one")
+    return shared.drop("one").dropDuplicates(["shingle", "class"])
 
 
 def _allowed(percent: int, shared: str):
@@ -158,41 +185,61 @@ def _allowed(percent: int, shared: str):
     return F.expr(f"100L * ({shared}) >= {percent}L * (cast(na as bigint) + nb - ({shared}))")
 
 
+def _suffix(percent: int, ra: str = "ra[{}]", rb: str = "rb[{}]"):
+    """Suffix filter: ranges in which one set's number is odd and the other's is even hold a shingle each that isn't shared."""
+    apart = " + ".join(f"bit_count({ra.format(i)} ^ {rb.format(i)})" for i in range(RANGES // 64))
+    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent}L * (cast(na as bigint) + nb)")
+
+
 def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that pass the suffix filter."""
     c = classes.select("class", "ranges")
     pairs = pairs.select("a", "b", "na", "nb").distinct()
     pairs = pairs.join(c.select(F.col("class").alias("a"), F.col("ranges").alias("ra")), "a")
     pairs = pairs.join(c.select(F.col("class").alias("b"), F.col("ranges").alias("rb")), "b")
-    most = " + ".join(f"least(ra[{i}], rb[{i}])" for i in range(RANGES))
-    return pairs.where(_allowed(percent, most)).select("a", "b", "na", "nb")
+    return pairs.where(_suffix(percent)).select("a", "b", "na", "nb")
 
 
-def _more_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sets: DataFrame | None, width: int) -> DataFrame:
-    """The sets (class, shingles) of all classes of the pairs: those at hand, and the others read from one document of each."""
+def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes of the pairs, once each: a filter of bounded size goes ahead of the exact join."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    if sets is not None:
-        ends = ends.join(sets.select("class"), "class", "left_anti")
-    ends = materialise(ends.join(classes.select("class", "first"), "class"), "wanted")
-    if sets is not None and ends.isEmpty():
-        return sets
+    size = _cells_for(8 * ends.count(), FILTER)
+    wanted = counted(ends, lambda b: iter([np.asarray(b.column(0)) % size]), size) > 0
+    sent = pairs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
-    def cells(b):
-        yield np.asarray(b.column(0)) % FILTER
-        yield np.array([_id_cell(d) for d in b.column(1).to_pylist() if d is not None], np.int64)
+    def take(batches):
+        bits = np.unpackbits(sent.value).view(bool)
+        for b in batches:
+            yield b.filter(pa.array(bits[np.asarray(b.column(0)) % size])).columns
 
-    new = _class_sets(docs, counted(ends, cells, 2 * FILTER), width)
-    if sets is None:
-        return materialise(new, "sets")
-    return sets.unionByName(materialise(new.join(sets.select("class"), "class", "left_anti"), "sets"))
+    passed = map_batches(sets.select("class", "shingles"), take, "class bigint, shingles binary")
+    return passed.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return materialise(both.where(_allowed(percent, "shared")).select("a", "b"), "links")
+    """The pairs (a, b) whose whole sets are similar enough. The set of a class b that is compared often goes to several tasks."""
+    own = _sets_of(pairs, sets)
+    often = pairs.groupBy("b").agg(F.expr(f"count(*) div {COMPARED}").cast("int").alias("more")).where("more > 0")
+    dealt = pairs.join(often, "b", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int"))
+    copies = own.join(often, F.col("class") == F.col("b"), "left")
+    copies = copies.select(
+        F.col("class").alias("b"), F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0)))).alias("copy")
+    )
+    both = dealt.join(own.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(copies, ["b", "copy"])
+
+    def similar(batches):
+        for b in batches:
+            found = []
+            for x, y in zip(_read(b.column(2)), _read(b.column(3))):
+                # Both are sorted and without repeats.
+                few, many = sorted((x, y), key=len)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                n = int((many[at] == few).sum())
+                found.append(100 * n >= percent * (len(x) + len(y) - n))
+            yield b.select([0, 1]).filter(pa.array(found, pa.bool_())).columns
+
+    return map_batches(both.select("a", "b", "sa", "sb"), similar, "a bigint, b bigint")
 
 
 def _fits(percent: int):
@@ -227,59 +274,84 @@ def _leader_pairs(postings: DataFrame, seeds: list[int], percent: int) -> DataFr
     return best.select("a", "m.b", "m.na", "m.nb")
 
 
-def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of prefix groups whose classes are in different components."""
-    left = postings.select("shingle", F.col("class").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
-    right = postings.select("shingle", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
-    return left.join(right, "shingle").where("ra <> rb and (na, a) < (nb, b)").where(_fits(percent))
+def _all_pairs(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of prefix groups whose classes are in different components: the smaller set's index prefix against the larger's whole prefix.
+
+    The smaller sets of a frequent shingle lie in its parts, and the larger ones are sent to each of them. In large
+    groups the suffix filter is part of the join.
+    """
+
+    def joined(rows, more=()):
+        left = rows.where(F.col("place") < index_length_of(percent)).select("shingle", "part", *_side("a", more))
+        right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shingle", "part", *_side("b", more))
+        both = left.join(right, ["shingle", "part"]).where("root_a <> root_b and (na, a) < (nb, b)").where(_fits(percent))
+        return (both.where(_suffix(percent, "ra{}", "rb{}")) if more else both).select("a", "b", "na", "nb")
+
+    large = postings.where("large").join(classes.select("class", "ranges"), "class")
+    return joined(large, range(RANGES // 64)).unionByName(joined(postings.where("not large")))
+
+
+def _side(side: str, more) -> list:
+    named = {"class": side, "size": f"n{side}", "place": f"p{side}", "root": f"root_{side}"}
+    return [F.col(x).alias(y) for x, y in named.items()] + [F.col("ranges")[i].alias(f"r{side}{i}") for i in more]
+
+
+def index_length_of(percent: int):
+    """``index_length`` of the column size."""
+    return F.expr(f"size - ((2L * {percent} * size + {99 + percent}) div {100 + percent}) + 1")
 
 
-def _unsettled(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
-    """The postings of shingles whose classes lie in several components, and about how many pairs of like sizes there are in large groups."""
+def _unsettled(postings: DataFrame, roots: DataFrame | None, tables: _Tables) -> tuple[DataFrame, int]:
+    """The postings of shingles whose classes lie in several components, with large: whether their shingle's group is; and the
+    number of pairs of like sizes and different components that there are in large groups."""
     if roots is None:
         rooted = postings.withColumns({"root": F.col("class"), "weight": F.lit(1).cast("long")})
     else:
         weights = roots.groupBy("root").agg(F.count("*").alias("weight"))
         named = roots.join(weights, "root").withColumnRenamed("node", "class")
-        rooted = postings.drop("root", "weight").join(named, "class", "left")
+        rooted = postings.drop("root", "weight", "large").join(named, "class", "left")
         rooted = rooted.withColumns({"root": F.coalesce("root", "class"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
     # Sizes in steps of a quarter: pairs of other steps mostly fail the length filter.
     step = F.floor(F.log("size") / F.log(F.lit(1.25))).alias("step")
     each = rooted.groupBy("shingle", step, "root").agg(F.count("*").alias("n"))
     each = each.groupBy("shingle", "step").agg(F.expr(f"case when sum(n) > {SMALL} then sum(n) * sum(n) - sum(n * n) else 0 end").alias("twice"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     keys = each.groupBy("shingle").agg(F.sum("twice").alias("twice"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    keys = materialise(keys.drop("lo", "hi"), "keys")
-    return materialise(rooted.join(keys.select("shingle"), "shingle"), "unsettled"), keys.agg(F.sum("twice")).first()[0] or 0
+    keys = tables.keep(keys.drop("lo", "hi"), "keys")
+    rest = tables.keep(rooted.join(keys.select("shingle", F.expr("twice > 0").alias("large")), "shingle"), "unsettled")
+    return rest, (keys.agg(F.sum("twice")).first()[0] or 0) // 2
 
 
 def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members; classes with the least id of each (first); and for linked classes the component's root and least id."""
-    docs = id_and_text(docs)
-    members = materialise(_members(docs, width), "members")
+    docs, tables = id_and_text(docs), _Tables(docs.sparkSession)
+    members = tables.keep(_stored_sets(docs, width), "sets")
+    sets = members.where("shingles is not null").select("class", "shingles")
     classes = members.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("ranges").alias("ranges")
     )
-    classes = materialise(classes, "classes")
-    sketch = _frequencies(docs, width)
-    postings = materialise(_shared(_postings(docs, sketch, width, percent)), "postings")
-    most, sets, roots, rest, before, step = postings.count(), None, None, postings, None, 0
+    classes = tables.keep(classes, "classes")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    sketch = _frequencies(sets, _cells_for(total // SHINGLES_A_CELL, SKETCH))
+    rest = tables.keep(_shared(_postings(sets, sketch, percent)), "postings")
+    roots, before, step = None, None, 0
     while True:
-        rest, n = _unsettled(rest, roots)
-        # All pairs once large groups hold no more of them than there were postings, or once leaders settle little.
-        last = n <= most or (before is not None and 5 * n > 4 * before)
-        seeds = [0] if step == 0 else list(range(LEADERS * step, LEADERS * (step + 1)))
-        pairs = _all_pairs(rest, percent) if last else _leader_pairs(rest, seeds, percent)
-        pairs = materialise(_filtered(pairs, classes, percent), "candidates")
-        sets = _more_sets(docs, pairs, classes, sets, width)
-        links = _verified(pairs, sets, percent)
+        rest, n = _unsettled(rest, roots, tables)
+        tables.drop("postings")
+        # All pairs once no large group is left, or once leaders settle little.
+        last = n == 0 or (before is not None and 10 * n > 9 * before)
+        seeds = list(range(LEADERS * step, LEADERS * (step + 1)))
+        pairs = _all_pairs(rest, classes, percent) if last else _leader_pairs(rest.where("large"), seeds, percent)
+        pairs = tables.keep(_filtered(pairs, classes, percent), "candidates")
+        links = tables.keep(_verified(pairs, sets, percent), "verified")
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
+        roots = tables.keep(components(links), "roots")
         if last:
             break
         before, step = n, step + 1
     named = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
+    tables.drop("keys", "unsettled", "candidates", "verified")
     return members, classes, named.join(least, "root").select(F.col("node").alias("class"), "root", "least")
 
 

@@ -49,7 +49,7 @@ def test_against_brute_force(documents, found):
     assert rows(found) == expected(docs)
 
 
-@pytest.mark.parametrize("leader_rows, small", [(20_000, 64), (3, 2)])
+@pytest.mark.parametrize("leader_rows, small", [(20_000, 8), (3, 2)])
 def test_chains_copies_and_shared_passages(spark, monkeypatch, leader_rows, small):
     monkeypatch.setattr(jaccard, "LEADER_ROWS", leader_rows)
     monkeypatch.setattr(jaccard, "SMALL", small)
