@@ -20,6 +20,7 @@ empty result; other columns play no part.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SHINGLES_A_CELL = 256
 SKETCH = (1 << 18, 1 << 22)
 #: Cells of the filter for the classes whose sets are read: eight for each, within these bounds.
 FILTER = (1 << 19, 1 << 27)
+#: Shingles that a task works on at once.
+AT_ONCE = 250_000
 #: Ranges of hashes of the suffix filter, 64 to a number.
 RANGES = 1024
 #: A shingle that the sketch takes for more frequent than this has its postings spread over several leaders.
@@ -115,8 +118,22 @@ def _odd_ranges(s: np.ndarray) -> list[int]:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def _read(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+def _read(column: pa.Array) -> Iterator[np.ndarray]:
+    """The stored sets, one after the other and without copying them."""
+    return (np.frombuffer(x.as_buffer(), np.uint64) for x in column)
+
+
+def _by_size(sets: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Tuples that end in a set, in lists of about so many shingles; a larger set stands alone."""
+    some, size = [], 0
+    for row in sets:
+        if some and size + len(row[-1]) > AT_ONCE:
+            yield some
+            some, size = [], 0
+        some.append(row)
+        size += len(row[-1])
+    if some:
+        yield some
 
 
 def _cells(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +144,8 @@ def _cells(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(sets: DataFrame, size: int) -> np.ndarray:
     def cells(b):
-        yield np.concatenate(_cells(np.concatenate(_read(b.column(0))), size))
+        for some in _by_size(zip(_read(b.column(0)))):
+            yield np.concatenate(_cells(np.concatenate([s for s, in some]), size))
 
     return counted(sets.select("shingles"), cells, 2 * size)
 
@@ -154,17 +172,16 @@ def _postings(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
 
     def take(batches):
         counts, chance = sent.value
-        for b in batches:
+        for some in (x for b in batches for x in _by_size(zip(b.column(0).to_pylist(), _read(b.column(1))))):
             rows = []
-            for c, s in zip(b.column(0).to_pylist(), _read(b.column(1))):
+            for c, s in some:
                 one, two = _cells(s, size)
                 often = np.minimum(counts[one], counts[two])
                 order = np.lexsort((s, often))[: prefix_length(len(s), percent)]
                 parts = 1 + np.maximum(often[order] - chance, 0) // LEADER_ROWS
                 n = len(order)
                 rows.append((s[order].view(np.int64), c % parts, parts, np.full(n, c), np.full(n, len(s)), np.arange(n)))
-            if rows:
-                yield [pa.array(np.concatenate(x)) for x in zip(*rows)]
+            yield [pa.array(np.concatenate(x)) for x in zip(*rows)]
 
     return map_batches(sets.select("class", "shingles"), take, "shingle bigint, part int, parts int, class bigint, size int, place int")
 
@@ -301,23 +318,27 @@ def index_length_of(percent: int):
     return F.expr(f"size - ((2L * {percent} * size + {99 + percent}) div {100 + percent}) + 1")
 
 
-def _unsettled(postings: DataFrame, roots: DataFrame | None, tables: _Tables) -> tuple[DataFrame, int]:
+def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The postings with the root and the size of their class's component so far."""
+    if roots is None:
+        return postings.withColumns({"root": F.col("class"), "weight": F.lit(1).cast("long")})
+    weights = roots.groupBy("root").agg(F.count("*").alias("weight"))
+    named = roots.join(weights, "root").withColumnRenamed("node", "class")
+    rooted = postings.drop("root", "weight").join(named, "class", "left")
+    return rooted.withColumns({"root": F.coalesce("root", "class"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+
+
+def _unsettled(postings: DataFrame, roots: DataFrame | None, tables: _Tables, name: str) -> tuple[DataFrame, int]:
     """The postings of shingles whose classes lie in several components, with large: whether their shingle's group is; and the
     number of pairs of like sizes and different components that there are in large groups."""
-    if roots is None:
-        rooted = postings.withColumns({"root": F.col("class"), "weight": F.lit(1).cast("long")})
-    else:
-        weights = roots.groupBy("root").agg(F.count("*").alias("weight"))
-        named = roots.join(weights, "root").withColumnRenamed("node", "class")
-        rooted = postings.drop("root", "weight", "large").join(named, "class", "left")
-        rooted = rooted.withColumns({"root": F.coalesce("root", "class"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    rooted = _rooted(postings, roots).drop("large")
     # Sizes in steps of a quarter: pairs of other steps mostly fail the length filter.
     step = F.floor(F.log("size") / F.log(F.lit(1.25))).alias("step")
     each = rooted.groupBy("shingle", step, "root").agg(F.count("*").alias("n"))
     each = each.groupBy("shingle", "step").agg(F.expr(f"case when sum(n) > {SMALL} then sum(n) * sum(n) - sum(n * n) else 0 end").alias("twice"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     keys = each.groupBy("shingle").agg(F.sum("twice").alias("twice"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
     keys = tables.keep(keys.drop("lo", "hi"), "keys")
-    rest = tables.keep(rooted.join(keys.select("shingle", F.expr("twice > 0").alias("large")), "shingle"), "unsettled")
+    rest = tables.keep(rooted.join(keys.select("shingle", F.expr("twice > 0").alias("large")), "shingle"), name)
     return rest, (keys.agg(F.sum("twice")).first()[0] or 0) // 2
 
 
@@ -333,14 +354,18 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     total = classes.agg(F.sum("size")).first()[0] or 0
     sketch = _frequencies(sets, _cells_for(total // SHINGLES_A_CELL, SKETCH))
     rest = tables.keep(_shared(_postings(sets, sketch, percent)), "postings")
+    rest, n = _unsettled(rest, None, tables, "first-unsettled")
+    tables.drop("postings")
+    # Small groups wait for the end; only large ones go through the rounds.
+    small, rest = rest.where("not large"), rest.where("large")
     roots, before, step = None, None, 0
     while True:
-        rest, n = _unsettled(rest, roots, tables)
-        tables.drop("postings")
         # All pairs once no large group is left, or once leaders settle little.
         last = n == 0 or (before is not None and 10 * n > 9 * before)
-        seeds = list(range(LEADERS * step, LEADERS * (step + 1)))
-        pairs = _all_pairs(rest, classes, percent) if last else _leader_pairs(rest.where("large"), seeds, percent)
+        if last:
+            pairs = _all_pairs(rest.unionByName(_rooted(small, roots)), classes, percent)
+        else:
+            pairs = _leader_pairs(rest.where("large"), list(range(LEADERS * step, LEADERS * (step + 1))), percent)
         pairs = tables.keep(_filtered(pairs, classes, percent), "candidates")
         links = tables.keep(_verified(pairs, sets, percent), "verified")
         if roots is not None:
@@ -349,9 +374,10 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         if last:
             break
         before, step = n, step + 1
+        rest, n = _unsettled(rest, roots, tables, "unsettled")
     named = roots.join(classes.select(F.col("class").alias("node"), "first"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
-    tables.drop("keys", "unsettled", "candidates", "verified")
+    tables.drop("keys", "first-unsettled", "unsettled", "candidates", "verified")
     return members, classes, named.join(least, "root").select(F.col("node").alias("class"), "root", "least")
 
 
