@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "q_sources", "q_joins", "q_policies", "q_policy_tables", "q_hierarchy", "q_scalar", "q_derived", "q_models", "q_metrics",
-    "q_lab",
+    "q_sources", "q_joins", "q_policies", "q_policy_tables", "q_builds", "q_hierarchy", "q_scalar", "q_derived", "q_models",
+    "q_metrics", "q_lab",
 )
 
 
