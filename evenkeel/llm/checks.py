@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import quality, url_filter
+from evenkeel.llm import decontam, quality, url_filter
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -85,9 +85,20 @@ z AS (SELECT DISTINCT n FROM q),
 t AS (SELECT doc_id, i, n, array_to_string(a[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, a, n, unnest(range(1, len(a) - n + 2)) AS i FROM d, z WHERE len(a) >= n)),
 h AS (SELECT doc_id, i, n, item_id FROM t JOIN q USING (g, n)),
 c AS (SELECT doc_id, count(DISTINCT p) AS k FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
-m AS (SELECT doc_id, count(DISTINCT item_id) AS k, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM h GROUP BY 1)
+m AS (SELECT doc_id, count(DISTINCT item_id) AS k, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM h GROUP BY 1),
+u AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS p FROM d),
+f AS (SELECT x, count(*) AS n FROM u GROUP BY 1),
+y AS (SELECT g, x, min(k) AS k FROM (SELECT g, unnest(y) AS x, generate_subscripts(y, 1) AS k FROM (SELECT DISTINCT g, string_split(g, ' ') AS y FROM q)) GROUP BY 1, 2),
+o AS (SELECT g, x, n, least({decontam.NEAR_WORDS}, count(*) OVER w) AS m, row_number() OVER (w ORDER BY n IS NULL, n, k) AS r FROM y LEFT JOIN f USING (x) WINDOW w AS (PARTITION BY g)),
+j AS (SELECT g, list(x ORDER BY r) AS xs FROM o WHERE r <= m GROUP BY g HAVING count(n) = any_value(m)),
+v AS (SELECT xs, unnest(xs) AS x, len(xs) AS m FROM (SELECT DISTINCT xs FROM j)),
+e AS (SELECT xs, doc_id, p FROM (SELECT DISTINCT xs FROM j) JOIN u ON u.x = xs[1]),
+s AS (SELECT e.xs, e.doc_id, e.p FROM e JOIN v USING (xs) JOIN u ON u.doc_id = e.doc_id AND u.x = v.x AND u.p BETWEEN e.p - {decontam.NEAR_SPAN} AND e.p + {decontam.NEAR_SPAN}
+ GROUP BY 1, 2, 3 HAVING count(DISTINCT v.x) = any_value(v.m)),
+r AS (SELECT doc_id, count(DISTINCT item_id) AS k FROM (SELECT DISTINCT doc_id, xs FROM s) JOIN j USING (xs) JOIN q USING (g) GROUP BY 1)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(c.k, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.k, 0) AS BIGINT) AS n_items,
- sha256(coalesce(s, '')) AS items_sha256, coalesce(c.k, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+ sha256(coalesce(s, '')) AS items_sha256, coalesce(c.k, 0) > 0 AS contaminated,
+ CAST(coalesce(r.k, 0) AS BIGINT) AS n_near FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
 RANKED_SEARCH = f"""

@@ -76,11 +76,13 @@ class Queries:
     near_owners: list[list[int]] | None = None
 
     def weigh(self, frequency: np.ndarray) -> None:
-        """Take the words' frequencies in the corpus, and choose the rare words of each window: distinct rows, from rare to frequent, -1 beyond the end."""
+        """Take the words' frequencies in the corpus, and choose the rare words of each window: distinct rows, from rare to frequent (of
+        equally frequent ones the first in the window), -1 beyond the end."""
         self.frequency = frequency
         owners: dict[tuple[int, ...], set[int]] = {}
         for k, n in enumerate(self.lengths):
-            terms = np.unique(self.windows[k, :n])
+            terms, first = np.unique(self.windows[k, :n], return_index=True)
+            terms = terms[np.argsort(first)]
             known = terms[frequency[terms] > 0]
             wanted = min(NEAR_WORDS, len(terms))
             if len(known) >= wanted:

@@ -42,7 +42,7 @@ def op4_ngram_jaccard_join(spark, sf_dir):
 
 def op6_benchmark_decontamination(spark, sf_dir):
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return decontam.digest(found).drop("n_near")
+    return decontam.digest(found)
 
 
 def op8_html_extraction(spark, sf_dir):

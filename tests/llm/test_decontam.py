@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from evenkeel.llm import decontam
 
@@ -47,6 +48,42 @@ def test_against_brute_force(spark, sf, documents):
     assert answers(decontam.decontaminate(documents, items)) == want
 
 
+def nearby(docs, items, window=10):
+    """Items by document of which some window's four rarest words stand within 24 places of the rarest."""
+    words = [WORD.findall(lower(t)) for _, t in docs]
+    often, wanted = Counter(x for w in words for x in w), {}
+    for item, text in items:
+        w = WORD.findall(lower(text)) if item is not None else []
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            terms = list(dict.fromkeys(w[i : i + window]))
+            rare = sorted((t for t in terms if often[t]), key=often.get)[:4]
+            if len(rare) == min(4, len(terms)):
+                wanted.setdefault(tuple(rare), set()).add(item)
+    out = []
+    for (doc, _), w in zip(docs, words):
+        at, found = {}, set()
+        for k, x in enumerate(w):
+            at.setdefault(x, []).append(k)
+        for rare, own in wanted.items():
+            if all(t in at for t in rare) and any(all(any(abs(p - o) <= 24 for o in at[t]) for t in rare[1:]) for p in at[rare[0]]):
+                found |= own
+        out.append((doc, len(found)))
+    return sorted(out, key=str)
+
+
+def test_proximity_against_brute_force(spark, sf, documents):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    # Edited, turned round, with a word that no text has, and of three words.
+    taken = [x for x in WORD.findall(lower(documents.orderBy("doc_id").first()["text"]))][:40]
+    more = [(901, " ".join(taken[:10][::-1])), (902, " ".join([*taken[:9], "zzunknown"])), (903, " ".join(taken[2:5])), (904, " ".join(taken[::4]))]
+    items = items.unionByName(spark.createDataFrame(more, "item_id long, text string"))
+    docs, asked = [tuple(r) for r in documents.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()]
+    want = nearby(docs, asked)
+    assert sum(n > 0 for _, n in want) > 10
+    got = decontam.digest(decontam.decontaminate(documents, items)).select("doc_id", "n_near").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_blocks_of_queries_agree(spark, sf, documents, tmp_path):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     index = decontam.build_index(documents.select("doc_id", "text"), str(tmp_path / "index"))
