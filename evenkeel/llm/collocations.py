@@ -191,7 +191,7 @@ def _spelled(texts: DataFrame, found: DataFrame, shards: int, longest: int) -> D
     done: list[DataFrame] = []
     for s in range(shards):
         wanted = found if not done else found.join(_union(done).where("len > 0").select("h"), "h", "left_anti")
-        done.append(_spelled_in(texts.where(F.col("shard") == s), found, wanted, longest))
+        done.append(materialise(_spelled_in(texts.where(F.col("shard") == s), found, wanted, longest), "spelled"))
     return _union(done)
 
 
@@ -233,7 +233,9 @@ def _spelled_in(texts: DataFrame, found: DataFrame, wanted: DataFrame, longest:
 
     rows = map_batches(texts.select("lang", "text"), take, "len int, h bigint, pre bigint, suf bigint, lang string, word string, n bigint")
     keys = ["len", "h", "pre", "suf", "lang", "word"]
-    return materialise(rows.groupBy(*keys).agg(F.sum("n").alias("n")), "spelled")
+    rows = materialise(rows.groupBy(*keys).agg(F.sum("n").alias("n")), "met")
+    # The filter also lets phrases of the same cells through, some of which an earlier shard has spelled.
+    return rows.where("len = 0").unionByName(rows.where("len > 0").join(wanted.select("h"), "h", "left_semi").select(rows.columns))
 
 
 def _grown(found: DataFrame, spelled: DataFrame, longest: int) -> list[DataFrame]:

@@ -61,6 +61,15 @@ def test_a_phrase_that_reaches_the_threshold_in_the_last_shard_gets_a_whole_cycl
     assert run(docs, least=58, top=50, shards=4) == brute(rows, 58, 4, 50)
 
 
+def test_phrases_of_one_shard_are_spelled_once(spark, monkeypatch):
+    monkeypatch.setattr(c, "FEWEST_BITS", 8)
+    monkeypatch.setattr(c, "MOST_BITS", 8)
+    # Words of all shards, and words that only one text has, in cells that they share.
+    rows = [("en", f"alpha beta gamma w{k % 3}") for k in range(30)] + [("en", f"p{k} q{k} r{k} " * 5) for k in range(12)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert run(docs, least=4, longest=2, top=500, shards=2) == brute(rows, 4, 2, 500)
+
+
 def test_empty_and_wordless(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string, lang string")) == []
     assert run(spark.createDataFrame([(1, None, "en"), (2, " ", None)], "doc_id long, text string, lang string"), least=1) == []
