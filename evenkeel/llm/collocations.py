@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.frames import map_batches
 from evenkeel.llm.words import blocks, hash_runs, mixed
-from evenkeel.session import materialise, remove, scratch_path
+from evenkeel.session import materialise, remove, scratch_path, small_batches
 
 SHARDS = 2
 LONGEST = 4
@@ -38,7 +38,7 @@ CONTAINED = 80
 TOP = 2000
 #: The filter has 2 ** bits cells, eight at least for a phrase in it, up to the larger bound.
 FEWEST_BITS, MOST_BITS = 16, 25
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: Slices in which the first phrases are looked for before they are ranked.
 SLICES = 256
 
@@ -272,6 +272,11 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
 
     a counts the phrase; l and r count its two parts at the cut with the lowest score, floor(2000000 a / (l + r)); n counts the language's words.
     """
+    with small_batches(docs.sparkSession):
+        return _mined(docs, least, longest, top, shards, contained)
+
+
+def _mined(docs: DataFrame, least: int, longest: int, top: int, shards: int, contained: int) -> DataFrame:
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("__id"))
     read = read.where("text is not null").withColumn("shard", F.pmod(F.xxhash64("__id", "text"), F.lit(shards)).cast("int"))

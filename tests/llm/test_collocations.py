@@ -1,10 +1,14 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evenkeel.llm import collocations as c
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 TEXTS = [
     ("en", "New York is big. new york is Big, New York; is big"), ("en", "new york is big and so is new york is big"), (None, "der die der die der die"),
     ("und", "der die\tder die  der"), ("fr", None), ("fr", ""), ("de", " \t\n,;"), ("de", "a a a a a a a a"), ("en", "x" * 70000 + " y " + "x" * 70000 + " y"),
@@ -73,3 +77,23 @@ def test_phrases_of_one_shard_are_spelled_once(spark, monkeypatch):
 def test_empty_and_wordless(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string, lang string")) == []
     assert run(spark.createDataFrame([(1, None, "en"), (2, " ", None)], "doc_id long, text string, lang string"), least=1) == []
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Where the scans run, no worker is handed a batch far above the bound."""
+    docs, seen = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('words ', 1000) as text", "'en' as lang"), []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    def look(*_):
+        seen.append(docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0])
+        raise InterruptedError
+
+    monkeypatch.setattr(c, "frequent", look)
+    before = spark.conf.get(BATCH_CONF)
+    with pytest.raises(InterruptedError):
+        c.mine(docs)
+    assert seen[0] < 2 * 4 * 2**20
+    assert spark.conf.get(BATCH_CONF) == before
