@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.frames import counted, id_and_text, map_batches
 from evenkeel.llm.graph import components
 from evenkeel.llm.words import SPACED, blocks, hash_words, mixed, shingles
-from evenkeel.session import remove, scratch_path
+from evenkeel.session import remove, scratch_path, small_batches
 
 WORDS = 5
 PERCENT = 80
@@ -344,6 +344,11 @@ def _unsettled(postings: DataFrame, roots: DataFrame | None, tables: _Tables, na
 
 def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members; classes with the least id of each (first); and for linked classes the component's root and least id."""
+    with small_batches(docs.sparkSession):
+        return _resolved_in(docs, width, percent)
+
+
+def _resolved_in(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, tables = id_and_text(docs), _Tables(docs.sparkSession)
     members = tables.keep(_stored_sets(docs, width), "sets")
     sets = members.where("shingles is not null").select("class", "shingles")

@@ -2,12 +2,16 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evenkeel.llm import jaccard
 from evenkeel.llm.graph import components
 from evenkeel.session import materialise
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shingle_set(text):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -110,3 +114,23 @@ def test_clashing_and_missing_ids(spark, rows, want):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class", "'x' as root", "0 as first")
     got = [(r["doc_id"], r["text"]) for r in jaccard.without_near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Where the sets run, no worker is handed a batch far above the bound."""
+    docs, seen = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('words ', 1000) as text", "'en' as lang"), []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    def look(*_):
+        seen.append(docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0])
+        raise InterruptedError
+
+    monkeypatch.setattr(jaccard, "_stored_sets", look)
+    before = spark.conf.get(BATCH_CONF)
+    with pytest.raises(InterruptedError):
+        jaccard.near_duplicates(docs)
+    assert seen[0] < 2 * 4 * 2**20
+    assert spark.conf.get(BATCH_CONF) == before
