@@ -45,7 +45,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def counted(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int, pieces: int = 16) -> np.ndarray:
-    """How often each of ``size`` cells is named over all rows.
+    """``counted_over`` with a function of one batch."""
+    return counted_over(df, lambda batches: (c for b in batches for c in cells(b)), size, pieces)
+
+
+def counted_over(df: DataFrame, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, pieces: int = 16) -> np.ndarray:
+    """How often each of ``size`` cells is named over all rows; ``cells`` is given a task's batches.
 
     Every task adds up one array of ``size`` counters, so what is shuffled, and the one array that
     reaches the driver, are bounded by that parameter and not by the data.
@@ -54,9 +59,8 @@ def counted(df: DataFrame, cells: Callable[[pa.RecordBatch], Iterator[np.ndarray
 
     def count(batches):
         total = np.zeros(width * pieces, np.int64)
-        for b in batches:
-            for c in cells(b):
-                total += np.bincount(c, minlength=width * pieces)
+        for c in cells(batches):
+            total += np.bincount(c, minlength=width * pieces)
         if total.any():
             yield [list(range(pieces)), [total[i * width : (i + 1) * width].tobytes() for i in range(pieces)]]
 

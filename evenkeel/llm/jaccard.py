@@ -5,7 +5,10 @@ Shingles are ordered from rare to frequent by a bounded frequency sketch of the
 hash); any common order keeps the join exact, a good one keeps it small. Two classes can only be
 similar enough if they share a shingle within their prefixes, if their sizes are close (length filter), if the
 shared places leave room for enough others (positional filter), and if few enough of many ranges of hashes hold an odd
-number of one's shingles and an even number of the other's (suffix filter). Of the smaller set a shorter prefix is enough. Candidates are verified once per pair against the whole sets, which are worked out and written once.
+number of one's shingles and an even number of the other's (suffix filter). Of the smaller set a shorter prefix is enough. Candidates are verified once per pair against the whole sets.
+
+Sets are never written or shuffled: they take more room than the texts that they come from. Each step works them out from the
+texts that it needs, so the texts are read several times and must be the same each time.
 
 Large groups of near copies aren't expanded into all pairs. First the members of a large group that shares a shingle
 are tried against leaders, members of the group's largest component so far. Pairs that are connected by then
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.frames import counted, id_and_text, map_batches
+from evenkeel.llm.frames import counted, counted_over, id_and_text, map_batches
 from evenkeel.llm.graph import components
 from evenkeel.llm.words import SPACED, blocks, hash_words, mixed, shingles
 from evenkeel.session import remove, scratch_path, small_batches
@@ -37,7 +40,7 @@ PERCENT = 80
 #: Cells of the frequency sketch: one for so many shingles of the corpus, within these bounds.
 SHINGLES_A_CELL = 256
 SKETCH = (1 << 18, 1 << 22)
-#: Cells of the filter for the classes whose sets are read: eight for each, within these bounds.
+#: Cells of the filter for the ids whose texts are read: eight for each, two of them marked, within these bounds.
 FILTER = (1 << 19, 1 << 27)
 #: Shingles that a task works on at once.
 AT_ONCE = 250_000
@@ -76,13 +79,12 @@ def _cells_for(n: int, bounds: tuple[int, int]) -> int:
     return min(max(1 << max(n - 1, 0).bit_length(), bounds[0]), bounds[1])
 
 
-def _sets(batches, width: int):
-    """(ids, sets) by blocks of texts."""
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for part in blocks(texts):
-            w = hash_words(texts[part], SPACED)
-            yield ids[part], [shingles(w.hashes[w.first[i] : w.first[i + 1]], width) for i in range(len(w.first) - 1)]
+def _each(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """The set of each text, worked out by blocks of texts."""
+    for part in blocks(texts):
+        w = hash_words(texts[part], SPACED)
+        for i in range(len(w.first) - 1):
+            yield shingles(w.hashes[w.first[i] : w.first[i + 1]], width)
 
 
 def _class(s: np.ndarray) -> int:
@@ -91,25 +93,32 @@ def _class(s: np.ndarray) -> int:
 
 
 def _stored_sets(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document: id, class, set size, ranges of hashes with odd numbers of shingles, and the set, once a task for each class.
-
-    Texts are split and hashed here only; all later steps read what this writes. Empty sets have no class.
-    """
+    """What is stored of each document's set: id, class, set size, and ranges of hashes with odd numbers of shingles. Empty sets have no class."""
 
     def take(batches):
-        seen = set()
-        for ids, sets in _sets(batches, width):
-            rows = []
-            for i, s in zip(ids, sets):
-                c = _class(s) if len(s) else None
-                new = c is not None and c not in seen
-                if new and len(seen) < 1_000_000:
-                    seen.add(c)
-                rows.append((i, c, len(s), _odd_ranges(s) if c is not None else None, s.tobytes() if new else None))
+        for b in batches:
+            sets = _each(b.column(1).to_pylist(), width)
+            rows = [(_class(s), len(s), _odd_ranges(s)) if len(s) else (None, 0, None) for s in sets]
             if rows:
-                yield [list(x) for x in zip(*rows)]
+                yield [b.column(0), *[list(x) for x in zip(*rows)]]
+
+    return map_batches(docs, take, "doc_id bigint, class bigint, size int, ranges array<bigint>")
+
+
+def _distinct(batches, width: int) -> Iterator[list[tuple]]:
+    """(class, set) of the texts, in lists of about so many shingles; a class comes once from a task."""
+    seen = set()
+
+    def new():
+        for b in batches:
+            for s in _each(b.column(1).to_pylist(), width):
+                c = _class(s) if len(s) else None
+                if c is not None and c not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                    yield c, s
 
-    return map_batches(docs, take, "doc_id bigint, class bigint, size int, ranges array<bigint>, shingles binary")
+    return _by_size(new())
 
 
 def _odd_ranges(s: np.ndarray) -> list[int]:
@@ -118,11 +127,6 @@ def _odd_ranges(s: np.ndarray) -> list[int]:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def _read(column: pa.Array) -> Iterator[np.ndarray]:
-    """The stored sets, one after the other and without copying them."""
-    return (np.frombuffer(x.as_buffer(), np.uint64) for x in column)
-
-
 def _by_size(sets: Iterable[tuple]) -> Iterator[list[tuple]]:
     """Tuples that end in a set, in lists of about so many shingles; a larger set stands alone."""
     some, size = [], 0
@@ -142,12 +146,12 @@ def _cells(s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (m >> np.uint64(40)).astype(np.int64) % size, (m & np.uint64(size - 1)).astype(np.int64) + size
 
 
-def _frequencies(sets: DataFrame, size: int) -> np.ndarray:
-    def cells(b):
-        for some in _by_size(zip(_read(b.column(0)))):
-            yield np.concatenate(_cells(np.concatenate([s for s, in some]), size))
+def _frequencies(docs: DataFrame, width: int, size: int) -> np.ndarray:
+    def cells(batches):
+        for some in _distinct(batches, width):
+            yield np.concatenate(_cells(np.concatenate([s for _, s in some]), size))
 
-    return counted(sets.select("shingles"), cells, 2 * size)
+    return counted_over(docs, cells, 2 * size)
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -164,15 +168,15 @@ def index_length(n, percent: int):
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-def _postings(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, width: int, sketch: np.ndarray, percent: int) -> DataFrame:
     """A row per shingle of each class's prefix: shingle, part, parts, class, size, place."""
     size = len(sketch) // 2
     # What any cell holds by chance doesn't make a shingle frequent.
-    sent = sets.sparkSession.sparkContext.broadcast((sketch, 2 * int(sketch.sum()) // len(sketch)))
+    sent = docs.sparkSession.sparkContext.broadcast((sketch, 2 * int(sketch.sum()) // len(sketch)))
 
     def take(batches):
         counts, chance = sent.value
-        for some in (x for b in batches for x in _by_size(zip(b.column(0).to_pylist(), _read(b.column(1))))):
+        for some in _distinct(batches, width):
             rows = []
             for c, s in some:
                 one, two = _cells(s, size)
@@ -183,18 +187,19 @@ def _postings(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                 rows.append((s[order].view(np.int64), c % parts, parts, np.full(n, c), np.full(n, len(s)), np.arange(n)))
             yield [pa.array(np.concatenate(x)) for x in zip(*rows)]
 
-    return map_batches(sets.select("class", "shingles"), take, "shingle bigint, part int, parts int, class bigint, size int, place int")
+    return map_batches(docs, take, "shingle bigint, part int, parts int, class bigint, size int, place int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
     """Postings of shingles that several classes have in their prefixes; others lead to no pair.
 
-    One shuffle. Shingles that the sketch takes for frequent are spread over their parts and kept without counting.
+    One shuffle: a class always lies in the same part of a shingle, so its repeats meet there too. Shingles that the
+    sketch takes for frequent are spread over their parts and kept without counting.
     """
     key = Window.partitionBy("shingle", "part")
     one = F.min("class").over(key) == F.max("class").over(key)
     shared = postings.repartition("shingle", "part").withColumn("one", one).where("parts > 1 or not one")
-    return shared.drop("one").dropDuplicates(["shingle", "class"])
+    return shared.drop("one").dropDuplicates(["shingle", "part", "class"])
 
 
 def _allowed(percent: int, shared: str):
@@ -217,46 +222,68 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_suffix(percent)).select("a", "b", "na", "nb")
 
 
-def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes of the pairs, once each: a filter of bounded size goes ahead of the exact join."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def _id_cells(ids: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two cells of a filter of so many for each id; one that is missing counts as 0."""
+    m = mixed(np.asarray(ids.fill_null(0)).view(np.uint64))
+    return (m >> np.uint64(32)).astype(np.int64) % size, (m & np.uint64(size - 1)).astype(np.int64)
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(class, text) of the classes of the pairs, once each, and of a few more: a filter of bounded size for the least id of
+    each class is put to the documents before any text is split."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "first"), "class")
+    ends = ends.select("first")
     size = _cells_for(8 * ends.count(), FILTER)
-    wanted = counted(ends, lambda b: iter([np.asarray(b.column(0)) % size]), size) > 0
-    sent = pairs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    wanted = counted(ends, lambda b: iter(_id_cells(b.column(0), size)), size) > 0
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def take(batches):
-        bits = np.unpackbits(sent.value).view(bool)
+        bits, seen = np.unpackbits(sent.value).view(bool), set()
         for b in batches:
-            yield b.filter(pa.array(bits[np.asarray(b.column(0)) % size])).columns
+            one, two = _id_cells(b.column(0), size)
+            b = b.filter(pa.array(bits[one] & bits[two]))
+            texts, rows = b.column(1).to_pylist(), []
+            for s, t in zip(_each(texts, width), texts):
+                c = _class(s) if len(s) else None
+                if c is not None and c not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                    rows.append((c, t))
+            if rows:
+                yield [list(x) for x in zip(*rows)]
 
-    passed = map_batches(sets.select("class", "shingles"), take, "class bigint, shingles binary")
-    return passed.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    return map_batches(docs, take, "class bigint, text string").groupBy("class").agg(F.first("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. The set of a class b that is compared often goes to several tasks."""
-    own = _sets_of(pairs, sets)
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. The text of a class b that is compared often goes to several tasks;
+    the others' stay where they are and the texts of a come to them."""
+    own = _texts_of(pairs, docs, classes, width)
     often = pairs.groupBy("b").agg(F.expr(f"count(*) div {COMPARED}").cast("int").alias("more")).where("more > 0")
-    dealt = pairs.join(often, "b", "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int"))
-    copies = own.join(often, F.col("class") == F.col("b"), "left")
-    copies = copies.select(
-        F.col("class").alias("b"), F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0)))).alias("copy")
-    )
-    both = dealt.join(own.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a").join(copies, ["b", "copy"])
+    first, second = (own.select(F.col("class").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    rare = pairs.join(often, "b", "left_anti").join(first, "a").join(second, "b")
+    dealt = pairs.join(often, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int")).join(first, "a")
+    copies = second.join(often, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), "more")).alias("copy"))
+    both = rare.select("a", "b", "ta", "tb").unionByName(dealt.join(copies, ["b", "copy"]).select("a", "b", "ta", "tb"))
 
     def similar(batches):
+        last, y = None, None
         for b in batches:
-            found = []
-            for x, y in zip(_read(b.column(2)), _read(b.column(3))):
+            # Rows come by b, so its set is worked out once for a run of them.
+            ends, found = b.column(1).to_pylist(), []
+            new = [x != before for x, before in zip(ends, [last, *ends])]
+            others = _each(b.column(3).filter(pa.array(new, pa.bool_())).to_pylist(), width)
+            for x, fresh in zip(_each(b.column(2).to_pylist(), width), new):
+                y = next(others) if fresh else y
                 # Both are sorted and without repeats.
                 few, many = sorted((x, y), key=len)
                 at = np.minimum(np.searchsorted(many, few), len(many) - 1)
                 n = int((many[at] == few).sum())
                 found.append(100 * n >= percent * (len(x) + len(y) - n))
+            last = ends[-1] if ends else last
             yield b.select([0, 1]).filter(pa.array(found, pa.bool_())).columns
 
-    return map_batches(both.select("a", "b", "sa", "sb"), similar, "a bigint, b bigint")
+    return map_batches(both, similar, "a bigint, b bigint")
 
 
 def _fits(percent: int):
@@ -332,10 +359,18 @@ def _unsettled(postings: DataFrame, roots: DataFrame | None, tables: _Tables, na
     """The postings of shingles whose classes lie in several components, with large: whether their shingle's group is; and the
     number of pairs of like sizes and different components that there are in large groups."""
     rooted = _rooted(postings, roots).drop("large")
+    lo, hi = F.min("root").alias("lo"), F.max("root").alias("hi")
     # Sizes in steps of a quarter: pairs of other steps mostly fail the length filter.
     step = F.floor(F.log("size") / F.log(F.lit(1.25))).alias("step")
-    each = rooted.groupBy("shingle", step, "root").agg(F.count("*").alias("n"))
-    each = each.groupBy("shingle", "step").agg(F.expr(f"case when sum(n) > {SMALL} then sum(n) * sum(n) - sum(n * n) else 0 end").alias("twice"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    if roots is None:
+        # Every class is a component of its own, and a shingle has one row of it.
+        each = rooted.groupBy("shingle", step).agg(F.count("*").alias("n"), lo, hi)
+        twice = f"case when n > {SMALL} then n * n - n else 0L end as twice"
+        each = each.select("shingle", F.expr(twice), "lo", "hi")
+    else:
+        each = rooted.groupBy("shingle", step, "root").agg(F.count("*").alias("n"))
+        twice = F.expr(f"case when sum(n) > {SMALL} then sum(n) * sum(n) - sum(n * n) else 0 end").alias("twice")
+        each = each.groupBy("shingle", "step").agg(twice, lo, hi)
     keys = each.groupBy("shingle").agg(F.sum("twice").alias("twice"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
     keys = tables.keep(keys.drop("lo", "hi"), "keys")
     rest = tables.keep(rooted.join(keys.select("shingle", F.expr("twice > 0").alias("large")), "shingle"), name)
@@ -350,15 +385,14 @@ def _resolved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
 
 def _resolved_in(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, tables = id_and_text(docs), _Tables(docs.sparkSession)
-    members = tables.keep(_stored_sets(docs, width), "sets")
-    sets = members.where("shingles is not null").select("class", "shingles")
+    members = tables.keep(_stored_sets(docs, width), "members")
     classes = members.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("ranges").alias("ranges")
     )
     classes = tables.keep(classes, "classes")
     total = classes.agg(F.sum("size")).first()[0] or 0
-    sketch = _frequencies(sets, _cells_for(total // SHINGLES_A_CELL, SKETCH))
-    rest = tables.keep(_shared(_postings(sets, sketch, percent)), "postings")
+    sketch = _frequencies(docs, width, _cells_for(total // SHINGLES_A_CELL, SKETCH))
+    rest = tables.keep(_shared(_postings(docs, width, sketch, percent)), "postings")
     rest, n = _unsettled(rest, None, tables, "first-unsettled")
     tables.drop("postings")
     # Small groups wait for the end; only large ones go through the rounds.
@@ -372,7 +406,7 @@ def _resolved_in(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
         else:
             pairs = _leader_pairs(rest.where("large"), list(range(LEADERS * step, LEADERS * (step + 1))), percent)
         pairs = tables.keep(_filtered(pairs, classes, percent), "candidates")
-        links = tables.keep(_verified(pairs, sets, percent), "verified")
+        links = tables.keep(_verified(pairs, docs, classes, width, percent), "verified")
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = tables.keep(components(links), "roots")

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -134,3 +135,43 @@ def test_workers_get_small_batches(spark, monkeypatch):
         jaccard.near_duplicates(docs)
     assert seen[0] < 2 * 4 * 2**20
     assert spark.conf.get(BATCH_CONF) == before
+
+
+def test_no_table_holds_the_sets(spark, monkeypatch):
+    """Sets take eight bytes for each word, more than the texts; what is written stays well below these."""
+    rng, written = random.Random(3), []
+    texts = [" ".join(f"{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(60)]
+    texts += [t + " and more" for t in texts[:20]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    keep = jaccard._Tables.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        written.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard._Tables, "keep", kept)
+    assert rows(jaccard.near_duplicates(frame)) == expected(list(enumerate(texts)))
+    assert max(written) < sum(map(len, texts)) / 4
+
+
+def test_postings_are_shuffled_once(spark):
+    kind = "shingle long, part int, parts int, class long, size int, place int"
+    postings = spark.createDataFrame([(1, 0, 1, 5, 9, 0), (1, 0, 1, 5, 9, 0), (1, 0, 1, 6, 9, 1), (2, 0, 1, 5, 9, 1), (2, 0, 1, 5, 9, 1), (3, 1, 2, 5, 9, 2)], kind)
+    shared = jaccard._shared(postings)
+    assert sorted(r[:4] for r in map(tuple, shared.collect())) == [(1, 0, 1, 5), (1, 0, 1, 6), (3, 1, 2, 5)]
+    assert shared._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("compared", [1, 512])
+def test_classes_without_ids_and_clashing_ids_are_compared(spark, monkeypatch, compared):
+    """Texts are found again by the least id of their class: there may be none, or several classes of it."""
+    monkeypatch.setattr(jaccard, "COMPARED", compared)
+    one, two = ([f"{x}{i}" for i in range(80)] for x in "vw")
+    docs = [(None, " ".join(one)), (7, " ".join(one[:79])), (7, " ".join(two)), (None, " ".join(two[1:])), (9, " ".join(two[2:])), (0, "zero " * 9)]
+    docs += [(None, " ".join(f"n{i}.{k}" for k in range(9))) for i in range(5)] + [(20 + i, " ".join([*one, f"end{i}"])) for i in range(12)]
+    # Other letters make no other class.
+    docs += [(40, " ".join(one).upper()), (41, None), (None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    # The two rows of id 7 are told apart by their number of shingles.
+    assert rows(jaccard.near_duplicates(frame)) == expected(docs)
