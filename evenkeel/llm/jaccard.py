@@ -261,10 +261,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     own = _texts_of(pairs, docs, classes, width)
     often = pairs.groupBy("b").agg(F.expr(f"count(*) div {COMPARED}").cast("int").alias("more")).where("more > 0")
     first, second = (own.select(F.col("class").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    rare = pairs.join(often, "b", "left_anti").join(first, "a").join(second, "b")
-    dealt = pairs.join(often, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int")).join(first, "a")
-    copies = second.join(often, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), "more")).alias("copy"))
-    both = rare.select("a", "b", "ta", "tb").unionByName(dealt.join(copies, ["b", "copy"]).select("a", "b", "ta", "tb"))
+    spread = not often.isEmpty()
+    both = pairs.join(often, "b", "left_anti") if spread else pairs
+    both = both.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
+    if spread:
+        dealt = pairs.join(often, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int")).join(first, "a")
+        copies = second.join(often, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), "more")).alias("copy"))
+        both = both.unionByName(dealt.join(copies, ["b", "copy"]).select("a", "b", "ta", "tb"))
 
     def similar(batches):
         last, y = None, None
